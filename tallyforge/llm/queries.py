@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import mixing, sharding, tokens
+from tallyforge.llm import decontamination, mixing, near_duplicates, sharding, tokens, toxicity
 from tallyforge.llm.base import table
 
 
@@ -28,5 +28,17 @@ def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_source_mix, op3_feistel_shards)}
-ORACLES = {"op2_source_mix": mixing.ORACLE}
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), percent=85, bands=20, rows=4)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_source_mix, op3_feistel_shards, op5_toxicity, op6_minhash, op9_decontamination)}
+ORACLES = {"op2_source_mix": mixing.ORACLE, "op6_minhash": near_duplicates.ORACLE}
