@@ -156,3 +156,23 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
         h *= _M1
         h += words[j : j + n]
     return mix64(h)
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with the value evaluated once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def look_up(rows: DataFrame, small: DataFrame, keys: list[str], limit: int = 100_000, salts: int = 64) -> DataFrame:
+    """Left join on keys, nulls equal. ``small`` (one row per key, already a written table) is
+    counted: up to limit rows it is broadcast; beyond that the join is on key and salt, so that a
+    key with a third of the rows is spread."""
+    small = small.withColumnsRenamed({k: f"_q_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & rows[k].eqNullSafe(small[f"_q_{k}"])
+    if small.count() <= limit:
+        return rows.join(F.broadcast(small), cond, "left").drop(*[f"_q_{k}" for k in keys])
+    rows = rows.withColumn("_q_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    small = small.withColumn("_q_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.join(small, cond & (F.col("_q_salt") == F.col("_q_salt2")), "left").drop("_q_salt", "_q_salt2", *[f"_q_{k}" for k in keys])
