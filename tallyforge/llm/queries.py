@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontamination, mixing, near_duplicates, quality, sharding, tokens, toxicity
+from tallyforge.llm import decontamination, mixing, near_duplicates, quality, sharding, substrings, tokens, toxicity
 from tallyforge.llm.base import table
 
 
@@ -40,9 +40,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_source_mix, op3_feistel_shards, op5_toxicity, op6_minhash, op7_quality, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_source_mix, op3_feistel_shards, op5_toxicity, op6_minhash, op7_quality, op8_suffix_dedup, op9_decontamination)}
 ORACLES = {"op2_source_mix": mixing.ORACLE, "op6_minhash": near_duplicates.ORACLE, "op7_quality": quality.ORACLE}
