@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontamination, mixing, near_duplicates, quality, sharding, substrings, tokens, toxicity
+from tallyforge.llm import chat, decontamination, lm_scores, mixing, near_duplicates, quality, sharding, substrings, tokens, toxicity
 from tallyforge.llm.base import table
 
 
@@ -32,6 +32,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), percent=85, bands=20, rows=4)
 
 
+def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
@@ -48,5 +52,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_source_mix, op3_feistel_shards, op5_toxicity, op6_minhash, op7_quality, op8_suffix_dedup, op9_decontamination)}
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_source_mix, op3_feistel_shards, op4_pseudo_likelihood, op5_toxicity, op6_minhash, op7_quality, op8_suffix_dedup, op9_decontamination, op10_chat_format)}
 ORACLES = {"op2_source_mix": mixing.ORACLE, "op6_minhash": near_duplicates.ORACLE, "op7_quality": quality.ORACLE}
