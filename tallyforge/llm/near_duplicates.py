@@ -92,6 +92,30 @@ def _sets(k: int):
     return task
 
 
+def _links(percent: int, least: int, rows: int):
+    """Compares two blocks of one bucket; a pair that shares several buckets is looked at in the
+    one of its first common band."""
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        u, v = [], []
+        if left.num_rows and right.num_rows:
+            (x, cx, sx, tx), (y, cy, sy, ty) = ([t.column(c).to_pylist() if c == "set" else np.array(t.column(c).to_pylist()) for c in ("rep", "component", "sig", "set")] for t in (left, right))
+            band, main = left.column("band")[0].as_py(), left.column("main")[0].as_py()
+            for i in range(len(x)):
+                same = sy == sx[i]
+                ok = (same.sum(axis=1) >= least) & (cy != cx[i]) & ((cy == main) | (x[i] < y))
+                ok &= same.reshape(len(y), -1, rows).all(axis=2).argmax(axis=1) == band
+                mine = set(tx[i]) if ok.any() else None
+                for j in np.flatnonzero(ok).tolist():
+                    common = len(mine.intersection(ty[j]))
+                    if 100 * common >= percent * (len(mine) + len(ty[j]) - common):
+                        u.append(int(x[i]))
+                        v.append(int(y[j]))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return task
+
+
 def _agree(x: Column, y: Column) -> Column:
     return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda same: same))
 
@@ -121,9 +145,9 @@ class _Search:
         return self.shared.save(known.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "classes")
 
     def buckets(self, classes: DataFrame) -> DataFrame:
-        """(key, rep, n) for buckets of n >= 2 classes."""
+        """(key, rep, band, n) for buckets of n >= 2 classes."""
         keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[b * self.rows + r] for r in range(self.rows)]) for b in range(self.bands)])
-        rows = classes.select("rep", F.explode(keys).alias("key"))
+        rows = classes.select("rep", F.posexplode(keys).alias("band", "key"))
         counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         return self.shared.save(rows.join(counts, "key"), "buckets")
 
@@ -159,20 +183,22 @@ class _Search:
         both = both.withColumn("i", F.size(F.array_intersect("ta", "tb")))
         return both.filter(F.col("i") * 100 >= self.percent * (F.size("ta") + F.size("tb") - F.col("i"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    def rest(self, buckets: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
-        """Pairs of large buckets that pivots left in different components. In each such bucket
-        the classes outside its largest component meet all classes of the other components, block by
-        block; the join itself drops pairs whose signatures agree too little."""
+    def rest(self, buckets: DataFrame, classes: DataFrame, sets: DataFrame, comp: DataFrame) -> DataFrame:
+        """Links that pivots left out. In each large bucket that still holds several components, the
+        classes outside its largest one meet all classes of other components, in blocks of about
+        BLOCK rows a side. Signatures and then full sets are compared inside a task, so only links
+        come out, however many classes are nearly similar."""
         large = buckets.filter(F.col("n") > SMALL).join(comp.withColumnRenamed("node", "rep"), "rep", "left")
         large = large.withColumn("component", F.coalesce("component", "rep"))
         per = large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
         main = per.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        rows = large.join(main, "key").join(classes.select("rep", "sig"), "rep").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        rows = self.shared.save(rows, "mixed")
-        minor = rows.filter("component <> main").select("key", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("sig").alias("sx"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        other = rows.select("key", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("sig").alias("sy"), "main", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
-        cond = (F.col("l.key") == F.col("r.key")) & (F.col("l.block") == F.col("r.block")) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & (_agree(F.col("sx"), F.col("sy")) >= self.least)
-        return minor.alias("l").join(other.alias("r"), cond).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        rows = large.join(main, "key").join(classes.select("rep", "sig"), "rep").join(sets.dropDuplicates(["rep"]), "rep")
+        rows = self.shared.save(rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n", "parts"), "mixed")
+        own, every = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        minor = rows.filter("component <> main").withColumn("i", own).withColumn("j", every)
+        other = rows.withColumn("j", own).withColumn("i", every)
+        names = ["key", "i", "j"]
+        return minor.groupBy(*names).cogroup(other.groupBy(*names)).applyInArrow(_links(self.percent, self.least, self.rows), "u bigint, v bigint").distinct()
 
     def components(self) -> DataFrame:
         """(doc_id, n_shingles, component_id), a row for each row of docs."""
@@ -183,8 +209,7 @@ class _Search:
         sets = self.sets(buckets)
         links = self.shared.save(self.verified(self.candidates(buckets), classes, sets), "links")
         comp = self.shared.save(components(links, self.shared, "c"), "comp")
-        more = self.rest(buckets, classes, comp)
-        more = self.shared.save(self.exact(more, sets), "more")
+        more = self.shared.save(self.rest(buckets, classes, sets, comp), "more")
         if more.limit(1).count():
             roots = comp.select(F.col("node").alias("u"), F.col("component").alias("v"))
             comp = self.shared.save(components(more.unionByName(roots), self.shared, "d"), "comp2")
