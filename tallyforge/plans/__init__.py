@@ -1,9 +1,9 @@
 """Named queries over the test tables, and DuckDB SQL for the same rows."""
 
-from tallyforge.plans import sales
+from tallyforge.plans import sales, templates
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (sales,):
+for _part in (sales, templates):
     QUERIES |= _part.Q
     ORACLES |= _part.O
