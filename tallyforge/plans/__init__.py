@@ -1,9 +1,9 @@
 """Named queries over the test tables, and DuckDB SQL for the same rows."""
 
-from tallyforge.plans import sales, templates
+from tallyforge.plans import retrieval, sales, templates
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (sales, templates):
+for _part in (sales, templates, retrieval):
     QUERIES |= _part.Q
     ORACLES |= _part.O
