@@ -1,9 +1,9 @@
 """Named queries over the test tables, and DuckDB SQL for the same rows."""
 
-from tallyforge.plans import dialogs, retrieval, sales, templates
+from tallyforge.plans import dialogs, retrieval, sales, templates, texts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (sales, templates, retrieval, dialogs):
+for _part in (sales, templates, retrieval, dialogs, texts):
     QUERIES |= _part.Q
     ORACLES |= _part.O
