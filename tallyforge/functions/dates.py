@@ -19,4 +19,4 @@ def duration_days(begin: Column, end: Column) -> Column:
 def freshness(day: Column, as_of: str, half_life: float = 365.0) -> Column:
     """Weight that halves with every half_life days before as_of; 1/2 without a date."""
     age = F.greatest(F.datediff(F.lit(as_of).cast("date"), day), F.lit(0))
-    return F.coalesce(F.pow(F.lit(0.5), age / half_life), F.lit(0.5))
+    return F.when(day.isNull(), 0.5).otherwise(F.pow(F.lit(0.5), age / half_life))
