@@ -195,6 +195,7 @@ class Network:
         first, n, text = f.windows()
         if not len(first) or labels.min() == labels.max():
             self.p["bo"][0] = -5 if not len(labels) or labels.max() < 1 else 5
+            self.p["wo"][:] = 0  # nothing to tell apart: one score for every text
             return
         evidence = self._start(f, labels)
         total = np.concatenate(([0], evidence))
@@ -278,7 +279,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Net
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = texts.join(F.broadcast(picked), "doc_id").select("label", "doc_id", "text").repartition(1)
     found = sample.mapInArrow(_train, "model binary").collect()
-    return pickle.loads(found[0].model) if found else Network()
+    if found:
+        return pickle.loads(found[0].model)
+    net = Network()
+    net.fit([], np.zeros(0, np.float32))
+    return net
 
 
 def scores(docs: DataFrame, net: Network) -> DataFrame:
