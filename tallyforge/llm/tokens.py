@@ -11,8 +11,11 @@ whole in any store, and because a lost task is simply run again.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -79,18 +82,79 @@ class EliasFano:
         return ((one - i) << self.low_bits) + low
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    from tokenizers import Tokenizer
+#: Letters, digits and white space among the characters below U+0250 that ODD lets pass.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\x0b\x0c\r"
+#: How byte-level tokenizers split a text before they merge (a fixed rule of that format). The
+#: alternatives before the letters need an apostrophe, which letters don't start with, so letters,
+#: the most frequent, may come first.
+SPLIT = re.compile(f" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: Other characters, on whose classes regular expression engines may differ.
+ODD = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\u024f]")
+CACHED = 600_000
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else
+    the next one from 256 on (a fixed rule of that format)."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTES = _byte_characters()
+
 
-    return Tokenizer.from_file(path)
+class Encoder:
+    """A tokenizer of the tokenizers library with a table of the pieces that it has encoded.
+
+    Merges never cross the pieces into which a byte-level tokenizer first splits a text, so the ids
+    of a text are those of its pieces in a row. Pieces not yet in the table are encoded by the
+    library's model. Texts with characters that engines may class differently, or with the
+    string of an added token, and all texts of other kinds of tokenizers, go to the library whole.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        spec = json.loads(self.tok.to_str())
+        first = spec.get("pre_tokenizer") or {}
+        self.by_piece = spec.get("normalizer") is None and first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True)
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.tok_model = self.tok.model
+        self.split, self.table = SPLIT.findall, {}
+
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.table) > CACHED:
+            self.table.clear()
+        for piece in pieces:
+            if piece not in self.table:
+                merged = self.tok_model.tokenize(piece.encode("utf-8").decode("latin-1").translate(BYTES))
+                self.table[piece] = array("I", [t.id for t in merged]).tobytes()
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        out: list = [None] * len(texts)
+        plain = [i for i, t in enumerate(texts) if self.by_piece and not ODD.search(t) and not any(a in t for a in self.added)]
+        pieces = [self.split(texts[i]) for i in plain]
+        self._learn(set().union(*pieces))
+        for i, own in zip(plain, pieces, strict=True):
+            out[i] = np.frombuffer(b"".join(map(self.table.__getitem__, own)), np.uint32)
+        whole = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(whole, self.tok.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, "<u4")
+        return out
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def _encode(path: str, end_id: int, block_ids: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(path)
-        width = 2 if max(tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        encode = _tokenizer(path)
+        width = 2 if max(encode.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         part, block, done = TaskContext.get().partitionId(), 0, 0
         ids: list[np.ndarray] = []
         docs: list[int | None] = []
@@ -108,8 +172,8 @@ def _encode(path: str, end_id: int, block_ids: int):
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at in range(0, len(texts), 64):
-                for name, e in zip(names[at : at + 64], tok.encode_batch_fast([t or "" for t in texts[at : at + 64]], add_special_tokens=False), strict=True):
-                    x = np.array(e.ids + [end_id], np.uint32)
+                for name, found in zip(names[at : at + 64], encode([t or "" for t in texts[at : at + 64]]), strict=True):
+                    x = np.append(found, np.uint32(end_id))
                     ids.append(x)
                     docs.append(name)
                     held += len(x)
