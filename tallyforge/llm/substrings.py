@@ -39,7 +39,7 @@ WIDTH = SPAN - PIECE + 1
 HOT = 2000  # occurrences beyond which an anchor's strings are dealt by more of their bytes
 STEP = 20
 LARGE = 20_000  # contexts beyond which strings are compared one by one
-CHUNK = 4 << 20
+CHUNK = 1 << 20  # bytes whose suffix array is built at once; the word table then stays in cache
 BROADCAST_IDS = 1_000_000
 LAST = (1 << 63) - 1
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -118,52 +118,62 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         lists, hot_lists = batch.column(3).to_pylist(), batch.column(4).to_pylist()
         for a, begins, ends, index, offset in _joined(batch.column(2).to_pylist()):
             g, place, lo, hi, text = anchors(a, begins, ends)
-            own = g.view(np.int64)
-            keys, ctx, rid, rh, rlo = [], [], [], [], []
-            raw = a.tobytes()
-            cuts = np.searchsorted(text, np.arange(len(begins) + 1))
-            for t in range(len(begins)):
-                s, e = int(cuts[t]), int(cuts[t + 1])
-                if s == e:
-                    continue
-                i = int(index[t])
-                base = int(offset[t]) - int(begins[t])
-                hot = set(hot_lists[i])
-                for j in s + np.flatnonzero(np.isin(own[s:e], np.array(lists[i], np.int64))):
-                    k, p, b, z = int(own[j]), int(place[j]), int(lo[j]), int(hi[j])
-                    if k not in hot:
-                        keys.append(k)
-                        ctx.append(raw[b : z + SPAN])
-                        rid.append(ids[i])
-                        rh.append(hs[i])
-                        rlo.append(b + base)
-                        continue
-                    while b <= z:  # starts of one step share the bytes from the latest start on
-                        c = (p - b) // STEP
-                        last = min(z, p - c * STEP)
-                        core = raw[p - c * STEP : p - (c + 1) * STEP + 1 + SPAN]
-                        keys.append(int.from_bytes(hashlib.blake2b(k.to_bytes(8, "little", signed=True) + bytes([c]) + core, digest_size=8).digest(), "little", signed=True))
-                        ctx.append(raw[b : last + SPAN])
-                        rid.append(ids[i])
-                        rh.append(hs[i])
-                        rlo.append(b + base)
-                        b = last + 1
+            own, raw = g.view(np.int64), a.tobytes()
+            cuts = np.searchsorted(text, np.arange(len(begins) + 1)).tolist()
+            keep, many = np.zeros(len(own), bool), np.zeros(len(own), bool)
+            for t, i in enumerate(index.tolist()):
+                s, e = cuts[t], cuts[t + 1]
+                keep[s:e] = np.isin(own[s:e], np.array(lists[i], np.int64))
+                if hot_lists[i]:
+                    many[s:e] = np.isin(own[s:e], np.array(hot_lists[i], np.int64))
+            shift = offset - begins
+            some = np.flatnonzero(keep & ~many)
+            keys = own[some].tolist()
+            ctx = [raw[b:e] for b, e in zip(lo[some].tolist(), (hi[some] + SPAN).tolist(), strict=True)]
+            doc = index[text[some]]
+            rid, rh, rlo = ids[doc].tolist(), hs[doc].tolist(), (lo[some] + shift[text[some]]).tolist()
+            for j in np.flatnonzero(many).tolist():
+                k, p, b, z, t = int(own[j]), int(place[j]), int(lo[j]), int(hi[j]), int(text[j])
+                while b <= z:  # starts of one step share the bytes from the latest start on
+                    c = (p - b) // STEP
+                    last = min(z, p - c * STEP)
+                    core = raw[p - c * STEP : p - (c + 1) * STEP + 1 + SPAN]
+                    keys.append(int.from_bytes(hashlib.blake2b(k.to_bytes(8, "little", signed=True) + bytes([c]) + core, digest_size=8).digest(), "little", signed=True))
+                    ctx.append(raw[b : last + SPAN])
+                    rid.append(int(ids[index[t]]))
+                    rh.append(int(hs[index[t]]))
+                    rlo.append(b + int(shift[t]))
+                    b = last + 1
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ctx, pa.binary()), pa.array(rid, pa.int64()), pa.array(rh, pa.int64()), pa.array(rlo, pa.int64())], names=names)
 
 
 class SuffixArray:
-    """Suffixes of a byte array in the order of their first ``depth`` bytes, by two-stage sorting."""
+    """Suffixes of a byte array in the order of their first ``depth`` bytes, by two-stage sorting.
 
-    def __init__(self, text: bytes, depth: int = SPAN):
+    valid: the places whose suffixes are wanted. Besides them only those are sorted that induction
+    needs: from a wanted suffix that is larger than its successor on to the next that is not.
+    """
+
+    def __init__(self, text: bytes, depth: int = SPAN, valid: np.ndarray | None = None):
         self.t = np.frombuffer(text, np.uint8)
         self.n, self.depth = len(self.t), depth
-        padded = np.concatenate((self.t, np.zeros(depth + 16, np.uint8))).astype(np.uint64)
-        w = padded[:-7] << np.uint64(56)
-        for k in range(1, 8):
-            w |= padded[k : len(padded) - 7 + k] << np.uint64(56 - 8 * k)
+        w = np.concatenate((self.t, np.zeros(depth + 16, np.uint8))).astype(np.uint64)
+        for k in (1, 2, 4):
+            w = (w[:-k] << np.uint64(8 * k)) | w[k:]
         self.words = w  # the 8 bytes from each place on, big-endian
+        self.small = self._is_small()
+        self.need = np.ones(self.n, bool) if valid is None else self._needed(valid)
         self.order = self._induce(self._small())
 
+    def _needed(self, valid: np.ndarray) -> np.ndarray:
+        ends = np.flatnonzero(valid & ~np.append(valid[1:], False) & ~self.small)
+        smalls = np.append(np.flatnonzero(self.small), self.n - 1)
+        to = smalls[np.minimum(np.searchsorted(smalls, ends), len(smalls) - 1)]
+        delta = np.zeros(self.n + 1, np.int64)
+        np.add.at(delta, ends, 1)
+        np.add.at(delta, to + 1, -1)
+        return valid | (np.cumsum(delta[:-1]) > 0)
+
     def _is_small(self) -> np.ndarray:
         """Suffixes smaller than their successors; in a run of equal bytes all follow its end."""
         step = np.diff(self.t.astype(np.int16), append=-1)
@@ -182,13 +192,14 @@ class SuffixArray:
     def _small(self) -> np.ndarray:
         """The small suffixes, sorted directly, eight bytes at a time; a group of suffixes that are
         all equal to the full depth needs no further sorting."""
-        self.small = self._is_small()
-        idx = np.flatnonzero(self.small)
+        idx = np.flatnonzero(self.small & self.need)
         if not len(idx):
             return idx
-        first = self.words[idx]
+        first, whole = self.words[idx], np.zeros(len(idx), np.uint64)
+        for k in [*range(0, self.depth - 7, 8), self.depth - 8]:
+            whole = whole * _M[0] + mix64(self.words[idx + k])  # a hash of all depth bytes
         by = np.argsort(first, kind="stable")
-        idx, first = idx[by], first[by]
+        idx, first, whole = idx[by], first[by], whole[by]
         new = np.concatenate(([True], first[1:] != first[:-1]))
         live = np.arange(len(idx))
         for k in range(8, self.depth, 8):
@@ -200,14 +211,14 @@ class SuffixArray:
                 break
             heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
             lens = np.diff(np.append(heads, len(group)))
-            differs = ~self.equal(idx[live], np.repeat(idx[live[heads]], lens))
+            differs = whole[live] != np.repeat(whole[live[heads]], lens)
             mixed = np.repeat(np.logical_or.reduceat(differs, heads), lens)
             live, group = live[mixed], group[mixed]
             if not len(live):
                 break
             key = self.words[idx[live] + k]
             by = np.lexsort((key, group))
-            idx[live] = idx[live[by]]
+            idx[live], whole[live] = idx[live[by]], whole[live[by]]
             key, group = key[by], group[by]
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])))
         return idx
@@ -217,14 +228,14 @@ class SuffixArray:
         next in its own bucket. All of a bucket that is known is scanned at once."""
         t, n = self.t, self.n
         large: list[list[np.ndarray]] = [[] for _ in range(256)]
-        if n:
+        if n and self.need[-1]:
             large[t[-1]].append(np.array([n - 1]))
         heads = np.searchsorted(t[small], np.arange(257))
         out = []
 
         def spread(at: np.ndarray, c: int) -> np.ndarray:
             before = at[at > 0] - 1
-            before = before[~self.small[before]]
+            before = before[self.need[before] & ~self.small[before]]
             chars = t[before]
             stays = before[chars == c]
             before, chars = before[chars != c], chars[chars != c]
@@ -266,7 +277,7 @@ def repeated_starts(contexts: list[bytes]) -> list[np.ndarray]:
     valid = np.zeros(lens.sum(), bool)
     for b, n in zip(begins.tolist(), lens.tolist(), strict=True):
         valid[b : b + n - SPAN + 1] = True
-    sa = SuffixArray(b"".join(contexts))
+    sa = SuffixArray(b"".join(contexts), SPAN, valid)
     again = np.flatnonzero(sa.first_equal(valid) < np.arange(sa.n))
     cuts = np.searchsorted(again, np.append(begins, sa.n))
     return [again[cuts[i] : cuts[i + 1]] - begins[i] for i in range(len(contexts))]
@@ -348,19 +359,20 @@ def removed_ranges(texts: DataFrame, shared: Shared) -> tuple[DataFrame, DataFra
     """(texts with repeated anchors: id, h, text), (id, h, b, e: byte ranges to remove).
     texts: id, h, text, each text once."""
     rows = texts.mapInArrow(_anchor_rows, "g bigint, id bigint")
-    often = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    often = shared.save(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "often")
     lists = rows.join(often, "g").groupBy("id").agg(F.collect_set("g").alias("gs"), F.collect_set(F.when(F.col("n") > HOT, F.col("g"))).alias("hot"))
     lists = shared.save(lists, "lists")
     hit = texts.join(_few(shared.save(lists.select("id"), "hit_ids")), "id", "left_semi").join(lists, "id")
     hit = shared.save(hit.select("id", "h", "text", "gs", "hot"), "hit")
     shared.drop("lists")
+    shared.drop("often")
     found = hit.mapInArrow(_context_rows, "key bigint, ctx binary, id bigint, h bigint, lo bigint")
-    found = found.withColumn("m1", F.xxhash64("ctx")).withColumn("m2", F.xxhash64(F.lit(1), "ctx"))
+    found = found.withColumn("m", F.xxhash64("ctx"))
     found = shared.save(found, "contexts")
-    first = found.groupBy("key", "m1", "m2").agg(F.first("ctx").alias("ctx"), F.min(F.struct("id", "h", "lo")).alias("f"), F.count(F.lit(1)).alias("c"))
+    first = found.groupBy("key", "m").agg(F.first("ctx").alias("ctx"), F.min(F.struct("id", "h", "lo")).alias("f"), F.count(F.lit(1)).alias("c"))
     first = shared.save(first, "first")
     # equal contexts after the first: every string of theirs occurs before
-    copies = found.select("key", "m1", "m2", "id", "h", "lo", (F.col("lo") + F.length("ctx")).alias("e")).join(first.filter("c > 1").select("key", "m1", "m2", "f"), ["key", "m1", "m2"])
+    copies = found.select("key", "m", "id", "h", "lo", (F.col("lo") + F.length("ctx")).alias("e")).join(first.filter("c > 1").select("key", "m", "f"), ["key", "m"])
     copies = copies.filter(F.struct("id", "h", "lo") != F.col("f")).select("id", "h", F.col("lo").alias("b"), "e")
     per = first.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     rest = first.join(per, "key").select("key", "ctx", "f.id", "f.h", "f.lo", "n")
