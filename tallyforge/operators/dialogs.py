@@ -134,3 +134,46 @@ def gates(total: Column, low: Column, high: Column, items: Column) -> dict[str,
 def reconciled(quoted: Column, items_total: Column) -> Column:
     """The items' sum where the quote drifts from it by over 5 %, else the quote."""
     return F.when(F.abs(quoted - items_total) / F.greatest(quoted, F.lit(1.0)) > 0.05, items_total).otherwise(quoted)
+
+
+def intent(text: Column, rules: list[tuple[str, str, bool]], has_history: Column) -> Column:
+    """Name of the first rule whose pattern is found; a rule may ask for an earlier turn."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.coalesce(*[F.when(low.rlike(p) & (has_history if needs else F.lit(True)), F.lit(k)) for k, p, needs in rules], F.lit("general"))
+
+
+def predicates(text: Column, patterns: dict[str, str]) -> dict[str, Column]:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return {k: low.rlike(p) for k, p in patterns.items()}
+
+
+def components(requests: DataFrame, parts: dict[str, tuple[str, tuple]]) -> DataFrame:
+    """(request_id, component, place): components that a text names and those they imply, in the
+    order in which parts lists them. parts: name to (pattern, implied names)."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    order = F.array(*[F.lit(k) for k in parts])
+    named = F.array(*[F.when(low.rlike(p), F.array(F.lit(k), *[F.lit(i) for i in more])) for k, (p, more) in parts.items()])
+    every = F.array_distinct(F.flatten(F.filter(named, lambda x: x.isNotNull())))
+    return requests.select("request_id", F.explode(every).alias("component")).withColumn("place", F.array_position(order, F.col("component")).cast("int"))
+
+
+def linear_metres(letters: Column, height_cm: Column) -> Column:
+    """Outline length of letters: 0.65 of their height each."""
+    return F.round(letters * height_cm / 100 * 0.65 + 1e-9, 2)
+
+
+def next_question(known: dict[str, Column]) -> Column:
+    """The first thing that is not known yet, null if all is."""
+    return F.coalesce(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in known.items()])
+
+
+def final_price(candidates: list[tuple[str, Column, Column]]) -> dict[str, Column]:
+    """The first source whose gate is open: its name, price, and the gates that were shut before it."""
+    source = F.coalesce(*[F.when(gate & price.isNotNull(), F.lit(k)) for k, gate, price in candidates])
+    price = F.coalesce(*[F.when(gate & price.isNotNull(), price) for _, gate, price in candidates])
+    shut = F.filter(F.array(*[F.when(~F.coalesce(gate, F.lit(False)), F.lit(f"no_{k}")) for k, gate, _ in candidates]), lambda x: x.isNotNull())
+    return {"source": F.coalesce(source, F.lit("manual")), "price": price, "flags": F.array_join(shut, "|")}
+
+
+def drifts(stated: Column, computed: Column, most: float = 0.3) -> Column:
+    return F.coalesce((computed > 0) & (F.abs(stated - computed) / computed > most), F.lit(False))

@@ -102,3 +102,47 @@ def greedy_prototypes(rows: DataFrame, by: str, least_distance: float, most: int
         return pa.table({by: pa.array([t.column(by)[0].as_py()] * len(ids), pa.int32()), "id": pa.array(ids, pa.int64())})
 
     return some.groupBy(by).applyInArrow(task, f"{by} int, id bigint")
+
+
+def critiques(rows: DataFrame, text: str, patterns: dict[str, str], by: str, severity: Column) -> DataFrame:
+    """Clusters of critique types by topic: how many rows and how severe in all."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    found = F.filter(F.array(*[F.when(low.rlike(p), F.lit(k)) for k, p in patterns.items()]), lambda x: x.isNotNull())
+    out = rows.withColumn("_s", severity).select(by, "_s", F.explode(found).alias("critique"))
+    return out.groupBy(by, "critique").agg(F.count(F.lit(1)).alias("n"), F.sum("_s").alias("severity"))
+
+
+def phrase_failures(text: Column, required: list[str], any_of: list[str], forbidden: list[str]) -> Column:
+    """What a text misses or must not hold, as a list."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    has = lambda t: low.contains(t.lower())
+    parts = [F.when(~has(t), F.lit(f"missing:{t}")) for t in required] + [F.when(has(t), F.lit(f"forbidden:{t}")) for t in forbidden]
+    if any_of:
+        hit = has(any_of[0])
+        for t in any_of[1:]:
+            hit = hit | has(t)
+        parts.append(F.when(~hit, F.lit("none_of_any")))
+    return F.filter(F.array(*parts), lambda x: x.isNotNull())
+
+
+def labelled_pairs(rows: DataFrame, label: Column, least: float, per: int) -> DataFrame:
+    """Training pairs (query_id, doc_id, label) from ``least`` on, the best ``per`` of a query, each
+    pair of texts once."""
+    some = rows.withColumn("label", label).filter(F.col("label") >= least)
+    some = some.groupBy("query_id", "doc_id").agg(F.max("label").alias("label"))
+    return top_n(some, ["query_id"], [F.desc("label"), F.col("doc_id")], per)
+
+
+def artefact_gates(counts: DataFrame, least: dict[str, int]) -> DataFrame:
+    """(artefact, rows, least, ok) for tables of (artefact, rows); a missing artefact has no rows."""
+    spark = counts.sparkSession
+    want = spark.createDataFrame(list(least.items()), "artefact string, least long")
+    out = want.join(counts, "artefact", "left").withColumn("rows", F.coalesce("rows", F.lit(0)).cast("long"))
+    return out.select("artefact", "rows", "least", (F.col("rows") >= F.col("least")).alias("ok"))
+
+
+def resumed(rows: DataFrame, done: DataFrame, key: str, work) -> DataFrame:
+    """Results so far and those of the rows that are not done yet; failed ones (null) are tried again."""
+    good = done.filter("result is not null")
+    rest = rows.join(good.select(key), key, "left_anti")
+    return good.select(key, "result").unionByName(rest.select(key, work.alias("result")))

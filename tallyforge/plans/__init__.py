@@ -1,9 +1,9 @@
 """Named queries over the test tables, and DuckDB SQL for the same rows."""
 
-from tallyforge.plans import dialogs, estimates, retrieval, sales, templates, texts
+from tallyforge.plans import dialogs, documents, estimates, retrieval, sales, templates, texts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (sales, templates, retrieval, dialogs, texts, estimates):
+for _part in (sales, templates, retrieval, dialogs, texts, estimates, documents):
     QUERIES |= _part.Q
     ORACLES |= _part.O

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyforge.operators import dialogs as D
+from tallyforge.operators import documents as B
 from tallyforge.operators import retrieval as R
 from tallyforge.operators import sales as S
 from tallyforge.operators import texts as P
@@ -82,3 +83,16 @@ def test_request_quantities(spark):
     assert (rows[0].height_cm, rows[0].pieces, rows[0].budget) == (40.0, 3.0, 15000.0)
     assert (rows[1].area, rows[1].hours) == (18.0, 2.0)
     assert rows[2].height_cm is None and rows[3].budget is None
+
+
+def test_hashed_embeddings(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "A  b"), (3, ""), (4, None)], "doc_id long, text string")
+    out = {r.doc_id: r.embedding for r in B.hashed_embeddings(df, 16).collect()}
+    assert out[1] == out[2] and abs(sum(x * x for x in out[1]) - 1) < 1e-6
+    assert out[3] == out[4] == [0.0] * 16
+
+
+def test_forced_documents_move_up_once(spark):
+    res = spark.createDataFrame([(1, 10, 0.5), (1, 11, 0.4)], "query_id long, doc_id long, score double")
+    out = B.injected(res, spark.createDataFrame([(1, 11), (2, 9)], "query_id long, doc_id long")).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.doc_id, r.score) for r in out] == [(1, 11, 0.51), (1, 10, 0.5), (2, 9, 0.01)]
