@@ -33,6 +33,7 @@ ITEMS = 4096
 CLASS = 1.15
 HEAVIEST = 12
 CHUNK = 12_000
+RUN = 16
 _NEAR = np.array(sorted(sum(1 << b for b in bits) for n in range(4) for bits in combinations(range(16), n)), np.int64)
 
 
@@ -42,9 +43,16 @@ def _signed(words: np.ndarray, lens: np.ndarray) -> np.ndarray:
     bits += bits
     bits -= 1
     bits *= np.minimum(lens, HEAVIEST).astype(np.int16)[:, None]
-    out = np.zeros((len(words) + 1, 64), np.int16)
-    np.cumsum(bits, axis=0, dtype=np.int16, out=out[1:])
-    return out
+    # sums inside runs of RUN rows, whole rows at a time, then the sums of the runs before them
+    n = len(words)
+    out = np.zeros((1 + -(-n // RUN) * RUN, 64), np.int16)
+    out[1 : n + 1] = bits
+    runs = out[1:].reshape(-1, RUN, 64)
+    for j in range(1, RUN):
+        runs[:, j] += runs[:, j - 1]
+    before = np.cumsum(runs[:, -1], axis=0, dtype=np.int16)
+    runs[1:] += before[:-1, None]
+    return out[: n + 1]
 
 
 def _prints(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -99,26 +107,28 @@ class ItemIndex:
         self.longest = int(n.max()) if len(n) else 0
 
     def _tables(self, items: np.ndarray) -> tuple:
-        """(four tables in compressed rows: for each 16-bit value the items near it in that block)."""
+        """(four tables: for each 16-bit value where the items near it in that block begin, how many, and the items)."""
         tables = []
         for b in range(4):
             value = ((self.prints[items] >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
             near = (value[:, None] ^ _NEAR[None, :]).ravel()
             owner = np.repeat(items, len(_NEAR))
             order = np.argsort(near, kind="stable")
-            tables.append((np.concatenate(([0], np.cumsum(np.bincount(near, minlength=1 << 16)))).astype(np.int64), owner[order].astype(np.int32)))
+            count = np.bincount(near, minlength=1 << 16)
+            tables.append(((np.cumsum(count) - count).astype(np.int32), count.astype(np.int32), owner[order].astype(np.int32)))
         return (tables,)
 
     def near(self, prints: np.ndarray, tables: list) -> tuple[np.ndarray, np.ndarray]:
         """All (window, item) with fingerprints within RADIUS."""
         found = []
-        for b, (ptr, owner) in enumerate(tables):
-            v = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-            lo, n = ptr[v], ptr[v + 1] - ptr[v]
+        parts = prints.view("<u2").reshape(-1, 4)
+        for b, (begin, count, owner) in enumerate(tables):
+            v = parts[:, b]
+            n = count[v]
             hit = np.flatnonzero(n)
             if not len(hit):
                 continue
-            n, lo = n[hit], lo[hit]
+            n, lo = n[hit], begin[v[hit]]
             w = np.repeat(hit, n)
             item = owner[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
             ok = np.bitwise_count(prints[w] ^ self.prints[item]) <= RADIUS
