@@ -47,7 +47,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Shared:
-    """Tables written to the shared folder: they cut lineage and outlive lost executors."""
+    """Tables written to the shared folder: they cut lineage and outlive lost executors. They go
+    when the driver's JVM ends; results that read them must be read or written before."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
@@ -57,12 +58,17 @@ class Shared:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        fs, at = self._file_system(name)
+        fs.deleteOnExit(at)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def _file_system(self, name: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
     def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        fs, at = self._file_system(name)
+        fs.delete(at, True)
 
 
 def text_of(docs: DataFrame, column: str = "text") -> Column:
