@@ -134,9 +134,13 @@ def coverage(values: DataFrame, group: str, covered: Column, n: int) -> DataFram
 
 def slug_matches(left: DataFrame, right: DataFrame, least: float = 0.55) -> DataFrame:
     """(id, other, kind, score): exact slug, else one contained in the other (at least 0.4 of its
-    length), else edit similarity of slugs that share their first three letters."""
+    length), else edit similarity. Candidates share the word of a left slug that is rarest among
+    right slugs, so a word that all slugs have makes no pairs."""
     score = 1 - F.levenshtein("slug", "slug2") / F.greatest(F.length("slug"), F.length("slug2"))
-    pairs = left.withColumn("k", F.substring("slug", 1, 3)).join(right.withColumn("k", F.substring("slug2", 1, 3)), "k")
+    words = right.select("other", "slug2", F.explode(F.array_distinct(F.split("slug2", "_"))).alias("k"))
+    often = words.groupBy("k").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = left.select("id", "slug", F.explode(F.array_distinct(F.split("slug", "_"))).alias("k")).join(often, "k").groupBy("id", "slug").agg(F.min_by("k", F.struct("_n", "k")).alias("k"))
+    pairs = rarest.join(words, "k")
     inside = (F.col("slug").contains(F.col("slug2")) | F.col("slug2").contains(F.col("slug"))) & (F.least(F.length("slug"), F.length("slug2")) / F.greatest(F.length("slug"), F.length("slug2")) >= 0.4)
     kind = F.when(F.col("slug") == F.col("slug2"), 0).when(inside, 1).when(score >= least, 2)
     value = F.when(F.col("slug") == F.col("slug2"), 1.0).when(inside, F.least(score + 0.2, F.lit(1.0))).otherwise(score)

@@ -182,12 +182,15 @@ def uncovered_revenue(spark, d):
 
 
 @query(
-    """with l as (select c_custkey as id, 'customer_' || c_custkey as slug from customer where c_custkey % 5 = 0), r as (select s_suppkey as other, 'customer_' || (s_suppkey * 7) as slug2 from supplier where s_suppkey % 2 = 0),
-p as (select *, 1 - levenshtein(slug, slug2) / greatest(length(slug), length(slug2)) as sc, (contains(slug, slug2) or contains(slug2, slug)) and least(length(slug), length(slug2)) / greatest(length(slug), length(slug2)) >= 0.4 as ins from l, r),
-k as (select *, case when slug = slug2 then 0 when ins then 1 when sc >= 0.55 then 2 end as kind, round(case when slug = slug2 then 1.0 when ins then least(sc + 0.2, 1.0) else sc end, 4) as score from p),
-b as (select *, row_number() over (partition by id order by kind, score desc, other) as rn from k where kind is not null) select id, other, kind, score from b where rn = 1"""
+    """with l as (select c_custkey as id, 'customer_' || c_custkey || '_' || c_nationkey as slug from customer where c_custkey % 5 = 0), r as (select s_suppkey as other, 'customer_' || (s_suppkey * 7) || '_' || s_nationkey as slug2 from supplier),
+w as (select distinct other, slug2, unnest(string_split(slug2, '_')) as k from r), f as (select k, count(*) as n from w group by 1), lw as (select distinct id, slug, unnest(string_split(slug, '_')) as k from l),
+ra as (select id, slug, arg_min(k, row(n, k)) as k from lw join f using (k) group by 1, 2),
+p as (select *, 1 - levenshtein(slug, slug2) / greatest(length(slug), length(slug2)) as sc, (contains(slug, slug2) or contains(slug2, slug)) and least(length(slug), length(slug2)) / greatest(length(slug), length(slug2)) >= 0.4 as ins from ra join w using (k)),
+k2 as (select *, case when slug = slug2 then 0 when ins then 1 when sc >= 0.55 then 2 end as kind, round(case when slug = slug2 then 1.0 when ins then least(sc + 0.2, 1.0) else sc end, 4) as score from p),
+b as (select *, row_number() over (partition by id order by kind, score desc, other) as rn from k2 where kind is not null) select id, other, kind, score from b where rn = 1"""
 )
 def slug_matches(spark, d):
-    left = table(spark, d, "customer").filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("id"), F.concat(F.lit("customer_"), F.col("c_custkey").cast("string")).alias("slug"))
-    right = table(spark, d, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("other"), F.concat(F.lit("customer_"), (F.col("s_suppkey") * 7).cast("string")).alias("slug2"))
+    slug = lambda i, n: F.concat_ws("_", F.lit("customer"), i.cast("string"), F.col(n).cast("string"))
+    left = table(spark, d, "customer").filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("id"), slug(F.col("c_custkey"), "c_nationkey").alias("slug"))
+    right = table(spark, d, "supplier").select(F.col("s_suppkey").alias("other"), slug(F.col("s_suppkey") * 7, "s_nationkey").alias("slug2"))
     return E.slug_matches(left, right)
