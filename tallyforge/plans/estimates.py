@@ -81,21 +81,21 @@ def bundle_prices(spark, d):
     + """, n as (select distinct name, direction, list_distinct(list_filter(string_split(regexp_replace(lower(name), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: length(x) >= 2)) as t from goods),
 p as (select a.name, a.direction, b.name as analog, b.direction as analog_direction, round(len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)) + case when a.direction = b.direction then 0.15 else 0 end, 4) as score from n a join n b on len(list_intersect(a.t, b.t)) > 0),
 k as (select *, row_number() over (partition by name, direction order by score desc, analog, analog_direction) as rank from p),
-pr as (select name as analog, direction as analog_direction, round(median(base_price), 2) as price from goods where product_id % 3 = 0 group by 1, 2),
-j as (select product_id as key, k.analog, price, row_number() over (partition by product_id order by rank) as rn from goods join k using (name, direction) join pr using (analog, analog_direction) where product_id % 10 = 1 and rank <= 3)
+pr as (select name as analog, direction as analog_direction, round(median(base_price), 2) as price from goods where base_price > 1100 group by 1, 2),
+j as (select product_id as key, k.analog, price, row_number() over (partition by product_id order by rank) as rn from goods join k using (name, direction) join pr using (analog, analog_direction) where rank <= 3)
 select key, analog, price from j where rn = 1"""
 )
 def analog_prices(spark, d):
     g = catalogue(spark, d)
-    prices = g.filter("product_id % 3 = 0").groupBy("name", "direction").agg(F.round(F.median("base_price"), 2).alias("price"))
-    targets = g.filter("product_id % 10 = 1").select(F.col("product_id").alias("key"), "name", "direction")
+    prices = g.filter("base_price > 1100").groupBy("name", "direction").agg(F.round(F.median("base_price"), 2).alias("price"))
+    targets = g.select(F.col("product_id").alias("key"), "name", "direction")
     return E.analog_prices(targets, S.nearest_analogs(g, g).drop("product_id", "score"), prices)
 
 
 @query(
     LINES
     + """, c as (select deal_id as query_id, direction as component, sum(quantity) as quantity from lines where dataset = 'offers' group by 1, 2),
-p as (select p_type as component, p_size::double as low, p_size + 20.0 as high, p_retailprice as price, (p_size % 10) / 10.0 as confidence from part where p_partkey % 50 = 0),
+p as (select p_type as component, p_size::double as low, p_size + 20.0::double as high, median(p_retailprice) as price, (p_size % 10) / 10.0::double as confidence from part group by p_type, p_size),
 j as (select *, row_number() over (partition by query_id, component order by greatest(low - quantity, quantity - high, 0), price, confidence) as rn from c join p using (component)),
 t as (select query_id, sum(price * quantity) as t, sum(price * quantity * confidence) as w, count(*) as components from j where rn = 1 group by 1), f as (select *, case when t > 0 then w / t else 0 end as conf from t),
 b as (select *, case when conf >= 0.8 then 0.1 when conf >= 0.5 then 0.25 else 0.35 end as band from f)
@@ -103,8 +103,9 @@ select query_id, round(t + 1e-9, 2) as total, round(conf, 4) as confidence, roun
 )
 def parametric_estimates(spark, d):
     comp = lines(spark, d).filter("dataset = 'offers'").groupBy(F.col("deal_id").alias("query_id"), F.col("direction").alias("component")).agg(F.sum("quantity").alias("quantity"))
-    p = table(spark, d, "part").filter("p_partkey % 50 = 0")  # the pool of priced components of this example
-    pools = p.select(F.col("p_type").alias("component"), F.col("p_size").cast("double").alias("low"), (F.col("p_size") + 20.0).alias("high"), F.col("p_retailprice").alias("price"), ((F.col("p_size") % 10) / 10.0).alias("confidence"))
+    # one priced range per component and size: a price list whose length sizes bound
+    p = table(spark, d, "part").groupBy("p_type", "p_size").agg(F.median("p_retailprice").alias("price"))
+    pools = p.select(F.col("p_type").alias("component"), F.col("p_size").cast("double").alias("low"), (F.col("p_size") + 20.0).alias("high"), "price", ((F.col("p_size") % 10) / 10.0).alias("confidence"))
     return E.parametric(comp, pools)
 
 
@@ -182,7 +183,7 @@ def uncovered_revenue(spark, d):
 
 
 @query(
-    """with l as (select c_custkey as id, 'customer_' || c_custkey || '_' || c_nationkey as slug from customer where c_custkey % 5 = 0), r as (select s_suppkey as other, 'customer_' || (s_suppkey * 7) || '_' || s_nationkey as slug2 from supplier),
+    """with l as (select c_custkey as id, 'customer_' || c_custkey || '_' || c_nationkey as slug from customer), r as (select s_suppkey as other, 'customer_' || (s_suppkey * 7) || '_' || s_nationkey as slug2 from supplier),
 w as (select distinct other, slug2, unnest(string_split(slug2, '_')) as k from r), f as (select k, count(*) as n from w group by 1), lw as (select distinct id, slug, unnest(string_split(slug, '_')) as k from l),
 ra as (select id, slug, arg_min(k, row(n, k)) as k from lw join f using (k) group by 1, 2),
 p as (select *, 1 - levenshtein(slug, slug2) / greatest(length(slug), length(slug2)) as sc, (contains(slug, slug2) or contains(slug2, slug)) and least(length(slug), length(slug2)) / greatest(length(slug), length(slug2)) >= 0.4 as ins from ra join w using (k)),
@@ -191,6 +192,6 @@ b as (select *, row_number() over (partition by id order by kind, score desc, ot
 )
 def slug_matches(spark, d):
     slug = lambda i, n: F.concat_ws("_", F.lit("customer"), i.cast("string"), F.col(n).cast("string"))
-    left = table(spark, d, "customer").filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("id"), slug(F.col("c_custkey"), "c_nationkey").alias("slug"))
+    left = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), slug(F.col("c_custkey"), "c_nationkey").alias("slug"))
     right = table(spark, d, "supplier").select(F.col("s_suppkey").alias("other"), slug(F.col("s_suppkey") * 7, "s_nationkey").alias("slug2"))
     return E.slug_matches(left, right)
