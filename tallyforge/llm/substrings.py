@@ -367,10 +367,10 @@ def removed_ranges(texts: DataFrame, shared: Shared) -> tuple[DataFrame, DataFra
     shared.drop("lists")
     shared.drop("often")
     found = hit.mapInArrow(_context_rows, "key bigint, ctx binary, id bigint, h bigint, lo bigint")
-    found = found.withColumn("m", F.xxhash64("ctx"))
-    found = shared.save(found, "contexts")
+    # the hash of a context is computed where it is needed: it would not compress
+    found = shared.save(found, "contexts").withColumn("m", F.xxhash64("ctx"))
     first = found.groupBy("key", "m").agg(F.first("ctx").alias("ctx"), F.min(F.struct("id", "h", "lo")).alias("f"), F.count(F.lit(1)).alias("c"))
-    first = shared.save(first, "first")
+    first = shared.save(first.drop("m"), "first").withColumn("m", F.xxhash64("ctx"))
     # equal contexts after the first: every string of theirs occurs before
     copies = found.select("key", "m", "id", "h", "lo", (F.col("lo") + F.length("ctx")).alias("e")).join(first.filter("c > 1").select("key", "m", "f"), ["key", "m"])
     copies = copies.filter(F.struct("id", "h", "lo") != F.col("f")).select("id", "h", F.col("lo").alias("b"), "e")
