@@ -118,13 +118,13 @@ def request_gaps(spark, d):
 
 @query(
     """with x as (select p_partkey as id, case when p_size > 25 then p_retailprice * 1.1 end as template, case when p_partkey % 3 = 0 then p_retailprice * 0.9 end as deal, p_retailprice as base from part)
-select id, case when template is not null and base > 1000 then 'template' when deal is not null then 'deal' when base > 1200 then 'catalogue' else 'manual' end as source,
-round(case when template is not null and base > 1000 then template when deal is not null then deal when base > 1200 then base end + 1e-9, 2) as price,
-array_to_string(list_filter([case when not base > 1000 then 'no_template' end, case when not base > 1200 then 'no_catalogue' end], lambda v: v is not null), '|') as flags, coalesce(abs(coalesce(template, deal) - base) / base > 0.095, false) as drifts from x"""
+select id, case when template is not null and base > 940 then 'template' when deal is not null then 'deal' when base > 960 then 'catalogue' else 'manual' end as source,
+round(case when template is not null and base > 940 then template when deal is not null then deal when base > 960 then base end + 1e-9, 2) as price,
+array_to_string(list_filter([case when not base > 940 then 'no_template' end, case when not base > 960 then 'no_catalogue' end], lambda v: v is not null), '|') as flags, coalesce(abs(coalesce(template, deal) - base) / base > 0.095, false) as drifts from x"""
 )
 def gate_cascade(spark, d):
     x = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 25, F.col("p_retailprice") * 1.1).alias("template"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_retailprice") * 0.9).alias("deal"), F.col("p_retailprice").alias("base"))
-    f = D.final_price([("template", F.col("base") > 1000, F.col("template")), ("deal", F.lit(True), F.col("deal")), ("catalogue", F.col("base") > 1200, F.col("base"))])
+    f = D.final_price([("template", F.col("base") > 940, F.col("template")), ("deal", F.lit(True), F.col("deal")), ("catalogue", F.col("base") > 960, F.col("base"))])
     return x.select("id", f["source"].alias("source"), F.round(f["price"] + 1e-9, 2).alias("price"), f["flags"].alias("flags"), D.drifts(F.coalesce("template", "deal"), F.col("base"), 0.095).alias("drifts"))
 
 

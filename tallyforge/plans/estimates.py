@@ -81,13 +81,13 @@ def bundle_prices(spark, d):
     + """, n as (select distinct name, direction, list_distinct(list_filter(string_split(regexp_replace(lower(name), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: length(x) >= 2)) as t from goods),
 p as (select a.name, a.direction, b.name as analog, b.direction as analog_direction, round(len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)) + case when a.direction = b.direction then 0.15 else 0 end, 4) as score from n a join n b on len(list_intersect(a.t, b.t)) > 0),
 k as (select *, row_number() over (partition by name, direction order by score desc, analog, analog_direction) as rank from p),
-pr as (select name as analog, direction as analog_direction, round(median(base_price), 2) as price from goods where base_price > 1100 group by 1, 2),
+pr as (select name as analog, direction as analog_direction, round(median(base_price), 2) as price from goods where base_price > 950 group by 1, 2),
 j as (select product_id as key, k.analog, price, row_number() over (partition by product_id order by rank) as rn from goods join k using (name, direction) join pr using (analog, analog_direction) where rank <= 3)
 select key, analog, price from j where rn = 1"""
 )
 def analog_prices(spark, d):
     g = catalogue(spark, d)
-    prices = g.filter("base_price > 1100").groupBy("name", "direction").agg(F.round(F.median("base_price"), 2).alias("price"))
+    prices = g.filter("base_price > 950").groupBy("name", "direction").agg(F.round(F.median("base_price"), 2).alias("price"))
     targets = g.select(F.col("product_id").alias("key"), "name", "direction")
     return E.analog_prices(targets, S.nearest_analogs(g, g).drop("product_id", "score"), prices)
 
