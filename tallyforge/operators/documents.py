@@ -87,3 +87,61 @@ def hashed_embeddings(docs: DataFrame, dim: int = 64) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array((out / np.where(n > 0, n, 1)).tolist(), pa.list_(pa.float32()))], names=["doc_id", "embedding"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, "doc_id bigint, embedding array<float>")
+
+
+def bundle_documents(bundles: DataFrame, matches: DataFrame) -> DataFrame:
+    """Bundle facts with how often orders contain them, as documents."""
+    m = matches.select("bundle_key", "contained_matches", "match_rate")
+    rows = bundles.join(m, "bundle_key", "left")
+    text = joined(
+        " | ",
+        F.concat(F.lit("products: "), F.col("product_count").cast("string")),
+        F.concat(F.lit("deals: "), F.col("deal_count").cast("string")),
+        F.concat(F.lit("median: "), F.format_number("median_value", 2)),
+        F.when(F.col("contained_matches") > 0, F.concat(F.lit("contained in orders: "), F.col("contained_matches").cast("string"))),
+    )
+    return as_documents(rows, "bundle", F.concat_ws(":", "dataset", "bundle_key"), text)
+
+
+def profile_documents(profiles: DataFrame, most: int = 500) -> DataFrame:
+    text = joined("\n", F.concat(F.lit("direction: "), "primary_direction"), F.concat(F.lit("shares: "), "direction_breakdown"), F.concat(F.lit("parts: "), F.substring("components", 1, most)))
+    return as_documents(profiles, "deal_profile", F.col("deal_id"), text)
+
+
+def projected_answers(candidates: DataFrame, most: int = 50) -> DataFrame:
+    """Answers as one row each: references, their distinct types, whether any has a price. At most
+    ``most`` candidates of a query are gathered."""
+    some = candidates.filter(F.col("rank") <= most).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_type", "p50"))).alias("refs"))
+    return some.select("query_id", F.size("refs").alias("references"), F.size(F.array_distinct(F.transform("refs", lambda r: r["doc_type"]))).alias("types"), F.exists("refs", lambda r: r["p50"].isNotNull()).alias("priced"))
+
+
+def marker_chunks(docs: DataFrame, marker: str, size: int = 1800, least: int = 200) -> DataFrame:
+    """(doc_id, chunk, body): texts cut before lines that match a marker; a part under ``least``
+    characters joins the one before while both fit ``size``; longer ones are cut at ``size``."""
+    import re
+
+    pattern = re.compile(marker)
+
+    def cut(text: str) -> list[str]:
+        parts: list[list[str]] = []
+        for line in (text or "").split("\n"):
+            if not parts or pattern.search(line):
+                parts.append([])
+            parts[-1].append(line)
+        out: list[str] = []
+        for part in ("\n".join(p).strip() for p in parts):
+            if not part:
+                continue
+            if out and len(part) < least and len(out[-1]) + len(part) < size:
+                out[-1] += "\n" + part
+            else:
+                out += [part[i : i + size] for i in range(0, len(part), size)]
+        return out
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = cut(t)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())], names=["doc_id", "chunk", "body"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, "doc_id bigint, chunk int, body string")

@@ -185,3 +185,26 @@ def embedded_search(spark, d):
     docs = B.hashed_embeddings(table(spark, d, "documents"))
     items = B.hashed_embeddings(table(spark, d, "benchmark").withColumnRenamed("item_id", "doc_id")).withColumnRenamed("doc_id", "query_id")
     return dense_top_k(docs, items, 5)
+
+
+@query(
+    DEALS
+    + """, b as (select dataset, bundle_key, max(unique_products) as pc, count(*) as n, round(median(line_total) filter (payment <> 'barter') + 1e-9, 2) as med from deals group by 1, 2),
+un as (select bundle_key, len(product_keys) as k, unnest(product_keys) as product from (select distinct bundle_key, product_keys from deals where dataset = 'offers')), oi as (select deal_id, unnest(product_keys) as product from deals where dataset = 'orders'),
+hit as (select bundle_key, deal_id from un join oi using (product) group by bundle_key, deal_id, k having count(*) = k), cn as (select bundle_key, count(*) as c from hit group by 1)
+select 'bundle:' || dataset || ':' || bundle_key as doc_id, 'bundle' as doc_type, 'products: ' || pc || ' | deals: ' || n || coalesce(' | median: ' || format('{:,.2f}', med), '') || case when c > 0 then ' | contained in orders: ' || c else '' end as searchable_text from b left join cn using (bundle_key)"""
+)
+def bundle_documents(spark, d):
+    deals = S.deal_facts(lines(spark, d))
+    return B.bundle_documents(S.bundle_facts(deals), S.template_matches(deals))
+
+
+@query()
+def profile_documents(spark, d):
+    rows = lines(spark, d)
+    return B.profile_documents(S.deal_profiles(rows, S.deal_facts(rows)))
+
+
+@query()
+def marker_chunks(spark, d):
+    return B.marker_chunks(table(spark, d, "documents"), r"^[A-Z][a-z]+ ")

@@ -195,3 +195,10 @@ def slug_matches(spark, d):
     left = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), slug(F.col("c_custkey"), "c_nationkey").alias("slug"))
     right = table(spark, d, "supplier").select(F.col("s_suppkey").alias("other"), slug(F.col("s_suppkey") * 7, "s_nationkey").alias("slug2"))
     return E.slug_matches(left, right)
+
+
+@query(LINES + FACTS + CAND + "select query_id, count(*)::int as \"references\", count(distinct doc_type)::int as types, bool_or(p50 is not null) as priced from cand where rank <= 50 group by 1")
+def projected_answers(spark, d):
+    from tallyforge.operators.documents import projected_answers as project
+
+    return project(_candidates(spark, d))

@@ -63,3 +63,13 @@ def read_checked(spark: SparkSession, path: str, rows: int | None = None, column
     if rows is not None and (n := df.count()) < rows:
         raise ValueError(f"{path} has {n} rows, fewer than {rows}")
     return df
+
+
+def markdown_table(df: DataFrame, most: int = 200) -> str:
+    """A small result as a Markdown table; more than ``most`` rows are an error, not cut off."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]) + "\n"

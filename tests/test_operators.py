@@ -96,3 +96,15 @@ def test_forced_documents_move_up_once(spark):
     res = spark.createDataFrame([(1, 10, 0.5), (1, 11, 0.4)], "query_id long, doc_id long, score double")
     out = B.injected(res, spark.createDataFrame([(1, 11), (2, 9)], "query_id long, doc_id long")).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.doc_id, r.score) for r in out] == [(1, 11, 0.51), (1, 10, 0.5), (2, 9, 0.01)]
+
+
+def test_marker_chunks(spark):
+    text = "intro\n# One\n" + "a" * 30 + "\n# Two\nbb\n# Three\n" + "c" * 70
+    out = B.marker_chunks(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), "^# ", size=50, least=10).orderBy("chunk").collect()
+    assert [r.body for r in out] == ["intro", "# One\n" + "a" * 30 + "\n# Two\nbb", ("# Three\n" + "c" * 70)[:50], ("# Three\n" + "c" * 70)[50:]]
+
+
+def test_profile_documents(spark):
+    df = spark.createDataFrame([(7, "d", "d: 100%", "x x1 = 2")], "deal_id long, primary_direction string, direction_breakdown string, components string")
+    r = B.profile_documents(df).first()
+    assert (r.doc_id, r.searchable_text) == ("deal_profile:7", "direction: d\nshares: d: 100%\nparts: x x1 = 2")

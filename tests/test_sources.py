@@ -59,3 +59,8 @@ def test_streamed_upsert_equals_latest(spark, tmp_path):
     got = {r.user_id: r.event_id for r in spark.read.parquet(f"{tmp_path}/t/v={last}").collect()}
     expected = {r.user_id: r.m for r in spark.read.parquet(src).groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
     assert got == expected
+
+
+def test_markdown_report(spark):
+    df = spark.createDataFrame([("a|b", 1), (None, 2)], "k string, n int").orderBy("n")
+    assert files.markdown_table(df) == "| k | n |\n|---|---|\n| a\\|b | 1 |\n|  | 2 |\n"
