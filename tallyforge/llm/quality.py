@@ -112,8 +112,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
 #: Exact quantiles stand in for the sketches, which are exact up to SKETCH values a group.
 ORACLE = r"""
 with d as (select doc_id, lang, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
-g as (select doc_id, unnest(range(1, len(w) - 1)) as i, w from d where len(w) > 2),
-h as (select doc_id, i, count(*) over (partition by doc_id, w[i], w[i+1], w[i+2]) as c from g),
+g as (select doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: {'i': i, 's': w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]})) as u from d where len(w) > 2),
+h as (select doc_id, u.i as i, count(*) over (partition by doc_id, u.s) as c from g),
 r as (select doc_id, count(distinct p)::bigint as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as p from h where c > 1) group by 1),
 ln as (select doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
 m as (select d.doc_id, lang, source, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
