@@ -121,3 +121,46 @@ def test_lm_counts_and_averages(spark, monkeypatch):
     net = L.train(docs.repartition(3), L.vocabulary(docs))
     assert np.isfinite(net.p["tables"]).all()
     assert L.lm_scores(docs.limit(0)).count() == 0
+
+
+def test_lm_every_word_has_its_own_probability(spark, monkeypatch):
+    known = [f"known{i}" for i in range(L.WORDS)]
+    rare = [f"rare{i}" for i in range(2000)]
+    rows = [(i, " ".join(known)) for i in range(12)] + [(100 + i, " ".join(rare[: 1 + i * 250])) for i in range(9)]
+    rows += [(500, " ".join(f"gibberish{i}" for i in range(300))), (None, "rare0 known1"), (None, "rare0 known1"), (502, None), (502, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = {r.h: r.n for r in L.word_counts(docs).collect()}
+    vocab = L.vocabulary(docs)
+    leaf = {r.h: r.lp for r in L.leaves(L.word_counts(docs), vocab).collect()}
+    assert len(leaf) == len(counts) - L.WORDS == 2300 - (L.WORDS - len(known))
+    each = [0.0] * L.SHARED_IDS
+    for h, lp in leaf.items():
+        each[h % L.SHARED_IDS] += float(np.exp(lp))
+    assert each == pytest.approx([1.0] * L.SHARED_IDS)  # so all words of the corpus sum to one
+    ordered = lambda rows: sorted(map(tuple, rows), key=str)
+    out = ordered(L.lm_scores(docs).collect())
+    scores = {r[0]: r[3] for r in out if r[3] is not None}
+    assert scores[101] > scores[500] + 0.5  # repeated rare words against words seen once
+    monkeypatch.setattr(L, "LEAVES", 0)
+    joined = ordered(L.lm_scores(docs).collect())
+    assert [r[:2] for r in joined] == [r[:2] for r in out] and len(out) == len(rows)
+    assert [r[2] for r in joined] == pytest.approx([r[2] for r in out], rel=0.02)
+
+
+def test_lm_training_does_not_follow_the_files(spark):
+    order = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(order * 5)) for i in range(600)], "doc_id long, text string")
+    mean = [np.mean([r.mean_log_probability for r in L.lm_scores(docs.repartition(n)).collect()]) for n in (1, 60)]
+    assert abs(mean[0] - mean[1]) < 0.1 and min(mean) > -2.5
+
+
+def test_lm_blocks_hold_every_word_once_with_its_context(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 7)
+    vocab = np.zeros((2, 0), np.uint64)
+    texts = ["a b c d e f g h i j k l m n o p", None, "", "q", "r s t " * 9]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    got = L.blocks(docs, vocab).orderBy("k").collect()
+    seq, place = L._joined([bytes(r.ids) for r in got])
+    whole, at, _ = L.Ids(vocab).of(texts)
+    around = lambda s, p: [s[x - L.SIDE : x + L.SIDE + 1].tolist() for x in p]
+    assert sum(r.n for r in got) == len(at) and around(seq, place) == around(whole, at)
