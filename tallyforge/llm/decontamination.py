@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, verification.
 
 Every text is covered by windows of the lengths that items have (lengths within 15 % share a class)
-at strides of an eighth of the length. A window's fingerprint is the 64-bit SimHash of its words,
+at strides of a sixteenth of the length, from the text's first word on, and one ends it. A window's fingerprint is the 64-bit SimHash of its words,
 each weighted by its length. The 16-bit blocks of the items' fingerprints are indexed with all values
 up to three bits away: two fingerprints within ``RADIUS`` = 15 bits differ by at most three bits in at
 least one of the four blocks, so the index loses none of them. What it finds is verified exactly:
@@ -32,6 +32,7 @@ RADIUS = 15
 ITEMS = 4096
 CLASS = 1.15
 HEAVIEST = 12
+STRIDES = 16
 CHUNK = 12_000
 RUN = 16
 _NEAR = np.array(sorted(sum(1 << b for b in bits) for n in range(4) for bits in combinations(range(16), n)), np.int64)
@@ -145,13 +146,14 @@ class ItemIndex:
         """
         hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
         text_of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        place = (np.arange(len(words)) - np.repeat(starts[:-1], np.diff(starts))).astype(np.int32)  # within its text
         for at in range(0, len(words), CHUNK):
             stop = min(len(words), at + CHUNK + self.longest)
             sums = _signed(words[at:stop], lens[at:stop])
             for size, tables in self.classes:
-                stride = max(1, size // 8)
-                # windows start at multiples of the stride within each text, and one ends it
-                first = np.arange(at + (-at) % stride, min(at + CHUNK, len(words)), stride)
+                stride = max(1, size // STRIDES)
+                # windows start at multiples of the stride from each text's own first word, and one ends it
+                first = at + np.flatnonzero(place[at : at + CHUNK] % np.int32(stride) == 0)
                 last = starts[1:] - size
                 last = last[(last >= at) & (last < at + CHUNK) & (last >= starts[:-1])]
                 first = np.concatenate([first, last])
