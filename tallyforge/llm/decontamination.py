@@ -1,8 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, verification.
 
 Every text is covered by windows of the lengths that items have (lengths within 15 % share a class)
-at strides of a sixteenth of the length, from the text's first word on, and one ends it. A window's fingerprint is the 64-bit SimHash of its words,
-each weighted by its length. The 16-bit blocks of the items' fingerprints are indexed with all values
+at strides of a sixteenth of the length, from the text's first word on, and one ends it. A window's
+fingerprint is the 64-bit SimHash of its words, each weighted by its length. The 16-bit blocks of the items' fingerprints are indexed with all values
 up to three bits away: two fingerprints within ``RADIUS`` = 15 bits differ by at most three bits in at
 least one of the four blocks, so the index loses none of them. What it finds is verified exactly:
 the weighted Jaccard similarity of 5-word shingles (a shingle weighs the bytes of its words) between

@@ -64,3 +64,32 @@ def test_no_items_or_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.matches(docs, none).count() == 0 and D.drop_contaminated(docs, none).count() == 1
     assert D.matches(docs.limit(0), docs.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+def _worn(r, item):
+    """item with words replaced for as long as its similarity stays at 0.8 or more."""
+    now = item.split()
+    while True:
+        words = list(now)
+        words[r.randrange(len(words))] = f"other{r.randrange(999)}"
+        if _best(" ".join(words), item) < 0.8:
+            return " ".join(now)
+        now = words
+
+
+def test_planted_items_of_a_batch_are_all_found():
+    """Items at starts, middles and ends of many texts in one batch, exact and worn down to 0.8.
+
+    A worn item has the length of its original, so its own window is at least 0.8 similar.
+    """
+    r = random.Random(1)
+    speak = lambda n: " ".join(r.choice(WORDS) + str(r.randrange(60)) for _ in range(n))
+    items = [speak(r.randint(20, 90)) for _ in range(120)]
+    texts = []
+    for i in range(900):
+        before, after = ("" if i % 3 == 0 else speak(r.randint(30, 300))), ("" if i % 3 == 2 else speak(r.randint(30, 300)))
+        item = items[i % 120]
+        texts.append(f"{before} {item if i // 3 % 2 else _worn(r, item)} {after}")
+    words, starts, first, end, _ = D.WordHashes().spans(texts)
+    found = D.ItemIndex(list(enumerate(items))).search(words, end - first, starts, 0.8)
+    assert {(t, t % 120) for t in range(900)} <= {(t, i) for t, i, *_ in found}
