@@ -82,26 +82,67 @@ def negatives(positives: DataFrame, pool: DataFrame, n: int, seed: int) -> DataF
 def greedy_prototypes(rows: DataFrame, by: str, least_distance: float, most: int) -> DataFrame:
     """Per label the vectors, by id, that are not too similar to one taken before, ``most`` at most.
 
-    Taking is sequential within a label, so labels are the groups; a label's candidates are first cut
-    to 50 * most by id, which bounds the group.
+    Taking is sequential within a label, so it runs on blocks of a label's first 50 * most rows; the
+    rows after a block are filtered against all vectors taken so far, in parallel, before the next
+    block is cut. A block's first row is always taken, so there are at most ``most`` + 1 rounds. What
+    is taken (``most`` vectors a label) is held by the driver. Rows without id or vector are skipped.
     """
     import numpy as np
     import pyarrow as pa
 
-    some = top_n(rows.select("id", "embedding", by), [by], [F.col("id")], 50 * most, "_rank").drop("_rank")
-
-    def task(t: pa.Table) -> pa.Table:
+    spark = rows.sparkSession
+    rows = rows.select(F.col("id").cast("bigint").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col(by).cast("int").alias(by))
+    rows = rows.filter("id is not null and embedding is not null")
+    taken: dict = {}  # label: (last id seen, ids, unit vectors)
+
+    def unseen(batches, taken):
+        for batch in batches:
+            labels, ids = batch.column(by).to_pylist(), batch.column("id").to_pylist()
+            ok = np.zeros(batch.num_rows, bool)
+            for label in set(labels):
+                at = [i for i, x in enumerate(labels) if x == label]
+                last, had, kept = taken.get(label, (None, [], []))
+                if len(had) >= most:
+                    continue
+                at = [i for i in at if last is None or ids[i] > last]
+                if at and had:
+                    v = np.array([batch.column("embedding")[i].as_py() for i in at], np.float64)
+                    norm = np.linalg.norm(v, axis=1, keepdims=True)
+                    near = (v / np.where(norm == 0, 1, norm)) @ np.array(kept).T
+                    at = np.array(at)[near.max(axis=1) < least_distance]
+                ok[at] = True
+            yield batch.filter(pa.array(ok))
+
+    def task(t: pa.Table, taken) -> pa.Table:
         t = t.sort_by("id")
-        kept, ids = [], []
+        label = t.column(by)[0].as_py()
+        _, had, kept = taken.get(label, (None, [], []))
+        kept, new = list(kept), []
         for i, v in zip(t.column("id").to_pylist(), t.column("embedding").to_pylist(), strict=True):
             v = np.array(v, np.float64)
             v /= np.linalg.norm(v) or 1
-            if len(ids) < most and (not kept or (np.array(kept) @ v).max() < least_distance):
+            if np.isfinite(v).all() and len(had) + len(new) < most and (not kept or (np.array(kept) @ v).max() < least_distance):
                 kept.append(v)
-                ids.append(i)
-        return pa.table({by: pa.array([t.column(by)[0].as_py()] * len(ids), pa.int32()), "id": pa.array(ids, pa.int64())})
-
-    return some.groupBy(by).applyInArrow(task, f"{by} int, id bigint")
+                new.append((i, v.tolist()))
+        last = t.column("id")[-1].as_py()
+        new.append((None, None))  # a block that adds nothing still moves on
+        return pa.table({by: pa.array([label] * len(new), pa.int32()), "id": pa.array([i for i, _ in new], pa.int64()), "last": pa.array([last] * len(new), pa.int64()), "v": pa.array([v for _, v in new], pa.list_(pa.float64()))})
+
+    def chooser(shared):
+        return lambda t: task(t, shared.value)  # of one argument, as a second one would be the table
+
+    while True:
+        shared = spark.sparkContext.broadcast(dict(taken))
+        left = rows.mapInArrow(lambda batches, shared=shared: unseen(batches, shared.value), rows.schema)
+        # rank, not row_number: rows of one id stay in one block
+        block = left.withColumn("_rank", F.rank().over(W.partitionBy(by).orderBy("id"))).filter(F.col("_rank") <= 50 * most).drop("_rank")
+        found = block.groupBy(by).applyInArrow(chooser(shared), f"{by} int, id bigint, last bigint, v array<double>").collect()
+        if not found:
+            break
+        for r in found:
+            _, ids, kept = taken.get(r[by], (None, [], []))
+            taken[r[by]] = (r["last"], ids + [r["id"]] * (r["id"] is not None), kept + [r["v"]] * (r["id"] is not None))
+    return spark.createDataFrame([(label, i) for label, (_, ids, _) in taken.items() for i in ids], f"{by} int, id bigint")
 
 
 def critiques(rows: DataFrame, text: str, patterns: dict[str, str], by: str, severity: Column) -> DataFrame:

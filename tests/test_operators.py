@@ -67,6 +67,12 @@ def test_greedy_prototypes_take_distinct_vectors(spark):
     assert sorted(r.id for r in greedy_prototypes(df, "label", 0.9, 5).collect()) == [1, 3]
 
 
+def test_greedy_prototypes_look_past_the_first_block(spark):
+    rows = [(i, [1.0, 0.001 * (i % 7), 0.0], 0) for i in range(400)] + [(400, [0.0, 1.0, 0.0], 0), (401, [0.0, 1.0, 0.01], 0), (900, [0.0, 0.0, 1.0], 0), (5, [1.0, 0.0, 0.0], None), (6, None, 1)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, label int")
+    assert sorted(r.id for r in greedy_prototypes(df, "label", 0.9, 3).collect()) == [0, 5, 400, 900]
+
+
 def test_paragraph_chunks_overlap(spark):
     out = P.paragraph_chunks(spark.createDataFrame([(1, "a" * 6 + "\n" + "b" * 6 + "\n" + "c" * 6), (2, None)], "doc_id long, text string"), 14, 1)
     assert [(r.doc_id, r.body) for r in out.orderBy("doc_id", "chunk").collect()] == [(1, "aaaaaa\nbbbbbb"), (1, "bbbbbb\ncccccc")]
