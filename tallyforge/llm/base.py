@@ -130,9 +130,9 @@ class WordHashes:
         h, starts, _, _, _ = self.spans(texts)
         return h, starts
 
-    def spans(self, texts: list[str | None]):
+    def spans(self, texts: list[str | bytes | None]):
         """Hashes, text starts among words, and of each word first and end byte; then all bytes."""
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        raw = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in texts]
         joined = b"\n".join(raw) + b"\n"
         if self.lower:
             joined = joined.translate(_UPPER)

@@ -6,9 +6,14 @@ passes read windows of ``SPAN`` words, attention pools their states, a logistic
 window. Every text is covered by windows at half their length; its score is that of its worst one.
 
 Training sees documents with one label each, of which a few words may be the reason. It therefore
-alternates: the window that scores highest stands for a toxic document, the highest and some random
-ones for a clean document, then the network is fitted to them. The first choice comes from the
-log-odds of the hashed words and trigrams, which also start the embeddings.
+alternates: the window that scores highest stands for a toxic document; the highest ones and some
+random ones for a clean document; then the network is fitted to them. The first choice comes from
+the log-odds of the hashed words and trigrams, which also start the embeddings. Log-odds, choices
+and scores are passes over the training texts in Spark tasks; only chosen windows of ``SPAN`` words,
+whose number the bound on rows fixes, meet in the one task that fits the network.
+
+Texts are read in slices of about ``SLICE`` bytes, a longer text in overlapping pieces that hold
+exactly its own windows, so what a task needs does not grow with the length of a text.
 
 Only ids and labels pick the training rows; the inputs of a score are the text alone.
 """
@@ -23,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.base import WordHashes, arrow_batches
-from tallyforge.llm.near_duplicates import _slices
+from tallyforge.llm.base import Shared, WordHashes, arrow_batches, mix64
 
 SPAN, STEP = 32, 16
 WORD_BITS, CHAR_BITS = 14, 13
 DIM, HIDDEN, ATTEND = 8, 8, 8
 PER_CLASS = 2500  # labelled rows of each class that training takes at most, by hash
 ROUNDS, EPOCHS, BATCH, LEAST_STEPS = 3, 4, 128, 300
+WORST, CHANCE = 3, 2  # windows of a clean text that training takes a round: its highest ones, random ones
+SLICE = 1 << 18
 
 
 def held_out(doc_id: Column) -> Column:
@@ -41,8 +47,9 @@ def held_out(doc_id: Column) -> Column:
 class Features:
     """Hashed words and trigrams of texts, as flat arrays."""
 
-    def __init__(self, texts: list[str | None], hasher: WordHashes):
+    def __init__(self, texts: list[str | bytes | None], hasher: WordHashes):
         h, self.starts, first, end, a = hasher.spans(texts)
+        self.first, self.end, self.bytes = first, end, a
         self.words = (h >> np.uint64(64 - WORD_BITS)).astype(np.int32)
         blank = (a == 32) | ((a >= 9) & (a <= 13))
         b = np.where(blank, 32, a).astype(np.uint32)
@@ -67,6 +74,37 @@ class Features:
         return first, np.minimum(SPAN, self.starts[1:][text] - first), text
 
 
+def _pieces(raw: bytes, most: int) -> Iterator[bytes]:
+    """A long text in pieces of about ``most`` bytes: every window of the text is one of one piece."""
+    a = np.frombuffer(raw, np.uint8)
+    blank = (a == 32) | ((a >= 9) & (a <= 13))
+    edge = np.flatnonzero(np.diff(np.concatenate(([1], blank.view(np.int8), [1]))))
+    first, end = edge[0::2], edge[1::2]
+    at = 0
+    while at < len(first) and (not at or len(first) - at > SPAN - STEP):
+        fit = int(np.searchsorted(first, first[at] + most)) - at
+        words = max(STEP, fit // STEP * STEP)
+        yield raw[first[at] : end[min(len(first), at + words + SPAN - STEP) - 1]]
+        at += words
+
+
+def slices(texts: list[str | None], most: int | None = None) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Runs of about ``most`` bytes: texts or pieces of texts, and the index of each one's text."""
+    most = most or SLICE
+    owners, held, size = [], [], 0
+    for i, t in enumerate(texts):
+        raw = (t or "").encode("utf-8", "surrogatepass")
+        for piece in [raw] if len(raw) <= most else _pieces(raw, most):
+            if held and size + len(piece) > most:
+                yield np.array(owners), held
+                owners, held, size = [], [], 0
+            owners.append(i)
+            held.append(piece)
+            size += len(piece) + 1
+    if held:
+        yield np.array(owners), held
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
@@ -129,15 +167,17 @@ class Network:
         mask = (t < n[None, :]).astype(np.float32)
         return np.where(mask > 0, first[None, :] + t, first[None, :]), mask
 
+    def highest(self, texts: list[str | None], hasher: WordHashes) -> np.ndarray:
+        """Logit of each text's highest window; without words, of an empty window."""
+        best = np.full(len(texts), -np.inf)
+        for owners, held in slices(texts):
+            logits, piece = self.score(Features(held, hasher))
+            np.maximum.at(best, owners[piece], logits)
+        return np.where(np.isfinite(best), best, float(self.p["bo"][0]))
+
     def probabilities(self, texts: list[str | None], hasher: WordHashes) -> np.ndarray:
-        """Score of each text: that of its highest window; without words, of an empty window."""
-        out = np.full(len(texts), self.p["bo"][0], np.float64)
-        for a, b in _slices(texts, 1 << 18):
-            logits, text = self.score(Features(texts[a:b], hasher))
-            best = np.full(b - a, -np.inf)
-            np.maximum.at(best, text, logits)
-            out[a:b] = np.where(np.isfinite(best), best, out[a:b])
-        return _sigmoid(np.clip((out - self.shift) * self.scale, -30, 30))
+        """Score of each text: that of its highest window."""
+        return _sigmoid(np.clip((self.highest(texts, hasher) - self.shift) * self.scale, -30, 30))
 
     def _gradients(self, f: Features, first, n, y):
         p, h = self.p, HIDDEN
@@ -187,67 +227,40 @@ class Network:
         np.add.at(g["chars"], chars, (dxs[:, DIM:] / counts[:, None])[owner])
         return g, float(-np.mean(y * np.log(prob + 1e-7) + (1 - y) * np.log(1 - prob + 1e-7)))
 
-    def fit(self, texts: list[str | None], labels: np.ndarray, seed: int = 9) -> None:
-        """Deterministic for the same texts in the same order."""
+    def constant(self, toxic: bool) -> None:
+        """One score for every text, where there is nothing to tell apart."""
+        self.p["bo"][0] = 5 if toxic else -5
+        self.p["wo"][:] = 0
+
+    def start(self, odds: dict[str, np.ndarray]) -> None:
+        """Log-odds of the hashed words and trigrams start one dimension of the embeddings."""
+        for name, x in odds.items():
+            self.p[name][:, 0] = x * 0.3
+        self.moment, self.step = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}, 0
+
+    def fit(self, windows: list[bytes], labels: np.ndarray, seed: int) -> None:
+        """Adam over windows, each a text of its own, going on from the rounds before. Deterministic
+        for the same windows in the same order."""
         rng = np.random.default_rng(seed)
-        f = Features(texts, WordHashes())
-        labels = np.asarray(labels, np.float32)
+        f = Features(windows, WordHashes())
         first, n, text = f.windows()
-        if not len(first) or labels.min() == labels.max():
-            self.p["bo"][0] = -5 if not len(labels) or labels.max() < 1 else 5
-            self.p["wo"][:] = 0  # nothing to tell apart: one score for every text
-            return
-        evidence = self._start(f, labels)
-        total = np.concatenate(([0], evidence))
-        rank = np.array([total[1 + a : 1 + a + k].max() for a, k in zip(first, n, strict=True)])
-        moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        step = 0
-        for turn in range(ROUNDS):
-            if turn:
-                rank = self.score(f)[0]
-            order = np.lexsort((rank, text))
-            top = order[np.append(text[order][1:] != text[order][:-1], True)]  # the highest of each text
-            clean = np.flatnonzero(labels[text] == 0)
-            # besides: random windows, and the clean ones that look worst anywhere
-            other = np.concatenate([rng.choice(clean, min(len(clean), 2 * len(top)), replace=False), clean[np.argsort(-rank[clean])[: len(top)]]])
-            chosen = np.concatenate([top, other])
-            y = labels[text[chosen]]
-            weight = len(y) / (2 * max(1, y.sum()))
-            repeat = np.where(y > 0, max(1, int(min(4, weight))), 1)
-            chosen, y = np.repeat(chosen, repeat), np.repeat(y, repeat)
-            for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(chosen)))):
-                shuffled = rng.permutation(len(chosen))
-                for at in range(0, len(chosen), BATCH):
-                    some = chosen[shuffled[at : at + BATCH]]
-                    g, _ = self._gradients(f, first[some], n[some], y[shuffled[at : at + BATCH]])
-                    step += 1
-                    for k, v in g.items():
-                        m, q = moment[k]
-                        m += 0.1 * (v - m)
-                        q += 0.01 * (v * v - q)
-                        rate = 0.01 * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-                        self.p[k] -= rate * m / (np.sqrt(q) + 1e-8)
-        best = np.full(len(texts), float(self.p["bo"][0]))
-        found, text = self.score(f)
-        highest = np.full(len(texts), -np.inf)
-        np.maximum.at(highest, text, found)
-        best = np.where(np.isfinite(highest), highest, best)
-        self._calibrate(best, labels)
-
-    def _start(self, f: Features, labels: np.ndarray) -> np.ndarray:
-        """Log-odds of hashed words and trigrams by document; they start one dimension of the
-        embeddings and give each word its evidence for the first choice of windows."""
-        doc_of = np.repeat(np.arange(len(labels)), np.diff(f.starts))
-        odds = {}
-        for name, size, ids, owner in (("words", 1 << WORD_BITS, f.words, doc_of), ("chars", 1 << CHAR_BITS, f.chars, np.repeat(doc_of, f.lens))):
-            pairs = np.unique(owner.astype(np.int64) * size + ids)
-            toxic = labels[pairs // size] > 0
-            t, c = np.bincount(pairs[toxic] % size, minlength=size), np.bincount(pairs[~toxic] % size, minlength=size)
-            odds[name] = np.clip(np.log((t + 0.5) / (labels.sum() + 1)) - np.log((c + 0.5) / ((1 - labels).sum() + 1)), -1, 5).astype(np.float32)
-            self.p[name][:, 0] = odds[name] * 0.3
-        return odds["words"][f.words] + f.mean_chars(odds["chars"][:, None])[:, 0]
-
-    def _calibrate(self, best: np.ndarray, labels: np.ndarray) -> None:
+        y = np.asarray(labels, np.float32)[text]
+        repeat = np.where(y > 0, max(1, int(min(4, len(y) / (2 * max(1, y.sum()))))), 1)
+        chosen, y = np.repeat(np.arange(len(first)), repeat), np.repeat(y, repeat)
+        for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // max(1, len(chosen))))):
+            shuffled = rng.permutation(len(chosen))
+            for at in range(0, len(chosen), BATCH):
+                some = chosen[shuffled[at : at + BATCH]]
+                g, _ = self._gradients(f, first[some], n[some], y[shuffled[at : at + BATCH]])
+                self.step += 1
+                for k, v in g.items():
+                    m, q = self.moment[k]
+                    m += 0.1 * (v - m)
+                    q += 0.01 * (v * v - q)
+                    rate = 0.01 * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
+                    self.p[k] -= rate * m / (np.sqrt(q) + 1e-8)
+
+    def calibrate(self, best: np.ndarray, labels: np.ndarray) -> None:
         """Put probability 1/2 where training documents are told apart best."""
         order = np.argsort(best, kind="stable")
         x, y = best[order], labels[order]
@@ -257,32 +270,135 @@ class Network:
         self.shift = float(x[0] - 1 if i == 0 else x[-1] + 1 if i == len(x) else (x[i - 1] + x[i]) / 2)
 
 
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = sorted(((r["label"], r["doc_id"], r["text"] or "") for b in batches for r in b.to_pylist()), key=lambda r: (r[1], r[2]))
-    net = Network()
-    net.fit([r[2] for r in rows], np.array([r[0] for r in rows], np.float32))
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["model"])
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts of each label (in one piece of them, if long) a hashed word or trigram occurs."""
+    hasher, count = WordHashes(), {k: np.zeros((2, 1 << bits), np.int64) for k, bits in (("words", WORD_BITS), ("chars", CHAR_BITS))}
+    for batch in batches:
+        labels = batch.column(0).to_numpy()
+        for owners, held in slices(batch.column(2).to_pylist()):
+            f = Features(held, hasher)
+            piece = np.repeat(np.arange(len(held)), np.diff(f.starts))
+            for k, ids, owner in (("words", f.words, piece), ("chars", f.chars, np.repeat(piece, f.lens))):
+                size = count[k].shape[1]
+                pairs = np.unique(owner * size + ids)
+                np.add.at(count[k], (labels[owners[pairs // size]], pairs % size), 1)
+    for k, c in count.items():
+        label, at = np.nonzero(c)
+        yield pa.RecordBatch.from_arrays([pa.array([k] * len(at)), pa.array(label, pa.int32()), pa.array(at, pa.int32()), pa.array(c[label, at], pa.int64())], names=["table", "label", "id", "n"])
+
+
+def log_odds(sample: DataFrame) -> dict[str, np.ndarray]:
+    """Log-odds of the hashed words and trigrams of sample (label, doc_id, text), summed over its tasks."""
+    size = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
+    count = {k: np.zeros((2, 1 << bits)) for k, bits in (("words", WORD_BITS), ("chars", CHAR_BITS))}
+    found = sample.mapInArrow(_occurrences, "table string, label int, id int, n bigint").groupBy("table", "label", "id").agg(F.sum("n").alias("n"))
+    for r in found.collect():  # two labels times the two hashed tables at most
+        count[r.table][r.label, r.id] = r.n
+    return {k: np.clip(np.log((c[1] + 0.5) / (size.get(1, 0) + 1)) - np.log((c[0] + 0.5) / (size.get(0, 0) + 1)), -1, 5).astype(np.float32) for k, c in count.items()}
+
+
+def _choose(shared, turn: int):
+    """Windows that training takes of each text: (label, doc_id, place, window). shared: log-odds or a network."""
+
+    def ranks(f: Features) -> np.ndarray:
+        if turn:
+            return shared.value.score(f)[0]
+        odds, (first, n, _) = shared.value, f.windows()
+        evidence = np.append(odds["words"][f.words] + f.mean_chars(odds["chars"][:, None])[:, 0], np.float32(-np.inf))
+        return np.maximum.reduceat(evidence, np.stack([first, first + n], axis=1).ravel())[::2] if len(first) else np.zeros(0, np.float32)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHashes()
+        for batch in batches:
+            labels, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            held: list[tuple] = []  # text, place, rank, chance, window
+            for owners, pieces in slices(batch.column(2).to_pylist()):
+                f = Features(pieces, hasher)
+                first, n, piece = f.windows()
+                rank, text, place = ranks(f), owners[piece], first - f.starts[piece]
+                chance = mix64(ids[text].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) + np.uint64(turn))
+                raw = f.bytes.tobytes()
+                for i in np.flatnonzero(_least(-rank, text, WORST) | _least(chance, text, CHANCE)).tolist():
+                    held.append((int(text[i]), int(place[i]), float(rank[i]), int(chance[i]), raw[f.first[first[i]] : f.end[first[i] + n[i] - 1]]))
+            if not held:
+                continue
+            text, _, rank, chance, _ = (np.array(x, t) for x, t in zip(zip(*held, strict=True), (np.int64, np.int64, np.float64, np.uint64, object), strict=True))
+            clean = labels[text] == 0
+            some = np.flatnonzero(_least(-rank, text, 1) | (clean & (_least(-rank, text, WORST) | _least(chance, text, CHANCE)))).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(labels[text[some]], pa.int32()), pa.array(ids[text[some]], pa.int64()), pa.array([held[i][1] for i in some], pa.int64()), pa.array([held[i][4] for i in some], pa.binary())],
+                names=["label", "doc_id", "place", "window"],
+            )
+
+    return task
+
+
+def _least(key: np.ndarray, group: np.ndarray, k: int) -> np.ndarray:
+    """Which entries are among the k with the least key of their group."""
+    order = np.lexsort((key, group))
+    g = group[order]
+    heads = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+    place = np.arange(len(g)) - np.repeat(heads, np.diff(np.append(heads, len(g))))
+    out = np.zeros(len(g), bool)
+    out[order] = place < k
+    return out
+
+
+def _fit(shared, turn: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, windows = [], []
+        for b in batches:
+            labels += b.column(0).to_pylist()
+            windows += b.column(3).to_pylist()
+        net = shared.value
+        net.fit(windows, np.array(labels), 9 + turn)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["model"])
+
+    return task
+
+
+def _highest(shared):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHashes()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared.value.highest(b.column(2).to_pylist(), hasher).astype(np.float64))], names=["label", "doc_id", "best"])
+
+    return task
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network:
     """Fit the network to at most per_class toxic and per_class clean labelled rows, the first by
-    the MD5 of their ids, held-out rows excepted. The bound keeps training in one task; without any
-    labels every text gets one low score."""
+    the MD5 of their ids, held-out rows excepted. Of rows that repeat an id the least text is
+    learned from. Without labels of both kinds every text gets one score, a low one without any."""
     spark = docs.sparkSession
-    arrow_batches(spark, rows=1024)
+    arrow_batches(spark)
     rows = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
     rows = rows.groupBy("doc_id").agg(F.max("label").alias("label")).filter(~held_out(F.col("doc_id")))
     picked = None
     for label in (0, 1):
         some = rows.filter(F.col("label") == label).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(picked), "doc_id").select("label", "doc_id", "text").repartition(1)
-    found = sample.mapInArrow(_train, "model binary").collect()
-    if found:
-        return pickle.loads(found[0].model)
-    net = Network()
-    net.fit([], np.zeros(0, np.float32))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(picked), "doc_id").groupBy("label", "doc_id").agg(F.min("text").alias("text"))
+    shared = Shared(spark, "toxicity")
+    sample = shared.save(sample.repartition(2 * spark.sparkContext.defaultParallelism, "doc_id"), "sample")
+    net, kinds = Network(), [r.label for r in sample.select("label").distinct().collect()]
+    if len(kinds) < 2:
+        net.constant(kinds == [1])
+        return net
+    odds = log_odds(sample)
+    net.start(odds)
+    for turn in range(ROUNDS):
+        model = spark.sparkContext.broadcast(net)
+        ranked = model if turn else spark.sparkContext.broadcast(odds)
+        windows = sample.mapInArrow(_choose(ranked, turn), "label int, doc_id bigint, place bigint, window binary")
+        fitted = windows.repartition(1).sortWithinPartitions("doc_id", "place", "window").mapInArrow(_fit(model, turn), "model binary")
+        if found := fitted.first():
+            net = pickle.loads(found.model)
+    best = sample.mapInArrow(_highest(spark.sparkContext.broadcast(net)), "label int, doc_id bigint, best double").orderBy("doc_id").collect()
+    net.calibrate(np.array([r.best for r in best]), np.array([r.label for r in best], np.float32))
+    del net.moment
+    shared.drop("sample")
     return net
 
 
@@ -311,7 +427,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None =
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that score 0.5 or more; all columns pass through."""
+    """docs without the rows that score 0.5 or more; all columns pass through. Null and empty texts are
+    judged as a window without words, rows that repeat each by itself."""
     net = train(docs, labels)
     arrow_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(net), docs.columns.index("text")

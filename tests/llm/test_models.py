@@ -1,6 +1,9 @@
 """Trained operators: gradients, held-out accuracy, awkward rows."""
 
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -54,6 +57,55 @@ def test_toxicity_gradients():
     assert got == pytest.approx(_numeric(lambda: net._gradients(f, first, n, y)[1], net.p, picks), abs=2e-3)
 
 
+def test_toxicity_pieces_hold_the_windows_of_a_text():
+    texts = [" ".join(f"w{rng.randint(0, 999)}" for _ in range(n)) for n in (0, 1, 31, 32, 33, 48, 49, 400, 2000)] + ["x" * 5000 + " y " + "z" * 9000, " \n ", None]
+
+    def windows(f, owners):
+        first, n, piece = f.windows()
+        return sorted((int(owners[p]), f.words[a : a + k].tobytes()) for a, k, p in zip(first, n, piece, strict=True))
+
+    whole = windows(T.Features(texts, WordHashes()), np.arange(len(texts)))
+    for most in (200, 700, 5000, 1 << 18):
+        cut = [w for owners, held in T.slices(texts, most) for w in windows(T.Features(held, WordHashes()), owners)]
+        assert sorted(cut) == whole
+    net = T.Network()
+    a = net.highest(texts, WordHashes())
+    T.SLICE, old = 700, T.SLICE
+    try:
+        assert net.highest(texts, WordHashes()) == pytest.approx(a, abs=1e-5)
+    finally:
+        T.SLICE = old
+
+
+@pytest.mark.parametrize("kb", [2, 200, 20_000])
+def test_toxicity_training_memory(kb):
+    """Tasks of the training need the same memory whatever the length of the texts."""
+    code = f"""
+import resource, random
+import numpy as np, pyarrow as pa
+from tallyforge.llm import toxicity as T
+from types import SimpleNamespace as S
+r = random.Random(1)
+base = " ".join("word%d" % r.randint(0, 3000) for _ in range({kb} * 125))[: {kb} * 1000]
+n, per = {{2: (5000, 1000), 200: (200, 40), 20000: (2, 1)}}[{kb}]
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+batches = lambda: (pa.RecordBatch.from_pydict({{"label": pa.array([i % 2 for i in range(at, at + per)], pa.int32()), "doc_id": pa.array(range(at, at + per), pa.int64()), "text": ["%d " % i + base for i in range(at, at + per)]}}) for at in range(0, n, per))
+before = peak()
+for b in T._occurrences(batches()): pass
+odds = {{"words": np.zeros(1 << T.WORD_BITS, np.float32), "chars": np.zeros(1 << T.CHAR_BITS, np.float32)}}
+net = T.Network()
+net.start(odds)
+T.ROUNDS, T.EPOCHS, T.LEAST_STEPS = 1, 1, 2
+chosen = list(T._choose(S(value=odds), 0)(batches())) + list(T._choose(S(value=net), 1)(batches()))
+list(T._fit(S(value=net), 0)(iter(chosen)))
+list(T._highest(S(value=net))(batches()))
+print(peak() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 500, out.stdout
+
+
 def test_toxicity_on_held_out_rows(spark):
     rows = _docs(900)
     docs = spark.createDataFrame([r[:2] for r in rows] + [(5000, ""), (5001, None), (None, "grumble")], "doc_id long, text string")
@@ -72,6 +124,8 @@ def test_toxicity_without_labels_keeps_columns(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert T.drop_toxic(docs, none).columns == docs.columns and T.drop_toxic(docs, none).count() == 2
     assert T.toxicity(docs.limit(0), none).count() == 0
+    same = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert {r.predicted for r in T.toxicity(docs, same).collect()} == {1}
 
 
 def test_lm_gradients():
