@@ -14,6 +14,8 @@ from tallyforge.operators.windows import mode, running_share, top_n
 MISSING_CLIENT = "__MISSING_CLIENT__"
 MISSING_DIRECTION = "__MISSING_DIRECTION__"
 BARTER = "barter"
+#: Stems of lines that change a price and are no products (fixed values), and their English likes.
+MODIFIERS = ("безнал", "скидк", "налог", "комис", "процент", "%", "discount", "surcharge", "prepayment")
 
 
 def product_key(product_id: Column, name: Column) -> Column:
@@ -76,20 +78,29 @@ def repaired(lines: DataFrame, goods: DataFrame, needs: Column) -> DataFrame:
 def deal_facts(lines: DataFrame) -> DataFrame:
     """One row per deal. Attributes are those of its first line; the primary direction is the most
     frequent one, the sentinel excluded, first line first."""
-    known = lines.filter(F.col("direction") != MISSING_DIRECTION)
-    primary = mode(known, ["dataset", "deal_id"], "direction", F.col("line"), "primary_direction")
-    first = lambda c: F.min_by(c, "line").alias(c)
-    total = F.sum("line_total")
-    facts = lines.groupBy("dataset", "deal_id").agg(
-        *[first(c) for c in ("title", "client_key", "begin", "payment", "opportunity")],
+    # one pass over the lines: per deal and direction first, whose counts give the mode
+    per = lines.groupBy("dataset", "deal_id", "direction").agg(
+        F.min_by(F.struct("title", "client_key", "begin", "payment", "opportunity"), "line").alias("f"),
+        F.min("line").alias("l"),
         F.max("ship").alias("close"),
-        F.count(F.lit(1)).alias("line_count"),
-        F.round(F.sum("quantity"), 2).alias("total_quantity"),
-        F.round(total, 2).alias("line_total"),
-        F.array_sort(F.collect_set("product_key")).alias("product_keys"),
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("section") != "", F.col("section")))), "|").alias("sections"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum("quantity").alias("q"),
+        F.sum("line_total").alias("t"),
+        F.collect_set("product_key").alias("products"),
+        F.collect_set(F.when(F.col("section") != "", F.col("section"))).alias("s"),
     )
-    facts = facts.join(primary, ["dataset", "deal_id"], "left")
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    facts = per.groupBy("dataset", "deal_id").agg(
+        F.min_by("f", "l").alias("f"),
+        F.max("close").alias("close"),
+        F.sum("n").alias("line_count"),
+        F.round(F.sum("q"), 2).alias("total_quantity"),
+        F.round(F.sum("t"), 2).alias("line_total"),
+        every("products").alias("product_keys"),
+        F.array_join(every("s"), "|").alias("sections"),
+        F.min(F.when(F.col("direction") != MISSING_DIRECTION, F.struct((-F.col("n")).alias("n"), "l", "direction")))["direction"].alias("primary_direction"),
+    )
+    facts = facts.select("dataset", "deal_id", "f.*", *[c for c in facts.columns if c not in ("dataset", "deal_id", "f")])
     gap = F.when((F.col("opportunity") != 0) & (F.col("line_total") != 0), F.abs(F.col("line_total") - F.col("opportunity")) / F.col("opportunity"))
     return facts.select(
         "dataset",
@@ -150,8 +161,8 @@ def product_facts(lines: DataFrame, goods: DataFrame) -> DataFrame:
 
 
 def is_modifier(name: Column) -> Column:
-    """Discounts, surcharges and the like are no products."""
-    return F.lower(F.coalesce(name, F.lit(""))).rlike("скидк|наценк|доплат|предоплат|discount|surcharge|prepayment")
+    """Discounts, surcharges, taxes and the like are no products."""
+    return F.lower(F.coalesce(name, F.lit(""))).rlike("|".join(MODIFIERS))
 
 
 def classify(fact: DataFrame) -> Column:

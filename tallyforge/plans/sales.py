@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import sales as S
 from tallyforge.sources.roles import catalogue, lines, raw_lines
+from tallyforge.sources.stored import stored
 
 LINES = """
 with goods as (select p_partkey as product_id, p_name as name, p_retailprice as base_price, p_type as direction, p_brand as section from part),
@@ -72,11 +73,12 @@ def query(sql: str | None = None):
 
 
 def _deals(spark: SparkSession, d: str) -> DataFrame:
-    return S.deal_facts(lines(spark, d))
+    """Deal facts for several branches of a plan."""
+    return stored(S.deal_facts(lines(spark, d)), "deals")
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
-    return S.product_facts(lines(spark, d), catalogue(spark, d))
+    return S.product_facts(stored(lines(spark, d), "lines"), catalogue(spark, d))
 
 
 @query(LINES + "select dataset, deal_id, client_key, payment, product_key, product_name, round(price + 1e-9, 4) as price, quantity, round(line_total, 2) as line_total, round(price_ratio, 4) as price_ratio, direction, section from lines")
@@ -90,7 +92,7 @@ _DEAL = "dataset, deal_id, title, client_key, close_month, payment, duration_day
 
 @query(DEALS + f"select {_DEAL} from deals")
 def deal_facts(spark, d):
-    return _deals(spark, d).select(*_DEAL.split(", "))
+    return S.deal_facts(lines(spark, d)).select(*_DEAL.split(", "))
 
 
 @query(
@@ -185,8 +187,8 @@ s as (select deal_id, count(*) as direction_count, string_agg(direction || ': '
 select * from ch join c using (deal_id) join s using (deal_id)"""
 )
 def deal_profiles(spark, d):
-    rows = lines(spark, d)
-    return S.deal_profiles(rows, S.deal_facts(rows))
+    rows = stored(lines(spark, d), "lines")
+    return S.deal_profiles(rows, stored(S.deal_facts(rows), "deals"))
 
 
 @query(
@@ -202,13 +204,13 @@ y as (select primary_direction, string_agg(direction || ' (' || floor(n / deal_c
 select primary_direction, deal_count, floor(med + 0.5)::bigint as median_value, floor(av + 0.5)::bigint as avg_value, core_products, optional_products, coalesce(cross_directions, '') as cross_directions from st left join pr2 using (primary_direction) left join y using (primary_direction)"""
 )
 def service_composition(spark, d):
-    rows = lines(spark, d)
-    return S.service_composition(rows, S.deal_facts(rows))
+    rows = stored(lines(spark, d), "lines")
+    return S.service_composition(rows, stored(S.deal_facts(rows), "deals"))
 
 
 @query(DEALS + "select dataset, close_month, primary_direction, count(*) as deal_count, round(sum(line_total), 2) as total_value, round(median(line_total) + 1e-9, 2) as median_value, round(avg(line_total) + 1e-9, 2) as avg_value from deals group by 1, 2, 3")
 def monthly_kpis(spark, d):
-    return S.monthly_kpis(_deals(spark, d))
+    return S.monthly_kpis(S.deal_facts(lines(spark, d)))
 
 
 @query(LINES + FACTS + "select product_key, product_name, direction, base_price, offer_rows, order_rows, case when offer_rows > 0 and order_rows > 0 then 'used_in_both' when offer_rows > 0 then 'offers_only' when order_rows > 0 then 'orders_only' else 'unused' end as status from pfacts where goods_present = 'Y'")
@@ -236,8 +238,8 @@ select (select count(*) from ord) as order_deals, (select count(*) from off) as
     (select count(*) from tm where exact_matches > 0) as exact_templates, (select count(*) from tm where contained_matches > 0) as contained_templates, round((select count(*) from c where n >= 2) / (select count(*) from c), 4) as repeat_share"""
 )
 def kpi_summary(spark, d):
-    rows = lines(spark, d)
-    deals = S.deal_facts(rows)
+    rows = stored(lines(spark, d), "lines")
+    deals = stored(S.deal_facts(rows), "deals")
     return S.kpi_summary(S.product_facts(rows, catalogue(spark, d)), deals, S.template_matches(deals))
 
 
@@ -263,7 +265,7 @@ union all select 'catalogue_product_never_sold', 'info', (select count(*) from g
 select * from i where n > 0"""
 )
 def quality_issues(spark, d):
-    return S.quality_issues(lines(spark, d), catalogue(spark, d))
+    return S.quality_issues(stored(lines(spark, d), "lines"), catalogue(spark, d))
 
 
 @query(
