@@ -99,10 +99,15 @@ def estimates(positions: DataFrame, requests: DataFrame, category: str) -> DataF
     return out.select("request_id", category, r(F.col("total")).alias("total"), r(F.greatest(F.col("total") - band, F.lit(0.0))).alias("low"), r(F.col("total") + band).alias("high"), "positions")
 
 
+BRACKETS = 1000
+
+
 def bracket_price(rows: DataFrame, value: Column, brackets: DataFrame) -> DataFrame:
     """Range join: the first bracket (below, rate) whose upper bound exceeds the value. Brackets are
-    a price list, a handful of rows, so the lookup is one expression over them."""
-    steps = [(r["below"], r["rate"]) for r in brackets.orderBy("below").collect()]
+    a price list, so the lookup is one expression over them; more than BRACKETS are an error."""
+    steps = [(r["below"], r["rate"]) for r in brackets.orderBy("below").limit(BRACKETS + 1).collect()]
+    if len(steps) > BRACKETS:
+        raise ValueError(f"more than {BRACKETS} brackets")
     out = F.when(F.lit(False), F.lit(0.0))
     for below, rate in steps:
         out = out.when(value < below, F.lit(float(rate)))

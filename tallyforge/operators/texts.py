@@ -37,9 +37,10 @@ def _paragraph_chunks(size: int, overlap: int):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = cut(t)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())], names=["doc_id", "chunk", "body"])
+            rows = [(k, i, body) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, body in enumerate(cut(t))]
+            for at in range(0, len(rows), 4096):
+                ids, places, bodies = zip(*rows[at : at + 4096], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(bodies, pa.string())], names=["doc_id", "chunk", "body"])
 
     return task
 
