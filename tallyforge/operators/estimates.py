@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tallyforge.functions.numeric import round_money
+from tallyforge.operators.matching import in_blocks
 from tallyforge.operators.windows import top_n
+from tallyforge.sources.stored import stored
 
 #: Order in which a candidate may anchor a price.
 ANCHORS = ("auto", "guided", "bundle")
@@ -132,17 +134,35 @@ def coverage(values: DataFrame, group: str, covered: Column, n: int) -> DataFram
     return per.filter(~F.col("c")).join(F.broadcast(total)).select(group, F.round("v", 2).alias("value"), F.round(F.col("v") / F.col("t"), 4).alias("share")).orderBy(F.desc("value"), group).limit(n)
 
 
-def slug_matches(left: DataFrame, right: DataFrame, least: float = 0.55) -> DataFrame:
-    """(id, other, kind, score): exact slug, else one contained in the other (at least 0.4 of its
-    length), else edit similarity. Candidates share the word of a left slug that is rarest among
-    right slugs, so a word that all slugs have makes no pairs."""
-    score = 1 - F.levenshtein("slug", "slug2") / F.greatest(F.length("slug"), F.length("slug2"))
-    words = right.select("other", "slug2", F.explode(F.array_distinct(F.split("slug2", "_"))).alias("k"))
-    often = words.groupBy("k").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = left.select("id", "slug", F.explode(F.array_distinct(F.split("slug", "_"))).alias("k")).join(often, "k").groupBy("id", "slug").agg(F.min_by("k", F.struct("_n", "k")).alias("k"))
-    pairs = rarest.join(words, "k")
-    inside = (F.col("slug").contains(F.col("slug2")) | F.col("slug2").contains(F.col("slug"))) & (F.least(F.length("slug"), F.length("slug2")) / F.greatest(F.length("slug"), F.length("slug2")) >= 0.4)
-    kind = F.when(F.col("slug") == F.col("slug2"), 0).when(inside, 1).when(score >= least, 2)
-    value = F.when(F.col("slug") == F.col("slug2"), 1.0).when(inside, F.least(score + 0.2, F.lit(1.0))).otherwise(score)
-    rows = pairs.withColumn("kind", kind).withColumn("score", F.round(value, 4)).filter("kind is not null")
-    return rows.groupBy("id").agg(F.min_by(F.struct("other", "kind", "score"), F.struct("kind", -F.col("score"), "other")).alias("r")).select("id", "r.*")
+def slug_matches(left: DataFrame, right: DataFrame, least: float = 0.55, inside: float = 0.4, shortest: int = 4) -> DataFrame:
+    """(id, other, kind, score): exact slug (0), else one of at least ``shortest`` characters contained
+    in the other and ``inside`` of its length (1), else edit similarity from ``least`` on (2).
+
+    Slugs are compared once each. A contained slug has all its trigrams in the other: pairs meet at its
+    rarest one. Edit similarity is asked only for slugs that found nothing so far, against the right
+    side in blocks.
+    """
+    a, b = left.select("slug").distinct(), right.groupBy("slug2").agg(F.min("other").alias("other"))
+    n, m = F.length("slug"), F.length("slug2")
+    score = 1 - F.levenshtein("slug", "slug2") / F.greatest(n, m)
+    exact = a.join(b, F.col("slug") == F.col("slug2")).select("slug", "other", F.lit(0).alias("kind"), F.lit(1.0).alias("score"))
+    within = lambda x, y: F.col(y).contains(F.col(x)) & (F.length(x) >= shortest) & (F.length(x) >= inside * F.length(y)) & (F.col(x) != F.col(y))
+    held = _containing(a, b, "slug", "slug2", within("slug", "slug2")).unionByName(_containing(b, a, "slug2", "slug", within("slug2", "slug")))
+    held = held.select("slug", "other", F.lit(1).alias("kind"), F.round(F.least(score + 0.2, F.lit(1.0)), 4).alias("score"))
+    first = lambda df: df.groupBy("slug").agg(F.min_by(F.struct("other", "kind", "score"), F.struct("kind", -F.col("score"), "other")).alias("r"))
+    found = stored(first(exact.unionByName(held)), "slugs")
+    rest = a.join(found.select("slug"), "slug", "left_anti")
+    near = in_blocks(rest, b, (F.least(n, m) >= least * F.greatest(n, m)) & (score >= least))
+    found = found.unionByName(first(near.select("slug", "other", F.lit(2).alias("kind"), F.round(score, 4).alias("score"))))
+    return left.select("id", "slug").join(found, "slug").select("id", "r.*")
+
+
+def _containing(short: DataFrame, long: DataFrame, x: str, y: str, cond: Column) -> DataFrame:
+    """Pairs in which x of short lies in y of long, met at the trigram of x that is rarest in long."""
+    grams = lambda df, c: df.withColumn("_g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(3))))))
+    there = grams(long, y)
+    often = there.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    own = [F.col(c) for c in short.columns]
+    # a gram that long has nowhere rules its slug out: it counts 0 and then meets nothing
+    rarest = grams(short, x).join(often, "_g", "left").groupBy(*own).agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)), "_g")).alias("_g"))
+    return rarest.join(there, "_g").filter(cond).drop("_g")

@@ -81,13 +81,13 @@ def bundle_prices(spark, d):
     + """, n as (select distinct name, direction, list_distinct(list_filter(string_split(regexp_replace(lower(name), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: length(x) >= 2)) as t from goods),
 p as (select a.name, a.direction, b.name as analog, b.direction as analog_direction, round(len(list_intersect(a.t, b.t)) / greatest(len(a.t), len(b.t)) + case when a.direction = b.direction then 0.15 else 0 end, 4) as score from n a join n b on len(list_intersect(a.t, b.t)) > 0),
 k as (select *, row_number() over (partition by name, direction order by score desc, analog, analog_direction) as rank from p),
-pr as (select name as analog, direction as analog_direction, round(median(base_price), 2) as price from goods where base_price > 950 group by 1, 2),
+pr as (select name as analog, direction as analog_direction, round(median(base_price), 2) as price from goods group by 1, 2),
 j as (select product_id as key, k.analog, price, row_number() over (partition by product_id order by rank) as rn from goods join k using (name, direction) join pr using (analog, analog_direction) where rank <= 3)
 select key, analog, price from j where rn = 1"""
 )
 def analog_prices(spark, d):
     g = catalogue(spark, d)
-    prices = g.filter("base_price > 950").groupBy("name", "direction").agg(F.round(F.median("base_price"), 2).alias("price"))
+    prices = g.groupBy("name", "direction").agg(F.round(F.median("base_price"), 2).alias("price"))
     targets = g.select(F.col("product_id").alias("key"), "name", "direction")
     return E.analog_prices(targets, S.nearest_analogs(g, g).drop("product_id", "score"), prices)
 
@@ -184,9 +184,7 @@ def uncovered_revenue(spark, d):
 
 @query(
     """with l as (select c_custkey as id, 'customer_' || c_custkey || '_' || c_nationkey as slug from customer), r as (select s_suppkey as other, 'customer_' || (s_suppkey * 7) || '_' || s_nationkey as slug2 from supplier),
-w as (select distinct other, slug2, unnest(string_split(slug2, '_')) as k from r), f as (select k, count(*) as n from w group by 1), lw as (select distinct id, slug, unnest(string_split(slug, '_')) as k from l),
-ra as (select id, slug, arg_min(k, row(n, k)) as k from lw join f using (k) group by 1, 2),
-p as (select *, 1 - levenshtein(slug, slug2) / greatest(length(slug), length(slug2)) as sc, (contains(slug, slug2) or contains(slug2, slug)) and least(length(slug), length(slug2)) / greatest(length(slug), length(slug2)) >= 0.4 as ins from ra join w using (k)),
+p as (select *, 1 - levenshtein(slug, slug2) / greatest(length(slug), length(slug2)) as sc, (contains(slug, slug2) or contains(slug2, slug)) and least(length(slug), length(slug2)) / greatest(length(slug), length(slug2)) >= 0.4 as ins from l, r),
 k2 as (select *, case when slug = slug2 then 0 when ins then 1 when sc >= 0.55 then 2 end as kind, round(case when slug = slug2 then 1.0 when ins then least(sc + 0.2, 1.0) else sc end, 4) as score from p),
 b as (select *, row_number() over (partition by id order by kind, score desc, other) as rn from k2 where kind is not null) select id, other, kind, score from b where rn = 1"""
 )

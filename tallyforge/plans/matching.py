@@ -23,22 +23,22 @@ def query(sql: str | None = None):
     return keep
 
 
-_NAMES = """with l as (select distinct p_name as id, string_split(p_name, ' ') as t from part), r as (select distinct p_name || ' ' || lower(p_type) as other, string_split(p_name || ' ' || lower(p_type), ' ') as u from part where p_size < 10)
+_NAMES = """with l as (select distinct p_name as id, string_split(p_name, ' ') as t from part), r as (select distinct p_name || ' ' || lower(p_type) as other, string_split(p_name || ' ' || lower(p_type), ' ') as u from part)
 """
 
 
 def _names(spark, d):
     p = table(spark, d, "part")
     left = p.select(F.col("p_name").alias("id")).distinct().withColumn("t", tokens(F.col("id")))
-    right = p.filter("p_size < 10").select(F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("other")).distinct().withColumn("u", tokens(F.col("other")))
+    right = p.select(F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("other")).distinct().withColumn("u", tokens(F.col("other")))
     return left, right
 
 
 @query(
     _NAMES
     + """, p as (select id, other, array_to_string(list_sort(list_intersect(t, u)), ' ') as c, trim(array_to_string(list_sort(list_intersect(t, u)), ' ') || ' ' || array_to_string(list_sort(list_filter(t, lambda x: not list_contains(u, x))), ' ')) as a,
-    trim(array_to_string(list_sort(list_intersect(t, u)), ' ') || ' ' || array_to_string(list_sort(list_filter(u, lambda x: not list_contains(t, x))), ' ')) as b from l, r where len(list_intersect(t, u)) > 0),
-s as (select id, other, round(100 * greatest(1 - levenshtein(a, b) / greatest(length(a), length(b)), 1 - levenshtein(c, a) / greatest(length(c), length(a)), 1 - levenshtein(c, b) / greatest(length(c), length(b))), 2) as score from p),
+    trim(array_to_string(list_sort(list_intersect(t, u)), ' ') || ' ' || array_to_string(list_sort(list_filter(u, lambda x: not list_contains(t, x))), ' ')) as b from l, r),
+s as (select id, other, round(100 * greatest(1 - levenshtein(a, b) / greatest(length(a), length(b)), case when c <> '' then 1 - levenshtein(c, a) / greatest(length(c), length(a)) else 0 end, case when c <> '' then 1 - levenshtein(c, b) / greatest(length(c), length(b)) else 0 end), 2) as score from p),
 k as (select *, row_number() over (partition by id order by score desc, other) as rank from s where score >= 76) select * from k where rank <= 3"""
 )
 def token_set_links(spark, d):
