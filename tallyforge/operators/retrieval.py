@@ -18,6 +18,7 @@ from tallyforge.functions.text import all_tokens
 from tallyforge.operators.windows import top_n
 
 QUERY_BLOCK = 4096
+CELLS = 1 << 21
 
 
 def sparse_vectors(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -29,6 +30,11 @@ def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, text: str = "text"
     """(query_id, doc_id, score, rank) by the dot product of term frequencies and inverse document
     frequencies. Only tokens that queries use leave the scan of the corpus: the token join comes
     before any aggregation, and both sides of it are reduced map-side."""
+    return top_n(sparse_scores(docs, queries, text), ["query_id"], [F.desc("score"), F.col("doc_id")], k)
+
+
+def sparse_scores(docs: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
+    """(query_id, doc_id, score) of all documents that have a token of the query."""
     q = sparse_vectors(queries, "query_id", text).withColumnRenamed("tf", "qtf")
     used = q.select("token").distinct()
     d = docs.select("doc_id", F.explode(all_tokens(F.col(text))).alias("token")).join(used, "token").groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
@@ -36,16 +42,23 @@ def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, text: str = "text"
     df = d.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = df.join(F.broadcast(n)).select("token", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     hits = d.join(idf, "token").join(q, "token")
-    scores = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("tf") * F.col("idf")), 6).alias("score"))
-    return top_n(scores, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
+    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("tf") * F.col("idf")), 6).alias("score"))
+
 
+def _best_of(s: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest entries of each row by score, then by the smaller document."""
+    order = np.lexsort((d, -s), axis=1)[:, :k]
+    return np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
 
-def dense_top_k(docs: DataFrame, queries: DataFrame, k: int, group: str | None = None) -> DataFrame:
+
+def dense_top_k(docs: DataFrame, queries: DataFrame, k: int, group: str | None = None, weight: str | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) by cosine of ``embedding`` columns, exactly.
 
     Queries are taken in blocks of QUERY_BLOCK by hash; each partition multiplies its vectors with a
-    block and keeps k of each query, so what is shuffled is k rows a query and partition. group: a
-    column that query and document must agree in. Null and zero vectors match nothing.
+    block, so many at a time that CELLS scores are held, and keeps k of each query; what is shuffled is
+    k rows a query and partition. group: a column that query and document must agree in. weight: a
+    column of docs by which rounded cosines are multiplied before the best are taken; the score is
+    then the product. Null and zero vectors match nothing.
     """
     cols = ["query_id", "embedding"] + ([group] if group else [])
     rows = queries.select(*cols).filter("embedding is not null")
@@ -57,32 +70,38 @@ def dense_top_k(docs: DataFrame, queries: DataFrame, k: int, group: str | None =
             continue
         m = np.array([r.embedding for r in block], np.float64)
         norm = np.linalg.norm(m, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in block], np.int64), m / np.where(norm > 0, norm, 1), norm[:, 0] > 0, [r[group] for r in block] if group else None))
+        kinds = {g: i for i, g in enumerate(sorted({r[group] for r in block if r[group] is not None}))} if group else {}
+        own = np.array([kinds.get(r[group], -2) for r in block]) if group else None
+        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in block], np.int64), m / np.where(norm > 0, norm, 1), norm[:, 0] > 0, kinds, own))
 
         def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, m, real, groups = shared.value
+            ids, m, real, kinds, own = shared.value
             best_s, best_d = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
-            for b in batches:
-                keep = [i for i, v in enumerate(b.column(1).to_pylist()) if v is not None]
-                if not keep:
-                    continue
-                b = b.take(pa.array(keep))
-                x = np.array(b.column(1).to_pylist(), np.float64)
-                n = np.linalg.norm(x, axis=1)
-                s = m @ (x / np.where(n > 0, n, 1)[:, None]).T
-                bad = ~real[:, None] | (n == 0)[None, :]
-                if groups is not None:
-                    own = b.column(2).to_pylist()
-                    bad |= np.array([[g != o for o in own] for g in groups])
-                s = np.where(bad, -np.inf, np.round(s, 6))
-                best_s = np.concatenate((best_s, s), axis=1)
-                best_d = np.concatenate((best_d, np.repeat(b.column(0).to_numpy()[None], len(ids), axis=0)), axis=1)
-                order = np.lexsort((best_d, -best_s), axis=1)[:, :k]
-                best_s, best_d = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_d, order, 1)
+            step = max(1, CELLS // len(ids))
+            for whole in batches:
+                whole = whole.filter(whole.column(1).is_valid())
+                for at in range(0, whole.num_rows, step):
+                    b = whole.slice(at, step)
+                    x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                    n = np.linalg.norm(x, axis=1)
+                    s = np.round(m @ (x / np.where(n > 0, n, 1)[:, None]).T, 6)
+                    if weight:
+                        s = np.round(s * b.column(2).to_numpy(zero_copy_only=False)[None], 6)
+                    s[~real] = -np.inf
+                    s[:, ~(n > 0)] = -np.inf
+                    if own is not None:
+                        s[own[:, None] != np.array([kinds.get(g, -1) for g in b.column(b.num_columns - 1).to_pylist()])[None]] = -np.inf
+                    d = np.repeat(b.column(0).to_numpy()[None], len(ids), axis=0)
+                    if s.shape[1] > 4 * k:  # those below the k-th score can't be among the best
+                        cut = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+                        some = np.flatnonzero((s >= cut).any(axis=0))
+                        s, d = s[:, some], d[:, some]
+                    best_s, best_d = _best_of(np.concatenate((best_s, s), axis=1), np.concatenate((best_d, d), axis=1), k)
             ok = np.isfinite(best_s)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_s.shape[1]).reshape(best_s.shape)[ok]), pa.array(best_d[ok]), pa.array(best_s[ok])], names=["query_id", "doc_id", "score"])
 
-        source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "embedding", *([group] if group else []))
+        more = ([F.col(weight).cast("double").alias("_weight")] if weight else []) + ([group] if group else [])
+        source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "embedding", *more)
         found = source.mapInArrow(task, "query_id bigint, doc_id bigint, score double")
         out = found if out is None else out.unionByName(found)
     if out is None:
@@ -129,10 +148,17 @@ def nearest_label(queries: DataFrame, prototypes: DataFrame, least: float) -> Da
     return named.select("query_id", F.when(F.col("score") >= least, F.col("label")).alias("label"), "score")
 
 
-def volume_biased(scores: DataFrame, count: Column, k: int) -> DataFrame:
-    """Ranks by score * (1 + 0.15 log10 n), less 15 % for categories of under ten deals."""
-    biased = F.col("score") * (1 + 0.15 * F.log10(F.greatest(count, F.lit(1)))) * F.when(count < 10, 0.85).otherwise(1.0)
-    return top_n(scores.withColumn("biased", F.round(biased, 6)), ["query_id"], [F.desc("biased"), F.col("doc_id")], k)
+def volume_weight(count: Column) -> Column:
+    """1 + 0.15 log10 n, less 15 % for categories of under ten deals."""
+    return (1 + 0.15 * F.log10(F.greatest(count, F.lit(1)))) * F.when(count < 10, 0.85).otherwise(1.0)
+
+
+def volume_biased(docs: DataFrame, queries: DataFrame, label: str, k: int) -> DataFrame:
+    """(query_id, doc_id, biased, rank): the k best by cosine times the weight of the label's volume.
+    Every document is weighed, not only those that lie near."""
+    n = docs.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    weighed = docs.join(n, label).withColumn("_w", volume_weight(F.col("_n")))
+    return dense_top_k(weighed, queries, k, weight="_w").withColumnRenamed("score", "biased")
 
 
 def _slots(limit_type: str, limit: int, wanted: list[str], n: int):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators import retrieval as R
 from tallyforge.operators.windows import keep_if_any, merge_tiers
 from tallyforge.sources.roles import table
+from tallyforge.sources.stored import stored
 
 Q: dict = {}
 O: dict = {}
@@ -22,9 +23,12 @@ def query(sql: str | None = None):
     return keep
 
 
+def _asked(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
 def _sparse(spark, d, k):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return R.sparse_top_k(docs, table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), k)
+    return R.sparse_top_k(table(spark, d, "documents").select("doc_id", "text"), _asked(spark, d), k)
 
 
 SPARSE = """with dt as (select doc_id, token, count(*) as tf from (select doc_id, unnest(list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g'), ' '), lambda x: length(x) >= 2)) as token from documents) group by 1, 2),
@@ -119,11 +123,11 @@ select query_id, doc_id, score, tier from u where rn = 1"""
 )
 def tiered_search(spark, d):
     docs = table(spark, d, "documents")
-    every = _sparse(spark, d, 1_000_000)  # the filter comes after scoring, so that both tiers share one score
-    en = every.join(docs.filter("lang = 'en'").select("doc_id"), "doc_id", "left_semi").drop("rank")
-    first = R.top_n(en, ["query_id"], [F.desc("score"), F.col("doc_id")], 5)
-    cols = ["query_id", "doc_id", "score"]
-    return merge_tiers([first.select(*cols), every.filter("rank <= 5").select(*cols)], ["query_id", "doc_id"], [F.desc("score")]).select(*cols, "tier")
+    every = stored(R.sparse_scores(docs.select("doc_id", "text"), _asked(spark, d)), "scores")  # both tiers share them
+    cols, order = ["query_id", "doc_id", "score"], [F.desc("score"), F.col("doc_id")]
+    en = every.join(docs.filter("lang = 'en'").select("doc_id"), "doc_id", "left_semi")
+    first, second = (R.top_n(x.select(*cols), ["query_id"], order, 5).drop("rank") for x in (en, every))
+    return merge_tiers([first, second], ["query_id", "doc_id"], [F.desc("score")]).select(*cols, "tier")
 
 
 @query(DENSE + ", k as (select *, row_number() over (partition by query_id order by score desc, doc_id) as r from sc where doc_id % 100 <> 0) select query_id, case when score >= 0.5 then label end as label, score from k where r = 1")
@@ -134,15 +138,12 @@ def prototype_labels(spark, d):
 
 @query(
     DENSE
-    + """, n as (select label, count(*) as n from embeddings group by 1), b as (select query_id, doc_id, score, round(score * (1 + 0.15 * log10(greatest(n, 1))) * case when n < 10 then 0.85 else 1.0 end, 6) as biased from de join n using (label) where rank <= 50),
+    + """, n as (select label, count(*) as n from embeddings group by 1), b as (select query_id, doc_id, round(score * ((1 + 0.15 * log10(greatest(n, 1))) * case when n < 10 then 0.85 else 1.0 end), 6) as biased from de join n using (label)),
 k as (select *, row_number() over (partition by query_id order by biased desc, doc_id) as rank from b) select * from k where rank <= 3"""
 )
 def volume_biased_search(spark, d):
     docs, queries = _vectors(spark, d)
-    top = R.dense_top_k(docs, queries.drop("label"), 50).drop("rank")
-    n = docs.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    res = top.join(docs.select("doc_id", "label"), "doc_id").join(n, "label")
-    return R.volume_biased(res, F.col("n"), 3).select("query_id", "doc_id", "score", "biased", "rank")
+    return R.volume_biased(docs, queries.drop("label"), "label", 3)
 
 
 @query()
