@@ -16,9 +16,11 @@ from pyspark.sql.window import Window as W
 
 from tallyforge.functions.text import all_tokens
 from tallyforge.operators.windows import top_n
+from tallyforge.sources.stored import stored
 
 QUERY_BLOCK = 4096
 CELLS = 1 << 21
+BROADCAST_TOKENS = 1_000_000
 
 
 def sparse_vectors(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -26,23 +28,68 @@ def sparse_vectors(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(all_tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, text: str = "text") -> DataFrame:
+def _weights(queries: DataFrame, corpus: DataFrame, text: str) -> DataFrame:
+    """(query_id, token, w): term frequency times inverse document frequency in the corpus. Only tokens
+    of queries leave the scan, which counts them map-side."""
+    q = stored(sparse_vectors(queries, "query_id", text), "terms")
+    used = stored(q.select("token").distinct(), "tokens")
+    if used.count() <= BROADCAST_TOKENS:
+        used = F.broadcast(used)
+    df = corpus.select(F.explode(F.array_distinct(all_tokens(F.col(text)))).alias("token")).join(used, "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    n = corpus.count()
+    return q.join(df, "token").select("query_id", "token", (F.col("tf") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))
+
+
+def sparse_top_k(docs: DataFrame, queries: DataFrame, k: int, text: str = "text", corpus: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) by the dot product of term frequencies and inverse document
-    frequencies. Only tokens that queries use leave the scan of the corpus: the token join comes
-    before any aggregation, and both sides of it are reduced map-side."""
-    return top_n(sparse_scores(docs, queries, text), ["query_id"], [F.desc("score"), F.col("doc_id")], k)
-
-
-def sparse_scores(docs: DataFrame, queries: DataFrame, text: str = "text") -> DataFrame:
-    """(query_id, doc_id, score) of all documents that have a token of the query."""
-    q = sparse_vectors(queries, "query_id", text).withColumnRenamed("tf", "qtf")
-    used = q.select("token").distinct()
-    d = docs.select("doc_id", F.explode(all_tokens(F.col(text))).alias("token")).join(used, "token").groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    df = d.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(F.broadcast(n)).select("token", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    hits = d.join(idf, "token").join(q, "token")
-    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("tf") * F.col("idf")), 6).alias("score"))
+    frequencies (of corpus, docs where not given), exactly.
+
+    Queries are taken in blocks of QUERY_BLOCK by hash. A document is scored where it lies, against the
+    block's tokens; each partition keeps k of each query, so a common token costs no shuffle.
+    """
+    weights = stored(_weights(queries, docs if corpus is None else corpus, text), "weights")
+    parts = max(1, -(-queries.count() // (QUERY_BLOCK // 2)))
+    rows, out = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), all_tokens(F.col(text)).alias("tokens")), None
+    for part in range(parts):
+        block = weights.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow()
+        if not block.num_rows:
+            continue
+        ids, at = np.unique(block.column("query_id").to_numpy(), return_inverse=True)
+        words, w = block.column("token").to_pylist(), block.column("w").to_numpy()
+        index: dict[str, list[int]] = {}
+        for i, word in enumerate(words):
+            index.setdefault(word, []).append(i)
+        shared = docs.sparkSession.sparkContext.broadcast((ids, {word: (at[i], w[i]) for word, i in index.items()}))
+
+        def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, index = shared.value
+            best_s, best_d = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+            step = max(1, min(1024, CELLS // len(ids)))
+            for whole in batches:
+                for first in range(0, whole.num_rows, step):
+                    b = whole.slice(first, step)
+                    s = np.zeros((b.num_rows, len(ids)))
+                    row = np.repeat(np.arange(b.num_rows), b.column(1).value_lengths().fill_null(0).to_numpy())
+                    coded = b.column(1).flatten().dictionary_encode()
+                    known = [index.get(t) for t in coded.dictionary.to_pylist()]
+                    code = coded.indices.to_numpy()
+                    hit = np.flatnonzero(np.array([x is not None for x in known], bool)[code]) if len(code) else code
+                    hit = hit[np.argsort(code[hit], kind="stable")]
+                    for group in np.split(hit, np.flatnonzero(np.diff(code[hit])) + 1) if len(hit) else ():
+                        at, w = known[code[group[0]]]
+                        docs_of, times = np.unique(row[group], return_counts=True)
+                        s[np.ix_(docs_of, at)] += times[:, None] * w[None]
+                    s = np.where(s > 0, np.round(s, 6), -np.inf).T
+                    d = np.repeat(b.column(0).to_numpy()[None], len(ids), axis=0)
+                    best_s, best_d = _best_of(np.concatenate((best_s, s), axis=1), np.concatenate((best_d, d), axis=1), k)
+            ok = np.isfinite(best_s)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_s.shape[1]).reshape(best_s.shape)[ok]), pa.array(best_d[ok]), pa.array(best_s[ok])], names=["query_id", "doc_id", "score"])
+
+        found = rows.mapInArrow(task, "query_id bigint, doc_id bigint, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], "query_id bigint, doc_id bigint, score double")
+    return top_n(out, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
 
 
 def _best_of(s: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tallyforge.operators import retrieval as R
 from tallyforge.operators.windows import keep_if_any, merge_tiers
 from tallyforge.sources.roles import table
-from tallyforge.sources.stored import stored
 
 Q: dict = {}
 O: dict = {}
@@ -123,11 +122,11 @@ select query_id, doc_id, score, tier from u where rn = 1"""
 )
 def tiered_search(spark, d):
     docs = table(spark, d, "documents")
-    every = stored(R.sparse_scores(docs.select("doc_id", "text"), _asked(spark, d)), "scores")  # both tiers share them
-    cols, order = ["query_id", "doc_id", "score"], [F.desc("score"), F.col("doc_id")]
-    en = every.join(docs.filter("lang = 'en'").select("doc_id"), "doc_id", "left_semi")
-    first, second = (R.top_n(x.select(*cols), ["query_id"], order, 5).drop("rank") for x in (en, every))
-    return merge_tiers([first, second], ["query_id", "doc_id"], [F.desc("score")]).select(*cols, "tier")
+    texts, cols = docs.select("doc_id", "text"), ["query_id", "doc_id", "score"]
+    # both tiers weigh tokens by the whole corpus
+    first = R.sparse_top_k(docs.filter("lang = 'en'").select("doc_id", "text"), _asked(spark, d), 5, corpus=texts)
+    second = R.sparse_top_k(texts, _asked(spark, d), 5)
+    return merge_tiers([first.select(*cols), second.select(*cols)], ["query_id", "doc_id"], [F.desc("score")]).select(*cols, "tier")
 
 
 @query(DENSE + ", k as (select *, row_number() over (partition by query_id order by score desc, doc_id) as r from sc where doc_id % 100 <> 0) select query_id, case when score >= 0.5 then label end as label, score from k where r = 1")
