@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.base import WordHashes, arrow_batches, mix64, shingle_hashes
+from tallyforge.llm.base import Shared, WordHashes, arrow_batches, mix64, shingle_hashes
 from tallyforge.llm.near_duplicates import _slices
 
 K = 5
@@ -35,33 +35,37 @@ HEAVIEST = 12
 STRIDES = 16
 CHUNK = 12_000
 RUN = 16
+NONE, SEVERAL = -1, -2
 _NEAR = np.array(sorted(sum(1 << b for b in bits) for n in range(4) for bits in combinations(range(16), n)), np.int64)
 
 
-def _signed(words: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Running sums of the 64 signed bits; int16 may wrap, differences over a window don't."""
-    bits = np.unpackbits(words.astype("<u8").view(np.uint8), bitorder="little").reshape(len(words), 64).astype(np.int16)
+def _signed(words: np.ndarray, lens: np.ndarray, longest: int) -> np.ndarray:
+    """Running sums of the 64 signed bits; they may wrap, differences over up to ``longest`` words don't."""
+    kind = np.int16 if longest * HEAVIEST < 1 << 15 else np.int32
+    bits = np.unpackbits(words.astype("<u8").view(np.uint8), bitorder="little").reshape(len(words), 64).astype(kind)
     bits += bits
     bits -= 1
-    bits *= np.minimum(lens, HEAVIEST).astype(np.int16)[:, None]
+    bits *= np.minimum(lens, HEAVIEST).astype(kind)[:, None]
     # sums inside runs of RUN rows, whole rows at a time, then the sums of the runs before them
     n = len(words)
-    out = np.zeros((1 + -(-n // RUN) * RUN, 64), np.int16)
+    out = np.zeros((1 + -(-n // RUN) * RUN, 64), kind)
     out[1 : n + 1] = bits
     runs = out[1:].reshape(-1, RUN, 64)
     for j in range(1, RUN):
         runs[:, j] += runs[:, j - 1]
-    before = np.cumsum(runs[:, -1], axis=0, dtype=np.int16)
+    before = np.cumsum(runs[:, -1], axis=0, dtype=kind)
     runs[1:] += before[:-1, None]
     return out[: n + 1]
 
 
 def _prints(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return np.packbits((sums[ends] - sums[starts]) > 0, axis=1, bitorder="little").view("<u8").ravel()
+    over = sums.take(ends, axis=0)
+    over -= sums.take(starts, axis=0)
+    return np.packbits(over > 0, axis=1, bitorder="little").view("<u8").ravel()
 
 
 def fingerprint(words: np.ndarray, lens: np.ndarray) -> np.uint64:
-    return _prints(_signed(words, lens), np.array([0]), np.array([len(words)]))[0]
+    return _prints(_signed(words, lens, len(words)), np.array([0]), np.array([len(words)]))[0]
 
 
 def _shingles(words: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +89,7 @@ class ItemIndex:
     """Fingerprints, multi-index tables and shingles of one block of items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.shingles, self.lengths, prints = [], [], [], []
+        self.ids, self.shingles, self.own, self.lengths, prints = [], [], [], [], []
         hasher = WordHashes()
         for item_id, text in items:
             words, _, first, end, _ = hasher.spans([text])
@@ -95,6 +99,7 @@ class ItemIndex:
             self.ids.append(item_id)
             self.lengths.append(len(words))
             self.shingles.append(_shingles(words, lens))
+            self.own.append(np.unique(self.shingles[-1][0]))
             prints.append(fingerprint(words, lens))
         self.prints = np.array(prints, np.uint64)
         n = np.array(self.lengths, np.int64)
@@ -108,36 +113,45 @@ class ItemIndex:
         self.longest = int(n.max()) if len(n) else 0
 
     def _tables(self, items: np.ndarray) -> tuple:
-        """(four tables: for each 16-bit value where the items near it in that block begin, how many, and the items)."""
+        """(four tables: for each 16-bit value the one item near it in that block, NONE or SEVERAL; then
+        where the items near it begin, how many, and the items)."""
         tables = []
         for b in range(4):
             value = ((self.prints[items] >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
             near = (value[:, None] ^ _NEAR[None, :]).ravel()
             owner = np.repeat(items, len(_NEAR))
             order = np.argsort(near, kind="stable")
-            count = np.bincount(near, minlength=1 << 16)
-            tables.append(((np.cumsum(count) - count).astype(np.int32), count.astype(np.int32), owner[order].astype(np.int32)))
+            owner, count = owner[order].astype(np.int32), np.bincount(near, minlength=1 << 16)
+            begin = np.cumsum(count) - count
+            one = np.where(count > 1, SEVERAL, NONE).astype(np.int32)
+            one[count == 1] = owner[begin[count == 1]]
+            tables.append((one, begin.astype(np.int32), count.astype(np.int32), owner))
         return (tables,)
 
     def near(self, prints: np.ndarray, tables: list) -> tuple[np.ndarray, np.ndarray]:
         """All (window, item) with fingerprints within RADIUS."""
         found = []
+
+        def keep(w: np.ndarray, item: np.ndarray) -> None:
+            ok = np.bitwise_count(prints[w] ^ self.prints[item]) <= RADIUS
+            if ok.any():
+                found.append((w[ok], item[ok].astype(np.int64)))
+
         parts = prints.view("<u2").reshape(-1, 4)
-        for b, (begin, count, owner) in enumerate(tables):
+        for b, (one, begin, count, owner) in enumerate(tables):
             v = parts[:, b]
-            n = count[v]
-            hit = np.flatnonzero(n)
-            if not len(hit):
-                continue
-            n, lo = n[hit], begin[v[hit]]
-            w = np.repeat(hit, n)
-            item = owner[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-            ok = np.bitwise_count(prints[w] ^ self.prints[item]) <= RADIUS
-            found.append((w[ok], item[ok]))
+            x = one.take(v)
+            w = np.flatnonzero(x >= 0)
+            keep(w, x[w])
+            hit = np.flatnonzero(x == SEVERAL)
+            if len(hit):
+                n, lo = count[v[hit]], begin[v[hit]]
+                keep(np.repeat(hit, n), owner[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - lo, n)])
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)]), axis=1)
-        return pairs[0], pairs[1]
+        w, item = (np.concatenate(x) for x in zip(*found, strict=True))
+        pairs = np.unique(w * len(self.prints) + item)
+        return pairs // len(self.prints), pairs % len(self.prints)
 
     def search(self, words: np.ndarray, lens: np.ndarray, starts: np.ndarray, least: float) -> list[tuple[int, int, int, int, float]]:
         """(text, item_id, first word, words, similarity): the best window of each text and item.
@@ -149,7 +163,7 @@ class ItemIndex:
         place = (np.arange(len(words)) - np.repeat(starts[:-1], np.diff(starts))).astype(np.int32)  # within its text
         for at in range(0, len(words), CHUNK):
             stop = min(len(words), at + CHUNK + self.longest)
-            sums = _signed(words[at:stop], lens[at:stop])
+            sums = _signed(words[at:stop], lens[at:stop], self.longest)
             for size, tables in self.classes:
                 stride = max(1, size // STRIDES)
                 # windows start at multiples of the stride from each text's own first word, and one ends it
@@ -170,28 +184,35 @@ class ItemIndex:
                     hits.setdefault((t, i), []).append((int(starts[t]), int(n[t])))
         out = []
         for (t, i), places in hits.items():
-            best = self._best(words, lens, int(starts[t]), int(starts[t + 1]), i, places)
+            best = self._best(words, lens, int(starts[t]), int(starts[t + 1]), i, places, least)
             if best[0] >= least:
                 out.append((t, self.ids[i], best[1], best[2], best[0]))
         return out
 
-    def _best(self, words, lens, begin, end, i, places) -> tuple[float, int, int]:
+    def _best(self, words, lens, begin, end, i, places, least) -> tuple[float, int, int]:
+        """(similarity, first word, words) of the best window of the item's length around the places;
+        windows that can't reach ``least`` are left out."""
         m, item = self.lengths[i], self.shingles[i]
-        own, best, seen = set(item[0].tolist()), (0.0, 0, 0), set()
-        total = float(item[1].sum())
-        for p, size in places:
+        best, total, ranges = (0.0, 0, 0), float(item[1].sum()), []
+        for p, size in sorted(places):
             pad = max(2, size // 8) + abs(size - m) + 2
             lo, hi = max(begin, p - pad), min(end, p + size + pad)
-            h, w = _shingles(words[lo:hi], lens[lo:hi])
-            if sum(x for s, x in zip(h.tolist(), w.tolist(), strict=True) if s in own) < 0.5 * total:
-                continue  # a similarity of 0.5 needs more in common than that
-            for s in range(lo, max(lo, hi - m) + 1):
-                if s not in seen:
-                    seen.add(s)
-                    n = min(m, end - s)
-                    found = similarity(_shingles(words[s : s + n], lens[s : s + n]), item)
-                    if found > best[0]:
-                        best = (found, s - begin, n)
+            if ranges and lo <= ranges[-1][1] - m:
+                ranges[-1][1] = max(ranges[-1][1], hi)
+            else:
+                ranges.append([lo, hi])
+        for lo, hi in ranges:
+            first = np.arange(lo, max(lo, hi - m) + 1)
+            if m >= K and hi - lo >= m:  # the weight that a window has of the item's shingles
+                h, w = _shingles(words[lo:hi], lens[lo:hi])
+                own = self.own[i]
+                common = np.concatenate(([0], np.cumsum(np.where(own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h, w, 0))))
+                first = first[common[first - lo + m - K + 1] - common[first - lo] >= least * total]
+            for s in first.tolist():
+                n = min(m, end - s)
+                found = similarity(_shingles(words[s : s + n], lens[s : s + n]), item)
+                if found > best[0]:
+                    best = (found, s - begin, n)
         return best
 
 
@@ -241,11 +262,15 @@ def matches(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
-    """docs without the rows that hold an item; all columns pass through, nothing is shuffled."""
+    """docs without the rows that hold an item; all columns pass through, nothing is shuffled. Null
+    and empty texts hold none and stay. Between blocks of items the rest is written to the shared
+    folder, so a worker never holds two indexes."""
     arrow_batches(docs.sparkSession)
-    at = docs.columns.index("text")
-    for block in _blocks(items):
+    at, files = docs.columns.index("text"), Shared(docs.sparkSession, "decontamination")
+    for no, block in enumerate(_blocks(items)):
         shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(block))
+        if no:
+            docs = files.save(docs, f"block{no}")
 
         def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

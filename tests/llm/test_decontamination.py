@@ -93,3 +93,42 @@ def test_planted_items_of_a_batch_are_all_found():
     words, starts, first, end, _ = D.WordHashes().spans(texts)
     found = D.ItemIndex(list(enumerate(items))).search(words, end - first, starts, 0.8)
     assert {(t, t % 120) for t in range(900)} <= {(t, i) for t, i, *_ in found}
+
+
+def test_recall_of_edited_passages():
+    """Words changed, dropped and inserted, items of 15 to 600 words: all pairs of 0.8 and more are found."""
+    r = random.Random(8)
+    speak = lambda n: " ".join(r.choice(WORDS) + str(r.randrange(60)) for _ in range(n))
+    items = [speak(n) for n in (*(r.randint(15, 120) for _ in range(60)), 300, 600)]
+    texts, true = [], set()
+    for i in range(400):
+        item = r.randrange(len(items))
+        words = items[item].split()
+        for _ in range(r.randint(0, max(3, len(words) // 40))):
+            at, how = r.randrange(len(words)), r.randrange(3)
+            words[at : at + (how > 0)] = [] if how == 1 else [f"edit{r.randrange(999)}"]
+        texts.append(f"{speak(r.randint(0, 150))} {' '.join(words)} {speak(r.randint(0, 150))}".strip())
+        if _best(texts[-1], items[item]) >= 0.8:
+            true.add((i, item))
+    words, starts, first, end, _ = D.WordHashes().spans(texts)
+    found = {(t, i) for t, i, *_ in D.ItemIndex(list(enumerate(items))).search(words, end - first, starts, 0.8)}
+    assert len(true) > 200 and true <= found
+
+
+def test_a_very_long_item_and_ties():
+    item = say(3500) + " " + "internationalisation " * 40
+    text = f"{say(2000)} {item} {say(900)}"
+    twice = f"{say(50)} {item[:150].rsplit(' ', 1)[0]} {say(80)} {item[:150].rsplit(' ', 1)[0]}"
+    words, starts, first, end, _ = D.WordHashes().spans([text, twice])
+    index = D.ItemIndex([(1, item), (2, item[:150].rsplit(" ", 1)[0])])
+    found = {(t, i): (s, n, x) for t, i, s, n, x in index.search(words, end - first, starts, 0.8)}
+    assert found[0, 1] == (2000, 3540, 1.0) and found[1, 2][0] == 50  # of two equal windows the first
+
+
+def test_items_in_several_blocks(spark, monkeypatch):
+    items = [(i, say(30)) for i in range(50)] + [(7, say(30))]
+    docs = spark.createDataFrame([(i, f"{say(40)} {items[i][1]} {say(20)}") for i in range(51)] + [(99, say(80)), (100, None)], "doc_id long, text string")
+    its = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(D, "ITEMS", 16)
+    assert sorted((r.doc_id, r.item_id) for r in D.matches(docs, its).collect()) == sorted((i, items[i][0]) for i in range(51))
+    assert sorted(r.doc_id for r in D.drop_contaminated(docs, its).collect()) == [99, 100]
