@@ -34,8 +34,11 @@ def read_documents(spark: SparkSession, path: str, skip: tuple[str, ...] = ()) -
     return keep.select("doc_id", "doc_type", "searchable_text", merged.alias("payload"))
 
 
-def write_documents(docs: DataFrame, path: str) -> None:
+def write_documents(docs: DataFrame, path: str) -> dict[str, int]:
+    """JSON lines by type; returns how many documents of each type were written."""
     docs.write.mode("overwrite").partitionBy("doc_type").json(path)
+    written = docs.sparkSession.read.schema(docs.schema).json(path)
+    return {r.doc_type: r["count"] for r in written.groupBy("doc_type").count().collect()}
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:

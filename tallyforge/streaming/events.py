@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.operators.windows import latest
+
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -36,16 +38,31 @@ def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFr
     return stream.sparkSession.table(name)
 
 
-def upsert_stream(stream: DataFrame, path: str, keys: list[str], version: str, checkpoint: str):
-    """Keep the newest row per key under path: each batch is merged into a new version of the table
-    (path/v=<batch>), so a failed batch is simply run again."""
-    from tallyforge.operators.windows import latest
+def upserted(spark: SparkSession, path: str, keys: list[str], version: str) -> DataFrame:
+    """The table that upsert_stream keeps under path: the newest row of each key."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/v=*")
+    return latest(rows, keys, [F.desc(version), F.desc("v")]).drop("v")
+
+
+def upsert_stream(stream: DataFrame, path: str, keys: list[str], version: str, checkpoint: str, compact: int = 16):
+    """Keep the newest row per key under path. A batch writes its own newest rows (path/v=<batch>);
+    every ``compact`` batches all that is there becomes one table again, and what the compaction
+    before that has taken in is deleted, so work and space follow the batches, not their square. A
+    failed batch is simply run again."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if number:
-            rows = batch.unionByName(spark.read.parquet(f"{path}/v={number - 1}"))
-        latest(rows, keys, [F.desc(version)]).write.mode("overwrite").parquet(f"{path}/v={number}")
+        spark, rows = batch.sparkSession, batch
+        whole = number > 0 and number % compact == 0
+        if whole:
+            before = spark.read.option("basePath", path).parquet(*[f"{path}/v={n}" for n in range(max(0, number - compact), number)])
+            rows = batch.withColumn("v", F.lit(number)).unionByName(before)
+        else:
+            rows = batch.withColumn("v", F.lit(number))
+        latest(rows, keys, [F.desc(version), F.desc("v")]).drop("v").write.mode("overwrite").parquet(f"{path}/v={number}")
+        if whole:
+            at = spark._jvm.org.apache.hadoop.fs.Path
+            for n in range(number - 2 * compact, number - compact):
+                if n >= 0:
+                    at(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(at(f"{path}/v={n}"), True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.sources import files
@@ -51,16 +52,32 @@ def test_streamed_windows_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, S.windowed(spark.read.parquet(src)).collect()))
 
 
-def test_streamed_upsert_equals_latest(spark, tmp_path):
-    src = _stream_folder(spark, tmp_path)
-    q = S.upsert_stream(S.read_events(spark, src), f"{tmp_path}/t", ["user_id"], "event_id", f"{tmp_path}/c2")
+@pytest.mark.parametrize("compact", [2, 16])
+def test_streamed_upsert_equals_latest(spark, tmp_path, compact):
+    spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).repartition(7).write.parquet(f"{tmp_path}/in")
+    src = f"{tmp_path}/in"
+    q = S.upsert_stream(S.read_events(spark, src), f"{tmp_path}/t", ["user_id"], "event_id", f"{tmp_path}/c2", compact)
     q.awaitTermination()
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "t").glob("v=*"))
-    got = {r.user_id: r.event_id for r in spark.read.parquet(f"{tmp_path}/t/v={last}").collect()}
+    assert q.exception() is None
+    left = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "t").glob("v=*"))
+    assert left == (list(range(7)) if compact == 16 else [4, 5, 6])
+    got = {r.user_id: r.event_id for r in S.upserted(spark, f"{tmp_path}/t", ["user_id"], "event_id").collect()}
     expected = {r.user_id: r.m for r in spark.read.parquet(src).groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
     assert got == expected
 
 
+def test_markdown_folder_and_documents(spark, tmp_path):
+    (tmp_path / "md").mkdir()
+    (tmp_path / "md" / "a.md").write_text("# A\n\ntext")
+    (tmp_path / "md" / "b.md").write_text("")
+    assert sorted(map(tuple, files.read_markdown(spark, f"{tmp_path}/md").collect()))[0] == ("a.md", "# A\n\ntext")
+    docs = spark.createDataFrame([("1", "faq", "x"), ("2", "kpi", "y"), ("3", "faq", None)], "doc_id string, doc_type string, searchable_text string")
+    counts = files.write_documents(docs, f"{tmp_path}/docs")
+    assert counts == {"faq": 2, "kpi": 1}
+    back = spark.read.json(f"{tmp_path}/docs")
+    assert sorted((r.doc_id, r.doc_type) for r in back.collect()) == [("1", "faq"), ("2", "kpi"), ("3", "faq")]
+
+
 def test_markdown_report(spark):
     df = spark.createDataFrame([("a|b", 1), (None, 2)], "k string, n int").orderBy("n")
     assert files.markdown_table(df) == "| k | n |\n|---|---|\n| a\\|b | 1 |\n|  | 2 |\n"
