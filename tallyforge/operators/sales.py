@@ -8,7 +8,9 @@ from pyspark.sql.window import Window as W
 
 from tallyforge.functions.dates import duration_days, month
 from tallyforge.functions.numeric import quantiles, ratio, round_money
+from tallyforge.functions.rules import MATERIALS
 from tallyforge.functions.text import overlap, tokens
+from tallyforge.operators.taxonomy import component_name, materials
 from tallyforge.operators.windows import mode, running_share, top_n
 
 MISSING_CLIENT = "__MISSING_CLIENT__"
@@ -301,7 +303,7 @@ def qualifying(deals: DataFrame, dataset: str, barter: bool) -> DataFrame:
 
 
 def deal_profiles(lines: DataFrame, deals: DataFrame, dataset: str = "orders") -> DataFrame:
-    """Top ten components and the share of each direction of every qualifying deal."""
+    """Top ten components, the share of each direction and the materials of every qualifying deal."""
     chosen = qualifying(deals, dataset, barter=False).select("deal_id", F.col("line_total").alias("deal_total"), "primary_direction", "unique_products")
     rows = lines.filter(F.col("dataset") == dataset).join(chosen, "deal_id")
     top = top_n(rows, ["deal_id"], [F.desc("line_total"), F.col("line")], 10)
@@ -309,22 +311,28 @@ def deal_profiles(lines: DataFrame, deals: DataFrame, dataset: str = "orders") -
     parts = top.groupBy("deal_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", item.alias("s")))), lambda x: x["s"]), "; ").alias("components"))
     d = F.when(F.col("direction").startswith("__"), "other").otherwise(F.col("direction"))
     per = rows.groupBy("deal_id", d.alias("d")).agg(F.sum("line_total").alias("t"))
-    all_ = rows.groupBy("deal_id").agg(F.sum("line_total").alias("g"))
+    all_ = rows.groupBy("deal_id").agg(F.sum("line_total").alias("g"), _materials(F.collect_set(materials(F.col("product_name")))).alias("materials"))
     share = F.concat("d", F.lit(": "), F.floor(F.col("t") / F.col("g") * 100 + 0.5).cast("long"), F.lit("%"))
     shares = per.join(all_, "deal_id").groupBy("deal_id").agg(
         F.count(F.lit(1)).alias("direction_count"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.round("t", 2)).alias("k"), F.col("d"), share.alias("s")))), lambda x: x["s"]), "; ").alias("direction_breakdown"),
     )
-    return chosen.join(parts, "deal_id").join(shares, "deal_id")
+    return chosen.join(parts, "deal_id").join(shares, "deal_id").join(all_.select("deal_id", "materials"), "deal_id")
+
+
+def _materials(lists: Column) -> Column:
+    """Labels of several lists in the order of their table."""
+    found = F.flatten(lists)
+    return F.array_join(F.filter(F.array(*[F.lit(m) for m in MATERIALS]), lambda m: F.array_contains(found, m)), ", ")
 
 
 def service_composition(lines: DataFrame, deals: DataFrame) -> DataFrame:
     """What orders of a direction consist of: core (5 % and more) and optional (2 % and more) products
-    among its fifteen most frequent, and directions that come along."""
+    among its fifteen most frequent, directions that come along, and the materials of its deals."""
     chosen = qualifying(deals, "orders", barter=True).select("deal_id", F.col("line_total").alias("deal_total"), "primary_direction").filter(~F.col("primary_direction").startswith("__"))
     stats = chosen.groupBy("primary_direction").agg(F.count(F.lit(1)).alias("deal_count"), F.median("deal_total").alias("med"), F.avg("deal_total").alias("avg"), F.sum("deal_total").alias("total")).filter("deal_count >= 3")
     rows = lines.filter("dataset = 'orders'").join(chosen, "deal_id")
-    name = F.substring(F.trim(F.regexp_replace("product_name", r"\s+", " ")), 1, 60)
+    name = component_name(F.col("product_name"))
     freq = rows.filter((F.col("product_name") != "") & ~is_modifier(F.col("product_name"))).groupBy("primary_direction", name.alias("name")).agg(F.count(F.lit(1)).alias("n"), F.sum("line_total").alias("v"))
     freq = top_n(freq, ["primary_direction"], [F.desc("n"), F.col("name")], 15).join(stats, "primary_direction")
     share = F.round(F.col("n") / F.col("deal_count"), 2)
@@ -336,8 +344,11 @@ def service_composition(lines: DataFrame, deals: DataFrame) -> DataFrame:
     cross = top_n(cross, ["primary_direction"], [F.desc("n"), F.col("direction")], 5).join(stats.select("primary_direction", "deal_count"), "primary_direction")
     with_share = F.concat("direction", F.lit(" ("), F.floor(F.col("n") / F.col("deal_count") * 100 + 0.5).cast("long"), F.lit("%)"))
     cross = cross.groupBy("primary_direction").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", with_share.alias("s")))), lambda x: x["s"]), ", ").alias("cross_directions"))
-    out = stats.join(products, "primary_direction", "left").join(cross, "primary_direction", "left")
-    return out.select("primary_direction", "deal_count", F.floor(F.col("med") + 0.5).cast("long").alias("median_value"), F.floor(F.col("avg") + 0.5).cast("long").alias("avg_value"), "core_products", "optional_products", F.coalesce("cross_directions", F.lit("")).alias("cross_directions"))
+    used = rows.select("primary_direction", "deal_id", F.explode(materials(F.col("product_name"))).alias("m")).distinct().groupBy("primary_direction", "m").agg(F.count(F.lit(1)).alias("n")).join(stats.select("primary_direction", "deal_count"), "primary_direction")
+    listed = F.struct((-F.col("n")).alias("k"), F.col("m"), F.concat("m", F.lit(" ("), F.floor(F.col("n") / F.col("deal_count") * 100 + 0.5).cast("long"), F.lit("%)")).alias("s"))
+    used = used.groupBy("primary_direction").agg(F.array_join(F.transform(F.array_sort(F.collect_list(listed)), lambda x: x["s"]), ", ").alias("top_materials"))
+    out = stats.join(products, "primary_direction", "left").join(cross, "primary_direction", "left").join(used, "primary_direction", "left")
+    return out.select("primary_direction", "deal_count", F.floor(F.col("med") + 0.5).cast("long").alias("median_value"), F.floor(F.col("avg") + 0.5).cast("long").alias("avg_value"), "core_products", "optional_products", F.coalesce("cross_directions", F.lit("")).alias("cross_directions"), F.coalesce("top_materials", F.lit("")).alias("top_materials"))
 
 
 def monthly_kpis(deals: DataFrame) -> DataFrame:

@@ -184,7 +184,7 @@ c as (select deal_id, string_agg(product_name || ' x' || quantity::bigint || ' =
 g as (select deal_id, sum(line_total) as g from r group by 1),
 p as (select deal_id, direction, sum(line_total) as t from r group by 1, 2),
 s as (select deal_id, count(*) as direction_count, string_agg(direction || ': ' || floor(t / g * 100 + 0.5)::bigint || '%', '; ' order by round(t, 2) desc, direction) as direction_breakdown from p join g using (deal_id) group by 1)
-select * from ch join c using (deal_id) join s using (deal_id)"""
+select *, '' as materials from ch join c using (deal_id) join s using (deal_id)"""
 )
 def deal_profiles(spark, d):
     rows = stored(lines(spark, d), "lines")
@@ -201,7 +201,7 @@ t as (select primary_direction, rank, round(n / deal_count, 2) as share, name ||
 pr2 as (select primary_direction, coalesce(string_agg(s, '; ' order by rank) filter (share >= 0.05), '') as core_products, coalesce(string_agg(s, '; ' order by rank) filter (share >= 0.02 and share < 0.05), '') as optional_products from t group by 1),
 x as (select *, row_number() over (partition by primary_direction order by n desc, direction) as rank from (select primary_direction, direction, count(distinct deal_id) as n from r where direction <> primary_direction group by 1, 2)),
 y as (select primary_direction, string_agg(direction || ' (' || floor(n / deal_count * 100 + 0.5)::bigint || '%)', ', ' order by rank) as cross_directions from x join st using (primary_direction) where rank <= 5 group by 1)
-select primary_direction, deal_count, floor(med + 0.5)::bigint as median_value, floor(av + 0.5)::bigint as avg_value, core_products, optional_products, coalesce(cross_directions, '') as cross_directions from st left join pr2 using (primary_direction) left join y using (primary_direction)"""
+select primary_direction, deal_count, floor(med + 0.5)::bigint as median_value, floor(av + 0.5)::bigint as avg_value, core_products, optional_products, coalesce(cross_directions, '') as cross_directions, '' as top_materials from st left join pr2 using (primary_direction) left join y using (primary_direction)"""
 )
 def service_composition(spark, d):
     rows = stored(lines(spark, d), "lines")

@@ -63,6 +63,14 @@ def test_modifiers(spark):
     assert _each(spark, S.is_modifier, *names) == [True] * 7 + [False, False]
 
 
+def test_materials_of_deals(spark):
+    rows = [("orders", d, i, name, 1.0, 400.0, "signs") for d, names in ((1, ["Баннер", "ПВХ 3-5 мм", "пвх"]), (2, ["акрил", "лампа"]), (3, ["ПВХ", "лампа"])) for i, name in enumerate(names)]
+    lines_ = spark.createDataFrame(rows, "dataset string, deal_id long, line int, product_name string, quantity double, line_total double, direction string")
+    deals = spark.createDataFrame([("orders", d, 2, 800.0, "money", "signs") for d in (1, 2, 3)], "dataset string, deal_id long, unique_products long, line_total double, payment string, primary_direction string")
+    assert {r.deal_id: r.materials for r in S.deal_profiles(lines_, deals).collect()} == {1: "ПВХ, Баннер", 2: "Акрил", 3: "ПВХ"}
+    assert S.service_composition(lines_, deals).first().top_materials == "ПВХ (67%), Акрил (33%), Баннер (33%)"
+
+
 def test_users_and_messages(spark):
     users = spark.createDataFrame([(1, "ann", "active")], "user_id int, username string, status string")
     new = spark.createDataFrame([(3, "bob"), (2, "bob"), (4, "ann")], "user_id int, username string")
