@@ -84,8 +84,9 @@ def dialog_state(turns: DataFrame, products: dict[str, str], negation: str) -> D
     refused = F.filter(F.array(*[F.when(low.rlike(f"(?:{negation}).{{0,30}}(?:{p})"), F.lit(k)) for k, p in products.items()]), lambda x: x.isNotNull())
     size = F.regexp_extract(low, r"([0-9]+)\s*(?:cm|mm|m)(?![a-z])", 1)
     t = turns.withColumn("_n", named).withColumn("_r", refused).withColumn("_s", F.when(size != "", size))
-    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c).over(w))))
-    out = t.withColumn("mentioned", flat("_n")).withColumn("rejected", flat("_r"))
+    # a running maximum for each product: what is kept of earlier turns doesn't grow with them
+    so_far = lambda c: F.filter(F.array(*[F.when(F.max(F.array_contains(c, k)).over(w), F.lit(k)) for k in sorted(products)]), lambda x: x.isNotNull())
+    out = t.withColumn("mentioned", so_far("_n")).withColumn("rejected", so_far("_r"))
     last = F.last(F.when(F.size(F.array_except("_n", "_r")) > 0, F.element_at(F.array_except("_n", "_r"), -1)), ignorenulls=True).over(w)
     return out.withColumn("confirmed", last).withColumn("size", F.last("_s", ignorenulls=True).over(w)).filter("role = 'user'").drop("_n", "_r", "_s")
 
