@@ -16,8 +16,10 @@ belongs to the strings of one anchor. Only anchors that occur twice or more are
 5. the removed ranges go back to their texts.
 
 An anchor with very many occurrences (a common line) is split: its strings are dealt by the 81 bytes
-that neighbouring ones share. What is still large after that is compared string by string through a
-hash aggregation, which has no groups at all.
+that neighbouring ones share. Where over ``LARGE`` different contexts have even those in common, dealing
+goes on to the strings themselves: each is dealt by a 128-bit hash of its 100 bytes, and an aggregation
+finds its first place; no suffix array is built for those. Equal contexts are found by the hash of their
+key and one of their bytes, 128 bits together.
 """
 
 from __future__ import annotations
@@ -29,9 +31,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from tallyforge.llm.base import Shared, arrow_batches, mix64
+from tallyforge.llm.base import Shared, arrow_batches, look_up, mix64
 
 SPAN = 100
 PIECE = 20
@@ -41,6 +42,7 @@ STEP = 20
 LARGE = 20_000  # contexts beyond which strings are compared one by one
 CHUNK = 1 << 20  # bytes whose suffix array is built at once; the word table then stays in cache
 BROADCAST_IDS = 1_000_000
+REPEATED = 100  # rows of one doc_id beyond which their texts tell them apart
 LAST = (1 << 63) - 1
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -107,7 +109,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for a, begins, ends, index, _ in _joined(batch.column(2).to_pylist()):
             g, _, _, _, text = anchors(a, begins, ends)
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(ids[index[text]], pa.int64())], names=["g", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(ids[index[text]], pa.int64())], names=["g", "k"])
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,13 +358,14 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def removed_ranges(texts: DataFrame, shared: Shared) -> tuple[DataFrame, DataFrame]:
-    """(texts with repeated anchors: id, h, text), (id, h, b, e: byte ranges to remove).
-    texts: id, h, text, each text once."""
-    rows = texts.mapInArrow(_anchor_rows, "g bigint, id bigint")
+    """(texts with something to remove: id, h, text), (id, h, b, e: byte ranges to remove).
+    texts: id, h, k, text, each text once. k: a number that few texts share; a text's repeated
+    anchors are listed by it."""
+    rows = texts.select("k", "h", "text").mapInArrow(_anchor_rows, "g bigint, k bigint")
     often = shared.save(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "often")
-    lists = rows.join(often, "g").groupBy("id").agg(F.collect_set("g").alias("gs"), F.collect_set(F.when(F.col("n") > HOT, F.col("g"))).alias("hot"))
+    lists = rows.join(often, "g").groupBy("k").agg(F.collect_set("g").alias("gs"), F.collect_set(F.when(F.col("n") > HOT, F.col("g"))).alias("hot"))
     lists = shared.save(lists, "lists")
-    hit = texts.join(_few(shared.save(lists.select("id"), "hit_ids")), "id", "left_semi").join(lists, "id")
+    hit = texts.join(_few(shared.save(lists.select("k"), "hit_ids")), "k", "left_semi").join(lists, "k")
     hit = shared.save(hit.select("id", "h", "text", "gs", "hot"), "hit")
     shared.drop("lists")
     shared.drop("often")
@@ -384,33 +387,41 @@ def removed_ranges(texts: DataFrame, shared: Shared) -> tuple[DataFrame, DataFra
         least = strings.groupBy("s1", "s2").agg(F.min(F.struct("id", "h", "lo")).alias("f"), F.count(F.lit(1)).alias("c")).filter("c > 1")
         again = strings.join(least, ["s1", "s2"]).filter(F.struct("id", "h", "lo") != F.col("f"))
         ranges = ranges.unionByName(again.select("id", "h", F.col("lo").alias("b"), (F.col("lo") + SPAN).alias("e")))
-    return hit.select("id", "h", "text"), ranges
+    ranges = shared.save(ranges, "ranges")
+    for name in ("contexts", "first", "large"):
+        shared.drop(name)
+    cut = shared.save(ranges.select("id", "h").distinct(), "cut")
+    return hit.select("id", "h", "text").join(_few(cut), ["id", "h"], "left_semi"), ranges
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row for each row of docs (doc_id, text).
 
-    A null text is empty. Rows without doc_id come after all others. Rows that repeat a doc_id are
-    ordered by a hash of their texts; of equal ones, one stays. Texts under 100 bytes are never cut.
+    A null text is empty. Rows without doc_id come after all others, in the order of a hash of their
+    texts, as do rows that repeat a doc_id; of equal ones, one stays. Texts under 100 bytes are never cut.
     """
     shared = Shared(docs.sparkSession, "repeats")
-    arrow_batches(docs.sparkSession, rows=2048)
+    arrow_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumn("id", F.coalesce("doc_id", F.lit(LAST))).withColumn("h", F.xxhash64("text"))
-    slim = shared.save(rows.select("doc_id", "id", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "slim")
+    slim = rows.select("doc_id", "id", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"), F.monotonically_increasing_id().alias("row"))
+    slim = shared.save(slim, "slim")
     long = slim.filter(F.col("n_bytes") >= SPAN)
-    of_text = long.groupBy("sha").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies")
-    copy = long.join(of_text, "sha")
-    copy = copy.withColumn("same", F.row_number().over(W.partitionBy("id", "sha").orderBy("h")))
-    copy = shared.save(copy.filter((F.col("id") > F.col("first_id")) | (F.col("same") > 1)).select("id", "h", (F.col("id") > F.col("first_id")).alias("later")), "copies")
-    texts = rows.filter(F.octet_length("text") >= SPAN).select("id", "h", "text").join(_few(shared.save(copy.filter("later").select("id", "h").distinct(), "gone")), ["id", "h"], "left_anti")
+    first = long.groupBy("sha").agg(F.min(F.struct("id", "row")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = _few(shared.save(first.select("sha", F.col("f.id").alias("first_id"), F.col("f.row").alias("first_row")), "copied"))
+    slim = slim.join(first, "sha", "left")
+    gone = slim.filter(F.col("id") > F.col("first_id")).select("id", "h").distinct()
+    # rows without an id, and of an id that many rows repeat, are told apart by their texts
+    by_text = F.lit(LAST) - F.col("h").bitwiseAND((1 << 40) - 1)
+    repeated = shared.save(rows.filter("doc_id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > REPEATED).select("id", F.lit(True).alias("many")), "repeated")
+    named = look_up(rows, repeated, ["id"]) if repeated.limit(1).count() else rows.withColumn("many", F.lit(None).cast("boolean"))
+    texts = named.filter(F.octet_length("text") >= SPAN).select("id", "h", F.when(F.col("doc_id").isNull() | F.col("many").isNotNull(), by_text).otherwise(F.col("id")).alias("k"), "text")
+    texts = texts.join(_few(shared.save(gone, "gone")), ["id", "h"], "left_anti")
     hit, ranges = removed_ranges(texts, shared)
     parts = ranges.groupBy("id", "h").agg(F.collect_list(F.struct("b", "e")).alias("parts"))
     cut = hit.dropDuplicates(["id", "h"]).join(parts, ["id", "h"]).select("id", "h", "text", "parts").mapInArrow(_removals, "id bigint, h bigint, removed bigint, spans bigint, digest string")
-    per = copy.groupBy("id", "h").agg(F.count(F.lit(1)).alias("gone"))
-    numbered = slim.withColumn("same", F.row_number().over(W.partitionBy("id", "h", "sha").orderBy("n_bytes")))
-    out = numbered.join(cut, ["id", "h"], "left").join(per, ["id", "h"], "left")
-    whole = F.col("same") <= F.coalesce("gone", F.lit(0))
+    out = slim.join(cut, ["id", "h"], "left")
+    whole = F.coalesce(F.col("row") != F.col("first_row"), F.lit(False))
     return out.select(
         "doc_id",
         "n_bytes",
