@@ -1,9 +1,14 @@
 """Operators on small literal tables: ties, missing values, properties."""
 
+import math
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from tallyforge.operators import dialogs as D
 from tallyforge.operators import documents as B
+from tallyforge.operators import matching as M
 from tallyforge.operators import retrieval as R
 from tallyforge.operators import sales as S
 from tallyforge.operators import texts as P
@@ -114,3 +119,36 @@ def test_profile_documents(spark):
     df = spark.createDataFrame([(7, "d", "d: 100%", "x x1 = 2")], "deal_id long, primary_direction string, direction_breakdown string, components string")
     r = B.profile_documents(df).first()
     assert (r.doc_id, r.searchable_text) == ("deal_profile:7", "direction: d\nshares: d: 100%\nparts: x x1 = 2")
+
+
+def test_sections_fall_back_to_the_file(spark):
+    rows = [(1, 0, "Price list", "p0"), (1, 1, "Terms", "t1"), (1, 2, "price again", "p2"), (2, 0, "Other", "o")]
+    out = M.section_fallback(spark.createDataFrame(rows, "doc_id int, chunk int, title string, body string"), "doc_id", {"price": "price", "terms": "terms"})
+    assert sorted(map(tuple, out.collect())) == [(1, 0, "Price list", "p0", "t1"), (1, 1, "Terms", "p0", "t1"), (1, 2, "price again", "p2", "t1"), (2, 0, "Other", None, None)]
+
+
+def test_sparse_search_equals_a_plain_sum(spark, monkeypatch):
+    monkeypatch.setattr(R, "QUERY_BLOCK", 4)
+    rng = random.Random(2)
+    text = lambda n: " ".join(rng.choice("aa bb cc dd ee ff gg hh".split()) for _ in range(n))
+    docs, queries = [(i, text(rng.randint(0, 30))) for i in range(90)] + [(90, None)], [(i, text(rng.randint(0, 5))) for i in range(9)] + [(9, None), (10, "zz")]
+    words = {i: Counter((t or "").split()) for i, t in docs}
+    idf = lambda w: math.log(1 + (len(docs) - (n := sum(w in c for c in words.values())) + 0.5) / (n + 0.5))
+    want = []
+    for q, t in queries:
+        asked = Counter((t or "").split())
+        scores = sorted((-round(sum(f * c[w] * idf(w) for w, f in asked.items()), 6), d) for d, c in words.items() if asked.keys() & c.keys())
+        want += [(q, d, -s, k) for k, (s, d) in enumerate(scores[:7], 1)]
+    got = R.sparse_top_k(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(queries, "query_id long, text string"), 7).collect()
+    assert sorted((r.query_id, r.doc_id, round(r.score, 5), r["rank"]) for r in got) == sorted((q, d, round(s, 5), k) for q, d, s, k in want)
+
+
+def test_weights_count_before_the_best_are_taken(spark):
+    rng = random.Random(4)
+    docs = [(i, [rng.gauss(0, 1) for _ in range(6)], "rare" if i % 50 == 0 else "hot") for i in range(400)]
+    queries = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(5)]
+    cos = lambda x, y: round(sum(a * b for a, b in zip(x, y, strict=True)) / math.sqrt(sum(a * a for a in x) * sum(b * b for b in y)), 6)
+    weight = {"rare": (1 + 0.15 * math.log10(8)) * 0.85, "hot": 1 + 0.15 * math.log10(392)}
+    want = {q: [d for _, d in sorted((-round(cos(v, x) * weight[k], 6), d) for d, x, k in docs)[:4]] for q, v in queries}
+    out = R.volume_biased(spark.createDataFrame(docs, "doc_id long, embedding array<double>, label string"), spark.createDataFrame(queries, "query_id long, embedding array<double>"), "label", 4).orderBy("query_id", "rank").collect()
+    assert {q: [r.doc_id for r in out if r.query_id == q] for q in want} == want
