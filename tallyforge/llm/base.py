@@ -29,18 +29,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def arrow_batches(spark: SparkSession, rows: int = 4096, mb: int = 8) -> None:
-    """Bound what one Arrow batch holds, so that a few very long texts never fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+def arrow_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds, so that a few very long texts never fill a worker. The bound is
+    the same for all operators: results are lazy, and what counts is the setting when a query runs."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a new temporary one only where that is unset."""
+    """The folder of spark.checkpoint.dir; where that is unset, a new temporary one in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         ctx = spark.sparkContext
         if ctx._jsc.sc().getCheckpointDir().isEmpty():
+            if not ctx.master.startswith("local[") and ctx.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             ctx.setCheckpointDir(tempfile.mkdtemp(prefix="tallyforge-"))
         folder = ctx._jsc.sc().getCheckpointDir().get()
     return folder.rstrip("/")
@@ -58,9 +61,12 @@ class Shared:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        self.drop_at_end(name)
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def drop_at_end(self, name: str) -> None:
         fs, at = self._file_system(name)
         fs.deleteOnExit(at)
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def _file_system(self, name: str):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))

@@ -2,10 +2,11 @@
 
 A file is one partition of the corpus in ascending document order, as rows of blocks. A block holds
 about ``BLOCK_IDS`` ids of whole documents: the concatenated ids (little-endian, two bytes wide
-where the vocabulary allows it), and the ends of its documents as an Elias-Fano sequence: the low
-bits packed, the high parts as a unary bit string, and a select sample for every 64th end. That is
-at most 2 + log2(ids / documents) bits a document plus half a bit for the samples; no 64-bit table
-of offsets exists. The rows are kept in Parquet so that Spark's commit protocol makes the files
+where the vocabulary allows it), and two Elias-Fano sequences, the ends of its documents and their
+doc_ids: the low bits packed, the high parts as a unary bit string, and a select sample for every
+64th number. That is at most 2 + log2(ids / documents) bits a document plus half a bit for the
+samples; no 64-bit table of offsets or names exists. A reader finds where documents begin and end,
+and who they are, by select. The rows are kept in Parquet so that Spark's commit protocol makes the files
 whole in any store, and because a lost task is simply run again.
 """
 
@@ -26,15 +27,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tallyforge.llm.base import Shared, arrow_batches
+from tallyforge.llm.base import Shared, arrow_batches, look_up
 
 BLOCK_IDS = 1 << 18
 SAMPLE = 64
-BLOCKS = "part int, block int, part_start long, n_ids long, width int, ids binary, low_bits int, low binary, high binary, samples binary, doc_ids array<bigint>"
+BLOCKS = "part int, block int, part_start long, n_ids long, width int, ids binary, n_docs int, ends struct<n:int,low_bits:int,low:binary,high:binary,samples:binary>, n_nameless int, first_name long, names struct<n:int,low_bits:int,low:binary,high:binary,samples:binary>"
+#: The place of the k-th one among the bits of each byte.
+_ONES = np.array([([b for b in range(8) if byte >> b & 1] + [8] * 8)[:8] for byte in range(256)], np.int64)
 
 
 class EliasFano:
-    """A monotone sequence of n numbers up to ``top``; ``select(i)`` and ``all()`` return them."""
+    """A monotone sequence of n numbers up to ``top``; ``select(i)`` returns the numbers at places i."""
 
     def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, samples: bytes):
         self.n, self.low_bits = n, low_bits
@@ -52,34 +55,31 @@ class EliasFano:
         pack = lambda b: np.packbits(b.ravel(), bitorder="little").tobytes()
         return EliasFano(n, low_bits, pack(bits), pack(high), ones[::SAMPLE].astype("<u4").tobytes())
 
-    def _low(self, i: np.ndarray) -> np.ndarray:
-        if not self.low_bits:
-            return np.zeros(len(i), np.int64)
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
-        return bits[i].astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
-
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        return ((ones - np.arange(self.n)) << self.low_bits) + self._low(np.arange(self.n))
-
-    def select(self, i: int) -> int:
-        """The i-th number: jump to the sample before it, count ones from there byte by byte."""
-        at, rank = int(self.samples[i // SAMPLE]), i - i % SAMPLE
-        byte, bit = divmod(at, 8)
-        word = self.high[byte] >> bit << bit
-        while rank + word.bit_count() <= i:
-            rank += word.bit_count()
-            byte += 1
-            word = self.high[byte]
-        while rank < i:
-            word &= word - 1
-            rank += 1
-        one = byte * 8 + (word & -word).bit_length() - 1
-        low = 0
+    def row(self) -> dict:
+        return {"n": self.n, "low_bits": self.low_bits, "low": self.low, "high": self.high, "samples": self.samples.tobytes()}
+
+    def select(self, i: np.ndarray) -> np.ndarray:
+        """Each starts at the sample before it and counts ones from there, byte by byte, all places at
+        a time; numbers of 2**63 and more come out as negative ones."""
+        i = np.asarray(i, np.int64)
+        if not len(i):
+            return i
+        high, low = np.frombuffer(self.high, np.uint8), np.frombuffer(self.low, np.uint8)
+        at = self.samples[i // SAMPLE].astype(np.int64)
+        byte, left = at >> 3, i % SAMPLE
+        word = high[byte] & (np.uint8(255) << (at & 7).astype(np.uint8))
+        live = np.arange(len(i))
+        while len(live):
+            ones = np.bitwise_count(word[live]).astype(np.int64)
+            live, ones = live[ones <= left[live]], ones[ones <= left[live]]
+            left[live] -= ones
+            byte[live] += 1
+            word[live] = high[byte[live]]
+        out = (byte * 8 + _ONES[word, left] - i) << self.low_bits
         for b in range(self.low_bits):
             p = i * self.low_bits + b
-            low |= (self.low[p >> 3] >> (p & 7) & 1) << b
-        return ((one - i) << self.low_bits) + low
+            out |= (low[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(np.int64) << b
+        return out
 
 
 #: Letters, digits and white space among the characters below U+0250 that ODD lets pass.
@@ -159,15 +159,20 @@ def _encode(path: str, end_id: int, block_ids: int):
         ids: list[np.ndarray] = []
         docs: list[int | None] = []
         held = 0
-        schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("part_start", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("samples", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
+        sequence = pa.struct([("n", pa.int32()), ("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("samples", pa.binary())])
+        schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("part_start", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("n_docs", pa.int32()), ("ends", sequence), ("n_nameless", pa.int32()), ("first_name", pa.int64()), ("names", sequence)])
 
         def flush():
             nonlocal block, done, ids, docs, held
-            ends = np.cumsum([len(x) for x in ids])
-            ef = EliasFano.encode(ends, held)
-            row = pa.RecordBatch.from_pylist([{"part": part, "block": block, "part_start": done, "n_ids": held, "width": width, "ids": np.concatenate(ids).astype(f"<u{width}").tobytes(), "low_bits": ef.low_bits, "low": ef.low, "high": ef.high, "samples": ef.samples.tobytes(), "doc_ids": docs}], schema)
+            ends = EliasFano.encode(np.cumsum([len(x) for x in ids]), held)
+            named = np.array([d for d in docs if d is not None], np.int64)
+            first = int(named[0]) if len(named) else 0
+            steps = named.view(np.uint64) - np.array(first).astype(np.int64).view(np.uint64)
+            names = EliasFano.encode(steps, int(steps[-1]) if len(steps) else 0)
+            data = np.concatenate(ids).astype(f"<u{width}").tobytes()
+            row = {"part": part, "block": block, "part_start": done, "n_ids": held, "width": width, "ids": data, "n_docs": len(docs), "ends": ends.row(), "n_nameless": len(docs) - len(named), "first_name": first, "names": names.row()}
             block, done, ids, docs, held = block + 1, done + held, [], [], 0
-            return row
+            return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -189,8 +194,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, bl
     """Encode docs (doc_id, text) and write the block files to ``path``.
 
     A null or empty text is the end id alone. Documents lie in ascending doc_id order, those
-    without an id first; rows that repeat an id lie side by side in the order of their texts. A
-    block always holds whole documents, so a very long text makes a longer block. Only id and text
+    without an id first; rows that repeat an id lie side by side in the order of a hash of their
+    texts. A block always holds whole documents, so a very long text makes a longer block. Only id and text
     are shuffled, once, by range; sorting spills.
     """
     arrow_batches(docs.sparkSession)
@@ -204,10 +209,12 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in batch.to_pylist():
             ids = np.frombuffer(b["ids"], f"<u{b['width']}").astype("<u4")
-            ends = EliasFano(len(b["doc_ids"]), b["low_bits"], b["low"], b["high"], b["samples"]).all()
+            n, nameless = b["n_docs"], b["n_nameless"]
+            ends = EliasFano(**b["ends"]).select(np.arange(n))
+            names = EliasFano(**b["names"]).select(np.arange(n - nameless)) + b["first_name"]
             starts = np.concatenate(([0], ends[:-1]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(b["doc_ids"], pa.int64()), pa.array(starts + b["part_start"] + b["offset"], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array([zlib.crc32(ids[s:e]) for s, e in zip(starts, ends, strict=True)], pa.int64())],
+                [pa.array([None] * nameless + names.tolist(), pa.int64()), pa.array(starts + b["part_start"] + b["offset"], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array([zlib.crc32(ids[s:e]) for s, e in zip(starts, ends, strict=True)], pa.int64())],
                 names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
@@ -218,17 +225,17 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     The only global state is one row per file (its ids), whose number is that of the write's tasks;
     blocks are decoded where they are read and never shuffled.
     """
-    arrow_batches(spark, rows=64)
+    arrow_batches(spark)
     blocks = spark.read.schema(BLOCKS).parquet(path)
     files = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     offset = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
-    files = files.select("part", offset.alias("offset"))
-    out = blocks.drop("block", "n_ids", "samples").withColumn("samples", F.lit(b"")).join(F.broadcast(files), "part")
+    out = look_up(blocks.select("part", "part_start", "width", "ids", "n_docs", "ends", "n_nameless", "first_name", "names"), files.select("part", offset.alias("offset")), ["part"])
     return out.mapInArrow(_decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write docs to the shared folder and read them back."""
-    to = Shared(docs.sparkSession, "tokens").path("ids")
-    write_tokens(docs, to, tokenizer, end_id)
-    return read_tokens(docs.sparkSession, to)
+    files = Shared(docs.sparkSession, "tokens")
+    write_tokens(docs, files.path("ids"), tokenizer, end_id)
+    files.drop_at_end("ids")
+    return read_tokens(docs.sparkSession, files.path("ids"))

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,8 +18,9 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 def test_elias_fano(steps):
     v = np.cumsum(steps)
     ef = EliasFano.encode(v, int(v[-1]))
-    assert ef.all().tolist() == v.tolist()
-    assert [ef.select(i) for i in range(len(v))] == v.tolist()
+    assert ef.select(np.arange(len(v))).tolist() == v.tolist()
+    some = np.random.default_rng(len(v)).integers(0, len(v), 20)
+    assert ef.select(some).tolist() == v[some].tolist()
     size = len(ef.low) + len(ef.high) + ef.samples.nbytes
     assert size * 8 <= len(v) * (2.6 + np.log2(max(2, v[-1] / len(v)))) + 64
 
@@ -56,6 +58,20 @@ def test_repeated_and_missing_ids(spark):
     assert min(rows, key=lambda r: r.start).doc_id is None
 
 
+def test_names_far_apart(spark):
+    ids = [-(2**63), -5, 0, 7, 7, 2**40, 2**63 - 1]
+    df = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)] + [(None, "x"), (None, "y")], "doc_id long, text string").coalesce(1)
+    assert [r.doc_id for r in round_trip(df, PATH).orderBy("start").collect()] == [None, None, *ids]
+
+
+def test_encoder_on_all_documents_and_letters():
+    """Whole texts of documents, and each character from no-break space to the end of Latin Extended-B."""
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()
+    texts = [t or "" for t in texts] + [f"a{chr(c)}b {chr(c)} 1{chr(c)}2 .{chr(c)}. {chr(c) * 2}" for c in range(0xA0, 0x250)]
+    enc = _encoder()
+    assert [x.tolist() for x in enc(texts)] == [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("n", [0])
 def test_empty(spark, n):
     assert round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
