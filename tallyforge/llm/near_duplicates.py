@@ -29,7 +29,7 @@ from tallyforge.llm.base import Shared, WordHashes, arrow_batches, mix64, replac
 from tallyforge.llm.components import components
 
 SMALL = 8
-BLOCK = 512
+BLOCK, WEIGHT = 512, 1 << 20
 BROADCAST_IDS = 1_000_000
 SEED = 20_240_229
 
@@ -92,30 +92,73 @@ def _sets(k: int):
     return task
 
 
-def _links(percent: int, least: int, rows: int):
-    """Compares two blocks of one bucket; a pair that shares several buckets is looked at in the
-    one of its first common band."""
+def _columns(t: pa.Table, *names: str) -> list[np.ndarray]:
+    return [np.array(t.column(c).to_pylist()) for c in names]
+
+
+def _survivors(least: int, rows: int):
+    """Compares the signatures of two blocks of one bucket; returns the rows of either side that have a
+    partner near enough. A pair that shares several buckets is looked at in the one of its first common band."""
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
-        u, v = [], []
+        one, two = np.zeros(left.num_rows, bool), np.zeros(right.num_rows, bool)
         if left.num_rows and right.num_rows:
-            (x, cx, sx, tx), (y, cy, sy, ty) = ([t.column(c).to_pylist() if c == "set" else np.array(t.column(c).to_pylist()) for c in ("rep", "component", "sig", "set")] for t in (left, right))
+            (x, cx, sx), (y, cy, sy) = (_columns(t, "rep", "component", "sig") for t in (left, right))
             band, main = left.column("band")[0].as_py(), left.column("main")[0].as_py()
             for i in range(len(x)):
-                same = sy == sx[i]
-                ok = (same.sum(axis=1) >= least) & (cy != cx[i]) & ((cy == main) | (x[i] < y))
-                ok &= same.reshape(len(y), -1, rows).all(axis=2).argmax(axis=1) == band
-                mine = set(tx[i]) if ok.any() else None
-                for j in np.flatnonzero(ok).tolist():
-                    common = len(mine.intersection(ty[j]))
-                    if 100 * common >= percent * (len(mine) + len(ty[j]) - common):
-                        u.append(int(x[i]))
-                        v.append(int(y[j]))
+                ok = _near(sx[i], sy, least, rows, band) & (cy != cx[i]) & ((cy == main) | (x[i] < y))
+                one[i] = ok.any()
+                two |= ok
+        out = pa.concat_tables([left.filter(pa.array(one)), right.filter(pa.array(two))])
+        return out.append_column("side", pa.array([0] * int(one.sum()) + [1] * int(two.sum()), pa.int32()))
+
+    return task
+
+
+def _near(s: np.ndarray, others: np.ndarray, least: int, rows: int, band: int) -> np.ndarray:
+    same = others == s
+    return (same.sum(axis=1) >= least) & (same.reshape(len(others), -1, rows).all(axis=2).argmax(axis=1) == band)
+
+
+def _sets_of(t: pa.Table) -> list[np.ndarray]:
+    """The sorted sets of a table's rows, as views of its own memory."""
+    out = []
+    for chunk in t.column("set").chunks:
+        ends = np.cumsum(chunk.value_lengths().to_numpy())
+        out += np.split(chunk.flatten().to_numpy().view(np.uint64), ends[:-1])
+    return out
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    return int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+
+
+def _links(percent: int, least: int, rows: int):
+    """Compares the full sets of what _survivors left of two blocks."""
+
+    def task(t: pa.Table) -> pa.Table:
+        u, v = [], []
+        sets, side = _sets_of(t), t.column("side").to_numpy()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if len(left) and len(right):
+            rep, component, sig = _columns(t, "rep", "component", "sig")
+            band, main = t.column("band")[0].as_py(), t.column("main")[0].as_py()
+            for i in left.tolist():
+                ok = _near(sig[i], sig[right], least, rows, band) & (component[right] != component[i]) & ((component[right] == main) | (rep[i] < rep[right]))
+                for j in right[ok].tolist():
+                    common = _common(sets[i], sets[j])
+                    if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                        u.append(int(rep[i]))
+                        v.append(int(rep[j]))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return task
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{n} {t}" for n, t in df.dtypes)
+
+
 def _agree(x: Column, y: Column) -> Column:
     return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda same: same))
 
@@ -148,7 +191,8 @@ class _Search:
         """(key, rep, band, n) for buckets of n >= 2 classes."""
         keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[b * self.rows + r] for r in range(self.rows)]) for b in range(self.bands)])
         rows = classes.select("rep", F.posexplode(keys).alias("band", "key"))
-        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        # what is joined by bucket is a written table each time: Spark can then split a large bucket
+        counts = self.shared.save(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
         return self.shared.save(rows.join(counts, "key"), "buckets")
 
     def candidates(self, buckets: DataFrame) -> DataFrame:
@@ -157,7 +201,7 @@ class _Search:
         small = small.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
         full = buckets.groupBy("rep").agg(F.sum("n").alias("full"))
         large = buckets.filter(F.col("n") > SMALL)
-        pivots = large.join(full, "rep").groupBy("key").agg(F.max_by("rep", F.struct("full", -F.col("rep"))).alias("pivot"))
+        pivots = self.shared.save(large.join(full, "rep").groupBy("key").agg(F.max_by("rep", F.struct("full", -F.col("rep"))).alias("pivot")), "pivots")
         star = large.join(pivots, "key").filter("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
         return small.unionByName(star).distinct()
 
@@ -186,23 +230,27 @@ class _Search:
     def rest(self, buckets: DataFrame, classes: DataFrame, sets: DataFrame, comp: DataFrame) -> DataFrame:
         """Links that pivots left out. In each large bucket that still holds several components, the
         classes outside its largest one meet all classes of other components, in blocks of about
-        BLOCK rows a side. Signatures and then full sets are compared inside a task, so only links
-        come out, however many classes are nearly similar."""
+        BLOCK rows and WEIGHT shingles a side at most: their signatures first, then the full sets of those that have a partner
+        near enough. Only links leave the tasks, however many classes are nearly similar."""
         large = buckets.filter(F.col("n") > SMALL).join(comp.withColumnRenamed("node", "rep"), "rep", "left")
         large = large.withColumn("component", F.coalesce("component", "rep"))
         per = large.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
         main = per.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        rows = large.join(main, "key").join(classes.select("rep", "sig"), "rep").join(sets.dropDuplicates(["rep"]), "rep")
-        rows = self.shared.save(rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n", "parts"), "mixed")
+        weight = large.join(classes.select("rep", "n_shingles"), "rep").groupBy("key").agg(F.sum("n_shingles").alias("weight"))
+        rows = large.join(self.shared.save(main.join(weight, "key"), "main"), "key").join(classes.select("rep", "sig"), "rep")
+        blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("weight") / WEIGHT)).cast("int")
+        rows = self.shared.save(rows.withColumn("blocks", blocks).select("key", "rep", "band", "component", "main", "sig", "blocks"), "mixed")
         own, every = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        minor = rows.filter("component <> main").withColumn("i", own).withColumn("j", every)
-        other = rows.withColumn("j", own).withColumn("i", every)
+        minor = rows.filter("component <> main").withColumn("i", own).withColumn("j", every).drop("blocks")
+        other = rows.withColumn("j", own).withColumn("i", every).select(minor.columns)
         names = ["key", "i", "j"]
-        return minor.groupBy(*names).cogroup(other.groupBy(*names)).applyInArrow(_links(self.percent, self.least, self.rows), "u bigint, v bigint").distinct()
+        near = minor.groupBy(*names).cogroup(other.groupBy(*names)).applyInArrow(_survivors(self.least, self.rows), f"{_ddl(minor)}, side int")
+        near = self.shared.save(near, "survivors").join(sets.dropDuplicates(["rep"]), "rep")
+        return near.groupBy(*names).applyInArrow(_links(self.percent, self.least, self.rows), "u bigint, v bigint").distinct()
 
     def components(self) -> DataFrame:
         """(doc_id, n_shingles, component_id), a row for each row of docs."""
-        arrow_batches(self.docs.sparkSession, rows=2048)
+        arrow_batches(self.docs.sparkSession)
         sig = self.signatures()
         classes = self.classes(sig)
         buckets = self.buckets(classes)
@@ -213,7 +261,7 @@ class _Search:
         if more.limit(1).count():
             roots = comp.select(F.col("node").alias("u"), F.col("component").alias("v"))
             comp = self.shared.save(components(more.unionByName(roots), self.shared, "d"), "comp2")
-        for name in ("sets", "mixed", "buckets"):
+        for name in ("sets", "mixed", "survivors", "buckets"):
             self.shared.drop(name)
         labels = classes.drop("sig").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
         labels = labels.select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))

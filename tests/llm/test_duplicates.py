@@ -107,3 +107,42 @@ def test_repeats_without_or_with_equal_ids(spark):
     assert sorted(r.n_removed for r in out) == [0, 0, 200, 200, 200]
     assert next(r for r in out if r.doc_id == 4 and r.n_bytes == 5).kept_sha256 == hashlib.sha256(b"short").hexdigest()
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_rows_without_ids_and_of_one_id(spark):
+    """Rows without ids follow in the order of the hash of their texts, as do rows of one id."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh éü\n") for _ in range(n))
+    passages = [text(n) for n in (120, 180)]
+    rows = [(None if i % 2 else 9, text(rng.randint(20, 80)) + rng.choice(passages) + text(9)) for i in range(10_000)] + [(3, passages[0] + "!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = sorted((r.doc_id is None, r.doc_id or 0, r.h, r.text) for r in docs.selectExpr("doc_id", "xxhash64(text) as h", "text").collect())
+    expected = brute.remove_repeats([(i, t) for i, (*_, t) in enumerate(order)])
+    got = remove_repeats(docs).collect()
+    assert sorted((r.doc_id is None, *tuple(r)[1:]) for r in got) == sorted((order[i][0], *x) for i, x in expected.items())
+
+
+def test_repeats_in_a_text_beyond_a_part(spark):
+    rng = random.Random(6)
+    passage, part = "".join(rng.choice("abcdefgh") for _ in range(300)), 8 << 20
+    long = rng.randbytes(part).hex()
+    long = long[: part - 150] + passage + long[part + 150 : part + 400_000]
+    out = {r.doc_id: r for r in remove_repeats(spark.createDataFrame([(1, long), (2, f"<{passage}>")], "doc_id long, text string")).collect()}
+    assert (out[1].n_removed, out[2].n_removed, out[2].n_spans) == (0, 300, 1)
+    assert out[2].kept_sha256 == hashlib.sha256(b"<>").hexdigest()
+
+
+def test_similar_classes_in_one_bucket(spark, monkeypatch):
+    """1,200 unlinked classes that share their buckets: full sets go only to those with a near partner."""
+    monkeypatch.setattr(nd, "BLOCK", 128)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(1200):
+        t = list(base)
+        for k in rng.sample(range(60), 6):
+            t[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(t)))
+    rows += [(5000 + i, rows[i][1] + " tail") for i in range(0, 1200, 300)]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85, bands=20).collect()}
+    assert got == {d: c for d, (_, c) in _brute(rows, 85).items()}
