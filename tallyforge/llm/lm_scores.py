@@ -4,7 +4,8 @@ Words become ids: the most frequent words of the whole corpus have one each, all
 hashed ids. A window network, trained in numpy, predicts the id of every word from ``SIDE`` words on
 either side of it (the word itself is masked): a tanh layer over position-wise tables, then a softmax
 over classes of ids and one inside the class. Below a shared id the tree has one leaf for every word
-of the corpus that has this id, with its share of the id's words: P(word) = P(id | context) P(word | id).
+of the corpus that has this id, with its share of the id's words, and one that stands for all words
+that the corpus does not have, as if they had occurred once: P(word) = P(id | context) P(word | id).
 The score of a document is the sum of the conditional log-probabilities of its words.
 
 Everything follows the input: word counts, and with them the leaves, are a shuffle over all documents.
@@ -75,11 +76,15 @@ def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> np.ndarray:
     return np.stack([h[order], (order + 1).astype(np.uint64)]) if len(h) else np.zeros((2, 0), np.uint64)
 
 
-def leaves(counts: DataFrame, vocab: np.ndarray) -> DataFrame:
-    """(h, lp): for every word without an id of its own, its log-probability among those that share its id."""
+def leaves(counts: DataFrame, vocab: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """(h, lp): for every word without an id of its own, its log-probability among those that share its
+    id; and for each shared id that of a word that the corpus does not have."""
     rare = counts.filter(~F.col("h").isin(vocab[0].view(np.int64).tolist())).withColumn("b", F.col("h").bitwiseAND(SHARED_IDS - 1))
-    # one row per shared id: SHARED_IDS at most
-    return rare.join(F.broadcast(rare.groupBy("b").agg(F.sum("n").alias("all"))), "b").select("h", F.log(F.col("n") / F.col("all")).alias("lp"))
+    sizes = np.zeros(SHARED_IDS)
+    for r in rare.groupBy("b").agg(F.sum("n").alias("all")).collect():  # one row per shared id: SHARED_IDS at most
+        sizes[r.b] = r["all"]
+    total = F.element_at(F.array(*[F.lit(float(x)) for x in sizes]), (F.col("b") + 1).cast("int"))
+    return rare.select("h", F.log(F.col("n") / (total + 1)).alias("lp")), -np.log(sizes + 1)
 
 
 class Ids:
@@ -267,7 +272,7 @@ def train(docs: DataFrame, vocab: np.ndarray) -> WindowNetwork:
         some = dealt.withColumn("place", place).filter(F.pmod("place", F.lit(ROUNDS)) == turn)
         rows, step = shared.save(some.groupBy("place").applyInArrow(_fitted(start), "p binary, n bigint"), f"replicas{turn}_0"), 0
         while (n := rows.count()) > FAN:
-            arrow_batches(spark, rows=8)
+            arrow_batches(spark)
             step += 1
             rows = shared.save(rows.repartition(-(-n // FAN)).mapInArrow(_average, "p binary, n bigint"), f"replicas{turn}_{step}")
             shared.drop(f"replicas{turn}_{step - 1}")
@@ -279,19 +284,21 @@ def train(docs: DataFrame, vocab: np.ndarray) -> WindowNetwork:
     return net
 
 
-def lm_scores(docs: DataFrame) -> DataFrame:
+def lm_scores(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, log_likelihood, mean_log_probability for each row of docs (doc_id, text).
 
-    A text without words (null ones too) scores 0 with a null mean. Repeated rows score alike.
+    learn_from: the documents that the model is made of, docs where not given. A text without words
+    (null ones too) scores 0 with a null mean. Repeated rows score alike.
     """
+    corpus = docs if learn_from is None else learn_from
     spark = docs.sparkSession
     arrow_batches(spark)
     files = Shared(spark, "lm")
-    counts = files.save(word_counts(docs), "counts")
-    vocab = vocabulary(docs, counts)
-    net = train(docs, vocab)
+    counts = files.save(word_counts(corpus), "counts")
+    vocab = vocabulary(corpus, counts)
+    net = train(corpus, vocab)
     arrow_batches(spark)
-    leaf = leaves(counts, vocab)
+    leaf, unseen = leaves(counts, vocab)
     few = counts.count() <= LEAVES
     held = (np.zeros(0, np.uint64), np.zeros(0))
     if few:
@@ -311,7 +318,10 @@ def lm_scores(docs: DataFrame) -> DataFrame:
                 got = net.log_probabilities(seq, place).astype(np.float64)
                 below = np.flatnonzero(seq[place] > WORDS)
                 if few and len(below):
-                    got[below] += lp[np.searchsorted(known, h[below])]
+                    x = h[below]
+                    at = np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))
+                    own = lp[at] if len(known) else np.zeros(len(x))
+                    got[below] += np.where(known[at] == x if len(known) else False, own, unseen[(x % np.uint64(SHARED_IDS)).astype(np.int64)])
                 n.append(np.bincount(text, minlength=b - a))
                 total.append(np.bincount(text, got, minlength=b - a))
                 if not few:
@@ -332,7 +342,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         return rows.mapInArrow(task, "doc_id bigint, n_words bigint, log_likelihood double, mean_log_probability double")
     scored = files.save(rows.mapInArrow(task, "doc_id bigint, n_words bigint, log_likelihood double, key bigint, rare array<bigint>, times array<bigint>"), "scored")
     words = scored.select("key", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("key", F.col("w.rare").alias("h"), F.col("w.times").alias("times"))
-    below = words.join(leaf, "h").groupBy("key").agg(F.sum(F.col("times") * F.col("lp")).alias("below"))
+    none = F.element_at(F.array(*[F.lit(float(x)) for x in unseen]), (F.col("h").bitwiseAND(SHARED_IDS - 1) + 1).cast("int"))
+    below = words.join(leaf, "h", "left").groupBy("key").agg(F.sum(F.col("times") * F.coalesce("lp", none)).alias("below"))
     total = F.col("log_likelihood") + F.coalesce("below", F.lit(0.0))
     out = scored.join(below, "key", "left").select("doc_id", "n_words", total.alias("log_likelihood"))
     return out.withColumn("mean_log_probability", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))

@@ -87,7 +87,7 @@ from tallyforge.llm import toxicity as T
 from types import SimpleNamespace as S
 r = random.Random(1)
 base = " ".join("word%d" % r.randint(0, 3000) for _ in range({kb} * 125))[: {kb} * 1000]
-n, per = {{2: (5000, 1000), 200: (200, 40), 20000: (2, 1)}}[{kb}]
+n, per = {{2: (5000, 1000), 200: (80, 40), 20000: (1, 1)}}[{kb}]
 peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
 batches = lambda: (pa.RecordBatch.from_pydict({{"label": pa.array([i % 2 for i in range(at, at + per)], pa.int32()), "doc_id": pa.array(range(at, at + per), pa.int64()), "text": ["%d " % i + base for i in range(at, at + per)]}}) for at in range(0, n, per))
 before = peak()
@@ -185,9 +185,10 @@ def test_lm_every_word_has_its_own_probability(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     counts = {r.h: r.n for r in L.word_counts(docs).collect()}
     vocab = L.vocabulary(docs)
-    leaf = {r.h: r.lp for r in L.leaves(L.word_counts(docs), vocab).collect()}
+    rows_of_leaves, unseen = L.leaves(L.word_counts(docs), vocab)
+    leaf = {r.h: r.lp for r in rows_of_leaves.collect()}
     assert len(leaf) == len(counts) - L.WORDS == 2300 - (L.WORDS - len(known))
-    each = [0.0] * L.SHARED_IDS
+    each = np.exp(unseen).tolist()
     for h, lp in leaf.items():
         each[h % L.SHARED_IDS] += float(np.exp(lp))
     assert each == pytest.approx([1.0] * L.SHARED_IDS)  # so all words of the corpus sum to one
@@ -201,6 +202,29 @@ def test_lm_every_word_has_its_own_probability(spark, monkeypatch):
     assert [r[2] for r in joined] == pytest.approx([r[2] for r in out], rel=0.02)
 
 
+def test_lm_beats_word_frequencies_on_unseen_texts(spark, monkeypatch):
+    """Texts that the model was not made of: their words are likelier by context than by frequency."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").filter("text is not null").dropDuplicates(["text"])
+    seen, new = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")
+    count, total = {}, 0
+    hasher = WordHashes()
+    for r in seen.collect():
+        for h in hasher.of([r.text])[0].tolist():
+            count[h] = count.get(h, 0) + 1
+            total += 1
+    plain, words = 0.0, 0
+    for r in new.collect():
+        h = hasher.of([r.text])[0].tolist()
+        plain += sum(np.log(count.get(x, 1) / (total + 1)) for x in h)
+        words += len(h)
+    out = L.lm_scores(new, seen).collect()
+    assert sum(r.n_words for r in out) == words
+    assert sum(r.log_likelihood for r in out) / words > plain / words + 0.02
+    monkeypatch.setattr(L, "LEAVES", 0)
+    joined = {r.doc_id: r.log_likelihood for r in L.lm_scores(new, seen).collect()}
+    assert joined == pytest.approx({r.doc_id: r.log_likelihood for r in out}, rel=0.02, abs=1)
+
+
 def test_lm_training_does_not_follow_the_files(spark):
     order = [f"w{i}" for i in range(40)]
     docs = spark.createDataFrame([(i, " ".join(order * 5)) for i in range(600)], "doc_id long, text string")
