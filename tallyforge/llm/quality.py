@@ -103,12 +103,6 @@ def quality(docs: DataFrame) -> DataFrame:
     return out.select(*names, (~F.col("base_failed") & inside).alias("kept"))
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """docs without the rows that fail; rows without doc_id can't be judged by it and go."""
-    verdict = quality(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_semi").select(*docs.columns)
-
-
 #: Exact quantiles stand in for the sketches, which are exact up to SKETCH values a group.
 ORACLE = r"""
 with d as (select doc_id, lang, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),

@@ -101,7 +101,7 @@ def test_recall_of_edited_passages():
     speak = lambda n: " ".join(r.choice(WORDS) + str(r.randrange(60)) for _ in range(n))
     items = [speak(n) for n in (*(r.randint(15, 120) for _ in range(60)), 300, 600)]
     texts, true = [], set()
-    for i in range(400):
+    for i in range(250):
         item = r.randrange(len(items))
         words = items[item].split()
         for _ in range(r.randint(0, max(3, len(words) // 40))):
@@ -112,7 +112,7 @@ def test_recall_of_edited_passages():
             true.add((i, item))
     words, starts, first, end, _ = D.WordHashes().spans(texts)
     found = {(t, i) for t, i, *_ in D.ItemIndex(list(enumerate(items))).search(words, end - first, starts, 0.8)}
-    assert len(true) > 200 and true <= found
+    assert len(true) > 120 and true <= found
 
 
 def test_a_very_long_item_and_ties():

@@ -86,3 +86,11 @@ def test_query(spark):
     rows = op3_feistel_shards(spark, SF).collect()
     assert len(rows) == len(texts)
     assert all(r.size == len(texts[r.doc_id].encode()) + 16 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) and r.law == "rows" for r in rows)
+
+
+def test_very_long_texts(spark):
+    docs = spark.createDataFrame([(1, "s", "w " * 2_000_000), (2, "s", "x" * 4_000_000), (3, "s", "a b"), (4, None, None)], "doc_id long, source string, text string")
+    out = sharding.shard_rows(docs, 2).collect()
+    assert sorted((r.shard, r.slot) for r in out) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    sizes = {r.doc_id: r._q_size for r in mixing.with_copies(docs).collect()}
+    assert sizes == {1: 2_000_000, 2: 1, 3: 2, 4: 0}
