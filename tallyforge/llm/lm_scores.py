@@ -343,7 +343,8 @@ def lm_scores(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame
     scored = files.save(rows.mapInArrow(task, "doc_id bigint, n_words bigint, log_likelihood double, key bigint, rare array<bigint>, times array<bigint>"), "scored")
     words = scored.select("key", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("key", F.col("w.rare").alias("h"), F.col("w.times").alias("times"))
     none = F.element_at(F.array(*[F.lit(float(x)) for x in unseen]), (F.col("h").bitwiseAND(SHARED_IDS - 1) + 1).cast("int"))
-    below = words.join(leaf, "h", "left").groupBy("key").agg(F.sum(F.col("times") * F.coalesce("lp", none)).alias("below"))
+    # a corpus has all of its own words
+    below = words.join(leaf, "h", "inner" if learn_from is None else "left").groupBy("key").agg(F.sum(F.col("times") * F.coalesce("lp", none)).alias("below"))
     total = F.col("log_likelihood") + F.coalesce("below", F.lit(0.0))
     out = scored.join(below, "key", "left").select("doc_id", "n_words", total.alias("log_likelihood"))
     return out.withColumn("mean_log_probability", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
