@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import chat, decontamination, lm_scores, mixing, near_duplicates, quality, sharding, substrings, tokens, toxicity
+from tallyforge.llm import chat, decontamination, lm_scores, merkle, mixing, near_duplicates, quality, sharding, substrings, tokens, toxicity
 from tallyforge.llm.base import table
 
 
@@ -56,5 +56,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_source_mix, op3_feistel_shards, op4_pseudo_likelihood, op5_toxicity, op6_minhash, op7_quality, op8_suffix_dedup, op9_decontamination, op10_chat_format)}
-ORACLES = {"op2_source_mix": mixing.ORACLE, "op6_minhash": near_duplicates.ORACLE, "op7_quality": quality.ORACLE}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_source_mix, op3_feistel_shards, op4_pseudo_likelihood, op5_toxicity, op6_minhash, op7_quality, op8_suffix_dedup, op9_decontamination, op10_chat_format, op11_merkle_manifest)}
+ORACLES = {"op2_source_mix": mixing.ORACLE, "op6_minhash": near_duplicates.ORACLE, "op7_quality": quality.ORACLE, "op11_merkle_manifest": merkle.ORACLE}

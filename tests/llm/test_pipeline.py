@@ -42,7 +42,7 @@ def test_run_equals_its_stages(spark):
 
 def test_registered():
     q = __spark_entry__.queries()
-    assert sorted({n.split("_")[0] for n in q if n.startswith("op") and n[2].isdigit()}) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted({n.split("_")[0] for n in q if n.startswith("op") and n[2].isdigit()}) == sorted(f"op{i}" for i in range(1, 14))
     assert "pipeline" in q and len(corpus_pipeline.STAGES) == 5
 
 
