@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import alignment, chat, decontamination, lm_scores, merkle, mixing, near_duplicates, quality, sharding, substrings, tokens, toxicity
+from tallyforge.llm import alignment, chat, decontamination, languages, lm_scores, merkle, mixing, near_duplicates, quality, sharding, substrings, tokens, toxicity
 from tallyforge.llm.base import table
 
 
@@ -66,5 +66,9 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_source_mix, op3_feistel_shards, op4_pseudo_likelihood, op5_toxicity, op6_minhash, op7_quality, op8_suffix_dedup, op9_decontamination, op10_chat_format, op11_merkle_manifest, op12_token_alignment)}
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_source_mix, op3_feistel_shards, op4_pseudo_likelihood, op5_toxicity, op6_minhash, op7_quality, op8_suffix_dedup, op9_decontamination, op10_chat_format, op11_merkle_manifest, op12_token_alignment, op13_language_id)}
 ORACLES = {"op2_source_mix": mixing.ORACLE, "op6_minhash": near_duplicates.ORACLE, "op7_quality": quality.ORACLE, "op11_merkle_manifest": merkle.ORACLE}
