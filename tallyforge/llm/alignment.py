@@ -19,6 +19,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -84,57 +85,69 @@ class Pair:
         self.space = self.b.piece_to_id("▁")
         # the cut is safe for b only if no piece of it goes on with a space
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
+        numbers = [str(i).encode() for i in range(max(n_a, n_b))]
+        self.marked = [x + mark for mark in (b",", b"|", b";") for x in numbers]
         self.known: dict[str, tuple | None] = {}
+        self.before: dict[str, tuple | None] = {}  # known until ``known`` was last full
 
     def pieces(self, text: str) -> list[str]:
         """A space and the text, cut where both tokenizers always end a token."""
         return PIECE.split(" " + text) if self.cuts else [" " + text]
 
-    def encode(self, pieces: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        a = [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
-        b = [np.array(ids if p != " " else [self.space], np.int64) for p, ids in zip(pieces, self.b.encode([p[1:] for p in pieces], num_threads=1), strict=True)]
+    def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
+        b = [ids if p != " " else [self.space] for p, ids in zip(pieces, self.b.encode([p[1:] for p in pieces], num_threads=1), strict=True)]
         return a, b
 
     def learn(self, pieces: set[str]) -> None:
         """Align pieces that are not known: the ends of all of them are merged at once, one after another."""
         if len(self.known) > CACHED:
-            self.known.clear()
-        new = [p for p in pieces if p not in self.known]
+            self.known, self.before = {}, self.known
+        known, before, new = self.known, self.before, []
+        for p in pieces - known.keys():
+            if p in before:
+                known[p] = before[p]
+            else:
+                new.append(p)
         for at in range(0, len(new), 8192):
             self._align(new[at : at + 8192])
 
     def _align(self, new: list[str]) -> None:
+        raw = [p.encode("utf-8", "surrogatepass") for p in new]
         a, b = self.encode(new)
-        good = []
-        for k, p in enumerate(new):
-            raw = p.encode("utf-8", "surrogatepass")
-            if raw == b"".join([self.bytes_a[i] for i in a[k].tolist()]) == b"".join([self.bytes_b[i] for i in b[k].tolist()]):
-                good.append(k)
-            else:
-                self.known[p] = None
-        if not good:
+        for side, shown in ((a, self.bytes_a), (b, self.bytes_b)):
+            if b"".join(map(shown.__getitem__, chain.from_iterable(side))) != b"".join(raw):
+                # tokens give other bytes than the text somewhere: piece by piece
+                good = [r == b"".join(map(self.bytes_a.__getitem__, x)) == b"".join(map(self.bytes_b.__getitem__, y)) for r, x, y in zip(raw, a, b, strict=True)]
+                self.known.update((p, None) for p, g in zip(new, good, strict=True) if not g)
+                new, a, b = ([x for x, g in zip(xs, good, strict=True) if g] for xs in (new, a, b))
+                break
+        n = len(new)
+        if not n:
             return
-        of_a, of_b = (np.repeat(np.arange(len(good)), [len(x[k]) for k in good]) for x in (a, b))
-        ids_a, ids_b = np.concatenate([a[k] for k in good]), np.concatenate([b[k] for k in good])
+        count_a, count_b = list(map(len, a)), list(map(len, b))
+        of_a, of_b = np.repeat(np.arange(n), count_a), np.repeat(np.arange(n), count_b)
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a, b))
         i, j, both = merged_ends(np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b]))
-        links = (ids_a[i].astype(np.uint32) << np.uint32(15) | ids_b[j].astype(np.uint32)) if len(self.bytes_b) <= 1 << 15 and len(self.bytes_a) <= 1 << 17 else ids_a[i].astype(np.uint64) << np.uint64(32) | ids_b[j].astype(np.uint64)
+        links = self.links(ids_a[i], ids_b[j])
         # tokens in the order in which groups list them, each with what follows it
-        ends = np.flatnonzero(both)
-        last_a, last_b = i[ends], j[ends]
-        group_a, group_b = np.searchsorted(last_a, np.arange(len(ids_a))), np.searchsorted(last_b, np.arange(len(ids_b)))
+        last_a, last_b = i[both], j[both]
+        group_a, group_b = (np.cumsum(np.bincount(x + 1, minlength=len(y) + 1))[: len(y)] for x, y in ((last_a, ids_a), (last_b, ids_b)))
         place_a, place_b = np.arange(len(ids_a)) + np.append(0, last_b + 1)[group_a], np.arange(len(ids_b)) + last_a[group_b] + 1
-        token, mark = np.empty(len(ids_a) + len(ids_b), np.int64), np.full(len(ids_a) + len(ids_b), ord(","), np.int64)
+        token = np.empty(len(ids_a) + len(ids_b), np.int64)
         token[place_a], token[place_b] = ids_a, ids_b
-        mark[place_a[last_a]], mark[place_b[last_b]] = ord("|"), ord(";")
-        text = [f"{t}{chr(m)}" for t, m in zip(token.tolist(), mark.tolist(), strict=True)]
-        n = len(good)
-        cut_links = np.append(0, np.cumsum(np.bincount(of_a[i], minlength=n))).tolist()
-        cut_text = np.append(0, np.cumsum(np.bincount(of_a, minlength=n) + np.bincount(of_b, minlength=n))).tolist()
-        n_groups = np.bincount(of_a[last_a], minlength=n).tolist()
-        raw, width = links.tobytes(), links.itemsize
-        for k, g in enumerate(good):
-            own = "".join(text[cut_text[k] : cut_text[k + 1]])
-            self.known[new[g]] = (own.encode(), raw[width * cut_links[k] : width * cut_links[k + 1]], len(a[g]), len(b[g]), n_groups[k])
+        token[place_a[last_a]] += len(self.marked) // 3
+        token[place_b[last_b]] += len(self.marked) // 3 * 2
+        text = list(map(self.marked.__getitem__, token.tolist()))
+        cut_links = np.append(0, np.cumsum(np.bincount(of_a[i], minlength=n))) * links.itemsize
+        cut_text = np.append(0, np.cumsum(np.array(count_a) + count_b)).tolist()
+        n_groups, cut_links, packed = np.bincount(of_a[last_a], minlength=n).tolist(), cut_links.tolist(), links.tobytes()
+        for k, p in enumerate(new):
+            self.known[p] = (b"".join(text[cut_text[k] : cut_text[k + 1]]), packed[cut_links[k] : cut_links[k + 1]], count_a[k], count_b[k], n_groups[k])
+
+    def links(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        shift = 15 if self.link_type is np.uint32 else 32
+        return a.astype(self.link_type) << self.link_type(shift) | b.astype(self.link_type)
 
     @property
     def link_type(self) -> type:
