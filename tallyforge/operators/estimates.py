@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tallyforge.functions.numeric import round_money
-from tallyforge.operators.matching import in_blocks
+from tallyforge.operators.similarity import edit_pairs
 from tallyforge.operators.windows import top_n
 from tallyforge.sources.stored import stored
 
@@ -139,8 +139,8 @@ def slug_matches(left: DataFrame, right: DataFrame, least: float = 0.55, inside:
     in the other and ``inside`` of its length (1), else edit similarity from ``least`` on (2).
 
     Slugs are compared once each. A contained slug has all its trigrams in the other: pairs meet at its
-    rarest one. Edit similarity is asked only for slugs that found nothing so far, against the right
-    side in blocks.
+    rarest one. Edit similarity is asked only for slugs that found nothing so far, by segments
+    that near slugs share.
     """
     a, b = left.select("slug").distinct(), right.groupBy("slug2").agg(F.min("other").alias("other"))
     n, m = F.length("slug"), F.length("slug2")
@@ -152,7 +152,7 @@ def slug_matches(left: DataFrame, right: DataFrame, least: float = 0.55, inside:
     first = lambda df: df.groupBy("slug").agg(F.min_by(F.struct("other", "kind", "score"), F.struct("kind", -F.col("score"), "other")).alias("r"))
     found = stored(first(exact.unionByName(held)), "slugs")
     rest = a.join(found.select("slug"), "slug", "left_anti")
-    near = in_blocks(rest, b, (F.least(n, m) >= least * F.greatest(n, m)) & (score >= least))
+    near = edit_pairs(rest, b, "slug", "slug2", least).filter(score >= least)
     found = found.unionByName(first(near.select("slug", "other", F.lit(2).alias("kind"), F.round(score, 4).alias("score"))))
     return left.select("id", "slug").join(found, "slug").select("id", "r.*")
 

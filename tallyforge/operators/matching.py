@@ -1,9 +1,9 @@
 """Fuzzy links between names, and shapes of nested values.
 
 Where a score needs a common token, pairs come from an equi-join on tokens, formed at the first common
-token only. Where it does not (edit similarity), the right side is a stated set that is taken in blocks:
-each block is broadcast, its size bounded by BLOCK, and meets all of the left side; only pairs that
-score high enough leave a task. Texts are compared once, however many rows have them.
+token only; where the best few partners are asked for, frequent tokens make no pairs
+(``similarity.top_sharing``). Edit similarity goes by segment signatures (``similarity.edit_pairs``).
+Texts are compared once, however many rows have them.
 """
 
 from __future__ import annotations
@@ -11,29 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators.similarity import edit_pairs, top_sharing
 from tallyforge.operators.windows import top_n
 
 
-BLOCK = 4096
-
-
 def sharing_a_token(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs of rows whose token lists a and b meet."""
     x, y = left.withColumn("_w", F.explode(a)), right.withColumn("_w", F.explode(b))
     return x.join(y, "_w").filter(F.array_min(F.array_intersect(a, b)) == F.col("_w")).drop("_w")
 
 
-def in_blocks(left: DataFrame, right: DataFrame, cond: Column) -> DataFrame:
-    """Pairs of rows of left and of a stated right side that meet a condition."""
-    parts = max(1, -(-right.count() // (BLOCK // 2)))
-    out = None
-    for part in range(parts):
-        block = right.filter(F.pmod(F.xxhash64(*right.columns), F.lit(parts)) == part)
-        pairs = left.join(F.broadcast(block), cond)
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
-
-
 def edit_ratio(x: Column, y: Column) -> Column:
     n = F.greatest(F.length(x), F.length(y))
     return F.when(n > 0, 1 - F.levenshtein(x, y) / n).otherwise(0.0)
@@ -54,11 +41,10 @@ def ratio_links(left: DataFrame, right: DataFrame, least: float, n: int) -> Data
     near = sharing_a_token(left, right, "t", "u").select("id", "other", token_set_ratio(F.col("t"), F.col("u")).alias("score"))
     plain = lambda t: F.array_join(F.array_sort(t), " ")
     a = left.withColumn("_a", plain("t"))
-    b = right.select("other", F.col("u"), plain("u").alias("_b"))
-    n_a, n_b = F.length("_a"), F.length("_b")
-    # the lengths alone bound the ratio, so most pairs are not compared
-    close = (F.least(n_a, n_b) * 100 >= least * F.greatest(n_a, n_b)) & ~F.arrays_overlap("t", "u")
-    far = in_blocks(a, b, close & (F.round(100 * edit_ratio(F.col("_a"), F.col("_b")), 2) >= least))
+    b = right.select("other", "u", plain("u").alias("_b"))
+    # half a unit of the second decimal less, since scores are rounded
+    far = edit_pairs(a, b, "_a", "_b", (least - 0.005) / 100).filter(~F.arrays_overlap("t", "u"))
+    far = far.filter(F.round(100 * edit_ratio(F.col("_a"), F.col("_b")), 2) >= least)
     pairs = near.unionByName(far.select("id", "other", token_set_ratio(F.col("t"), F.col("u")).alias("score")))
     return top_n(pairs.filter(F.col("score") >= least), ["id"], [F.desc("score"), F.col("other")], n)
 
@@ -67,10 +53,8 @@ def noise_aware_match(left: DataFrame, right: DataFrame, noise: tuple[str, ...])
     """Best (id, other, score): ten for each common token that is no noise word, one for each common
     token of any kind."""
     words = F.array(*[F.lit(w) for w in noise])
-    both = F.array_intersect("t", "u")
-    score = 10 * F.size(F.array_except(both, words)) + F.size(both)
-    pairs = sharing_a_token(left, right, "t", "u").select("id", "other", score.cast("long").alias("score"))
-    return pairs.groupBy("id").agg(F.min_by(F.struct("other", "score"), F.struct(-F.col("score"), F.col("other"))).alias("r")).select("id", "r.*")
+    score = lambda both, n, m: (10 * F.size(F.array_except(both, words)) + F.size(both)).cast("long")
+    return top_sharing(left, right, score, 1).select("id", "other", "score")
 
 
 def unwrapped(json: Column) -> Column:

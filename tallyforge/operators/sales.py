@@ -9,8 +9,9 @@ from pyspark.sql.window import Window as W
 from tallyforge.functions.dates import duration_days, month
 from tallyforge.functions.numeric import quantiles, ratio, round_money
 from tallyforge.functions.rules import MATERIALS
-from tallyforge.functions.text import overlap, tokens
+from tallyforge.functions.text import tokens
 from tallyforge.operators.taxonomy import component_name, materials
+from tallyforge.operators.similarity import top_sharing
 from tallyforge.operators.windows import mode, running_share, top_n
 
 MISSING_CLIENT = "__MISSING_CLIENT__"
@@ -185,18 +186,13 @@ def classify(fact: DataFrame) -> Column:
 def nearest_analogs(targets: DataFrame, goods: DataFrame, n: int = 3) -> DataFrame:
     """(name, direction, product_id, analog, score, rank): catalogue products that share a token.
 
-    The score is the token overlap, 0.15 more in the same direction. Equal names are scored once:
-    targets and goods are reduced to distinct names and directions before the token join, and each
-    candidate pair is formed from its first common token only, so a frequent token makes no copies.
+    The score is the token overlap, 0.15 more in the same direction. Equal names are scored once, and
+    a token that very many names share makes no pairs of its own.
     """
-    name = lambda df, c, d: df.select(F.col(c).alias("n"), F.col(d).alias("d")).distinct().withColumn("t", tokens(F.col("n")))
-    a, b = name(targets, "name", "direction"), name(goods, "name", "direction")
-    left, right = a.select("*", F.explode("t").alias("tok")).alias("a"), b.select("*", F.explode("t").alias("tok")).alias("b")
-    first = F.array_min(F.array_intersect(F.col("a.t"), F.col("b.t"))) == F.col("a.tok")
-    pairs = left.join(right, (F.col("a.tok") == F.col("b.tok")) & first)
-    score = F.round(overlap(F.col("a.t"), F.col("b.t")) + F.when(F.col("a.d") == F.col("b.d"), 0.15).otherwise(0.0), 4)
-    pairs = pairs.select(F.col("a.n").alias("name"), F.col("a.d").alias("direction"), F.col("b.n").alias("analog"), F.col("b.d").alias("analog_direction"), score.alias("score"))
-    pairs = top_n(pairs, ["name", "direction"], [F.desc("score"), F.col("analog"), F.col("analog_direction")], n)
+    a = targets.select(F.col("name").alias("id"), F.col("direction").alias("d")).distinct().withColumn("t", tokens(F.col("id")))
+    b = goods.select(F.col("name").alias("other"), F.col("direction").alias("e")).distinct().withColumn("u", tokens(F.col("other")))
+    score = lambda c, n, m: F.round(F.size(c) / F.greatest(n, m) + F.when(F.col("d") == F.col("e"), 0.15).otherwise(0.0), 4)
+    pairs = top_sharing(a, b, score, n, ("d",), ("e",)).withColumnsRenamed({"id": "name", "d": "direction", "other": "analog", "e": "analog_direction"})
     ids = goods.groupBy(F.col("name").alias("analog"), F.col("direction").alias("analog_direction")).agg(F.min("product_id").alias("product_id"))
     return pairs.join(ids, ["analog", "analog_direction"])
 

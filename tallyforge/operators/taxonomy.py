@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import rules
-from tallyforge.functions.text import first_rule, fuzzy, labels, slug, tokens
-from tallyforge.operators.matching import sharing_a_token
+from tallyforge.functions.text import first_rule, labels, slug, tokens
+from tallyforge.operators.similarity import fuzzy_of, top_sharing
 from tallyforge.operators.windows import mode, top_n
 
 _END = r"(?:[^\p{L}\p{N}_]|$)"
@@ -166,8 +166,8 @@ def resolved_names(names: DataFrame, goods: DataFrame, least: float = 0.45) -> D
     catalogue (product_id, name) by tokens, null where none is similar enough."""
     left = names.select("name").distinct().withColumn("t", tokens(F.col("name")))
     right = goods.groupBy(F.col("name").alias("product")).agg(F.min("product_id").alias("product_id")).withColumn("u", tokens(F.col("product")))
-    pairs = sharing_a_token(left, right, "t", "u").select("name", "product_id", "product", F.round(fuzzy(F.col("t"), F.col("u")), 4).alias("score"))
-    best = pairs.filter(F.col("score") >= least).groupBy("name").agg(F.min_by(F.struct("product_id", "product", "score"), F.struct(-F.col("score"), F.col("product"))).alias("r"))
+    pairs = top_sharing(left.withColumnRenamed("name", "id"), right.withColumnRenamed("product", "other"), lambda c, n, m: F.round(fuzzy_of(c, n, m), 4), 1)
+    best = pairs.filter(F.col("score") >= least).join(right, F.col("other") == F.col("product")).select(F.col("id").alias("name"), F.struct("product_id", "product", "score").alias("r"))
     return left.select("name").join(best, "name", "left").select("name", "r.*")
 
 

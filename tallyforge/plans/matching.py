@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.text import labels, tokens
 from tallyforge.operators import matching as M
+from tallyforge.operators.similarity import edit_pairs, set_pairs
 from tallyforge.operators.texts import heading_chunks
 from tallyforge.sources.roles import table
 
@@ -54,6 +55,30 @@ def noise_aware_links(spark, d):
     return M.noise_aware_match(*_names(spark, d), ("red", "old"))
 
 
+@query(
+    _NAMES
+    + """, p as (select id, other, len(list_intersect(t, u)) as common, len(list_distinct(t)) as n, len(list_distinct(u)) as m from l, r where len(list_intersect(t, u)) > 0),
+s as (select 'overlap' as kind, id, other, common, common / greatest(n, m) as v from p where 5 * common >= 3 * greatest(n, m) union all select 'jaccard', id, other, common, common / (n + m - common) from p where 2 * common >= n + m - common union all select 'containment', id, other, common, common / least(n, m) from p where common = least(n, m))
+select kind, id, other, common::int as common, round(v, 6) as score from s"""
+)
+def set_links(spark, d):
+    """Names whose token sets are near enough, by three measures."""
+    left, right = _names(spark, d)
+    out = None
+    for kind, least in (("overlap", 0.6), ("jaccard", 0.5), ("containment", 1.0)):
+        found = set_pairs(left, right, kind, least).select(F.lit(kind).alias("kind"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query("select c_custkey as id, s_suppkey as other, levenshtein(a, b)::int as edits from (select c_custkey, replace(c_name, 'Customer', '') || c_nationkey as a from customer), (select s_suppkey, replace(s_name, 'Supplier', '') || s_nationkey as b from supplier) where 10 * levenshtein(a, b) <= 2 * greatest(length(a), length(b))")
+def edit_links(spark, d):
+    """Customers and suppliers whose numbers are near enough by edits."""
+    left = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.replace("c_name", F.lit("Customer"), F.lit("")), F.col("c_nationkey").cast("string")).alias("a"))
+    right = table(spark, d, "supplier").select(F.col("s_suppkey").alias("other"), F.concat(F.replace("s_name", F.lit("Supplier"), F.lit("")), F.col("s_nationkey").cast("string")).alias("b"))
+    return edit_pairs(left, right, "a", "b", 0.8).select("id", "other", "edits")
+
+
 @query("select event_id, json_extract_string(props, '$.k') as value from events")
 def unwrapped_values(spark, d):
     e = table(spark, d, "events")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from tallyforge.functions import numeric as N
 from tallyforge.functions import text as X
 from tallyforge.operators import texts as P
-from tallyforge.operators.windows import top_n
+from tallyforge.operators.similarity import fuzzy_of, top_sharing
 from tallyforge.sources.roles import table
 from tallyforge.streaming import events as S
 
@@ -116,10 +116,8 @@ k as (select *, row_number() over (partition by id order by score desc, nid) as
 def fuzzy_names(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), X.tokens(F.concat(F.lit("supplier "), "s_name", F.lit(" nation "), "s_nationkey")).alias("t"))
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("nid"), X.tokens(F.concat("n_name", F.lit(" nation "), "n_nationkey")).alias("u"))
-    left, right = s.withColumn("w", F.explode("t")), n.withColumn("w", F.explode("u"))
-    pairs = left.join(right, "w").filter(F.array_min(F.array_intersect("t", "u")) == F.col("w"))
-    pairs = pairs.select("id", "nid", F.round(X.fuzzy(F.col("t"), F.col("u")), 4).alias("score")).filter("score >= 0.2")
-    return top_n(pairs, ["id"], [F.desc("score"), F.col("nid")], 1).drop("rank")
+    found = top_sharing(s, n.withColumnRenamed("nid", "other"), lambda c, n, m: F.round(fuzzy_of(c, n, m), 4), 1).filter("score >= 0.2")
+    return found.select("id", F.col("other").alias("nid"), "score")
 
 
 @query("select o_custkey as key, round(case when min(o_totalprice) <= 0 then 0 else count(*) / sum(1 / o_totalprice) end, 4) as harmonic, list_sort(list(o_totalprice))[least(floor(count(*) * 0.5), count(*) - 1)::int + 1] as element, floor(avg(o_totalprice) + 0.5) as rounded from orders group by 1")
