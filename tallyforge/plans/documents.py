@@ -10,10 +10,9 @@ from tallyforge.operators import evaluation as E
 from tallyforge.operators import sales as S
 from tallyforge.operators import texts as P
 from tallyforge.plans.retrieval import SPARSE, _sparse
-from tallyforge.plans.sales import DEALS, LINES
+from tallyforge.plans.sales import DEALS, LINES, shared_deals, shared_lines
 from tallyforge.plans.sales import O as SALES
 from tallyforge.sources.roles import lines, table
-from tallyforge.sources.stored import stored
 
 Q: dict = {}
 O: dict = {}
@@ -52,7 +51,7 @@ k as (select 'kpi:' || dataset as doc_id, 'kpi' as doc_type, 'deals: ' || count(
 u as (select * from t union all select * from k) select *, case doc_type when 'timeline' then 'How long work takes (' || doc_id || ').' else 'Figures of ' || doc_id || '.' end || chr(10) || searchable_text as contextual_text from u"""
 )
 def fact_documents(spark, d):
-    deals = stored(S.deal_facts(lines(spark, d)), "deals")
+    deals = shared_deals(spark, d)
     t = deals.groupBy("primary_direction").agg(F.floor(F.median("duration_days") + 0.5).cast("long").alias("m"))
     t = B.as_documents(t, "timeline", F.col("primary_direction"), F.concat(F.lit("typical days: "), F.coalesce(F.col("m").cast("string"), F.lit("unknown"))))
     k = deals.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("line_total"), 2).alias("v"))
@@ -197,14 +196,14 @@ hit as (select bundle_key, deal_id from un join oi using (product) group by bund
 select 'bundle:' || dataset || ':' || bundle_key as doc_id, 'bundle' as doc_type, 'products: ' || pc || ' | deals: ' || n || coalesce(' | median: ' || format('{:,.2f}', med), '') || case when c > 0 then ' | contained in orders: ' || c else '' end as searchable_text from b left join cn using (bundle_key)"""
 )
 def bundle_documents(spark, d):
-    deals = stored(S.deal_facts(lines(spark, d)), "deals")
+    deals = shared_deals(spark, d)
     return B.bundle_documents(S.bundle_facts(deals), S.template_matches(deals))
 
 
 @query(f"select 'deal_profile:' || deal_id as doc_id, 'deal_profile' as doc_type, 'direction: ' || primary_direction || chr(10) || 'shares: ' || direction_breakdown || chr(10) || 'parts: ' || substr(components, 1, 500) as searchable_text from ({SALES['deal_profiles']})")
 def profile_documents(spark, d):
-    rows = stored(lines(spark, d), "lines")
-    return B.profile_documents(S.deal_profiles(rows, stored(S.deal_facts(rows), "deals")))
+    rows = shared_lines(spark, d)
+    return B.profile_documents(S.deal_profiles(rows, shared_deals(spark, d)))
 
 
 @query()

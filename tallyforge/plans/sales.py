@@ -72,13 +72,18 @@ def query(sql: str | None = None):
     return keep
 
 
-def _deals(spark: SparkSession, d: str) -> DataFrame:
-    """Deal facts for several branches of a plan."""
-    return stored(S.deal_facts(lines(spark, d)), "deals")
+def shared_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines for several branches and queries: written once in an application."""
+    return stored(lines(spark, d), "lines")
+
+
+def shared_deals(spark: SparkSession, d: str) -> DataFrame:
+    """Deal facts for several branches and queries."""
+    return stored(S.deal_facts(shared_lines(spark, d)), "deals")
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
-    return S.product_facts(stored(lines(spark, d), "lines"), catalogue(spark, d))
+    return S.product_facts(shared_lines(spark, d), catalogue(spark, d))
 
 
 @query(LINES + "select dataset, deal_id, client_key, payment, product_key, product_name, round(price + 1e-9, 4) as price, quantity, round(line_total, 2) as line_total, round(price_ratio, 4) as price_ratio, direction, section from lines")
@@ -92,7 +97,7 @@ _DEAL = "dataset, deal_id, title, client_key, close_month, payment, duration_day
 
 @query(DEALS + f"select {_DEAL} from deals")
 def deal_facts(spark, d):
-    return S.deal_facts(lines(spark, d)).select(*_DEAL.split(", "))
+    return shared_deals(spark, d).select(*_DEAL.split(", "))
 
 
 @query(
@@ -104,7 +109,7 @@ select client_key, deal_count, total_value, dominant_direction, round(total_valu
     round(sum(total_value) over (order by total_value desc, client_key rows unbounded preceding) / t, 4) as cumulative_share, row_number() over (order by total_value desc, client_key) as rank from c join dd using (client_key), t"""
 )
 def client_concentration(spark, d):
-    return S.client_concentration(_deals(spark, d))
+    return S.client_concentration(shared_deals(spark, d))
 
 
 @query(LINES + FACTS + "select * exclude (reason), reason from pfacts")
@@ -147,7 +152,7 @@ b as (select dataset, bundle_key, max(unique_products) as product_count, count(*
 select * from b join dd using (dataset, bundle_key) join tp using (dataset, bundle_key)"""
 )
 def bundle_facts(spark, d):
-    return S.bundle_facts(_deals(spark, d))
+    return S.bundle_facts(shared_deals(spark, d))
 
 
 @query(
@@ -157,12 +162,12 @@ select client_key, count(*) as deal_count, count(*) filter (dataset = 'orders')
     min(close_month) as first_month, max(close_month) as last_month, array_to_string(list_sort(list(distinct dataset)), '|') as datasets, any_value(dominant_direction) as dominant_direction from deals join dd using (client_key) group by 1"""
 )
 def client_facts(spark, d):
-    return S.client_facts(_deals(spark, d))
+    return S.client_facts(shared_deals(spark, d))
 
 
 @query(DEALS + MATCHES + "select * from tm")
 def template_matches(spark, d):
-    return S.template_matches(_deals(spark, d))
+    return S.template_matches(shared_deals(spark, d))
 
 
 @query(
@@ -173,7 +178,7 @@ q as (select group_type, group_key, count(duration_days) as deal_count, min(dura
 select group_type, group_key, deal_count, duration_min, floor(q[1] + 0.5)::bigint as duration_p25, floor(q[2] + 0.5)::bigint as duration_p50, floor(q[3] + 0.5)::bigint as duration_p75, duration_max from q where deal_count > 0"""
 )
 def timeline_facts(spark, d):
-    return S.timelines(_deals(spark, d))
+    return S.timelines(shared_deals(spark, d))
 
 
 @query(
@@ -187,8 +192,8 @@ s as (select deal_id, count(*) as direction_count, string_agg(direction || ': '
 select *, '' as materials from ch join c using (deal_id) join s using (deal_id)"""
 )
 def deal_profiles(spark, d):
-    rows = stored(lines(spark, d), "lines")
-    return S.deal_profiles(rows, stored(S.deal_facts(rows), "deals"))
+    rows = shared_lines(spark, d)
+    return S.deal_profiles(rows, shared_deals(spark, d))
 
 
 @query(
@@ -204,13 +209,13 @@ y as (select primary_direction, string_agg(direction || ' (' || floor(n / deal_c
 select primary_direction, deal_count, floor(med + 0.5)::bigint as median_value, floor(av + 0.5)::bigint as avg_value, core_products, optional_products, coalesce(cross_directions, '') as cross_directions, '' as top_materials from st left join pr2 using (primary_direction) left join y using (primary_direction)"""
 )
 def service_composition(spark, d):
-    rows = stored(lines(spark, d), "lines")
-    return S.service_composition(rows, stored(S.deal_facts(rows), "deals"))
+    rows = shared_lines(spark, d)
+    return S.service_composition(rows, shared_deals(spark, d))
 
 
 @query(DEALS + "select dataset, close_month, primary_direction, count(*) as deal_count, round(sum(line_total), 2) as total_value, round(median(line_total) + 1e-9, 2) as median_value, round(avg(line_total) + 1e-9, 2) as avg_value from deals group by 1, 2, 3")
 def monthly_kpis(spark, d):
-    return S.monthly_kpis(S.deal_facts(lines(spark, d)))
+    return S.monthly_kpis(shared_deals(spark, d))
 
 
 @query(LINES + FACTS + "select product_key, product_name, direction, base_price, offer_rows, order_rows, case when offer_rows > 0 and order_rows > 0 then 'used_in_both' when offer_rows > 0 then 'offers_only' when order_rows > 0 then 'orders_only' else 'unused' end as status from pfacts where goods_present = 'Y'")
@@ -225,7 +230,7 @@ def price_stability(spark, d):
 
 @query(DEALS + MATCHES + "select bundle_key, products, template_deals, exact_matches, contained_matches, match_rate, sample_title from tm")
 def template_conversion(spark, d):
-    return S.template_matches(_deals(spark, d)).select("bundle_key", "products", "template_deals", "exact_matches", "contained_matches", "match_rate", "sample_title")
+    return S.template_matches(shared_deals(spark, d)).select("bundle_key", "products", "template_deals", "exact_matches", "contained_matches", "match_rate", "sample_title")
 
 
 @query(
@@ -238,8 +243,7 @@ select (select count(*) from ord) as order_deals, (select count(*) from off) as
     (select count(*) from tm where exact_matches > 0) as exact_templates, (select count(*) from tm where contained_matches > 0) as contained_templates, round((select count(*) from c where n >= 2) / (select count(*) from c), 4) as repeat_share"""
 )
 def kpi_summary(spark, d):
-    rows = stored(lines(spark, d), "lines")
-    deals = stored(S.deal_facts(rows), "deals")
+    rows, deals = shared_lines(spark, d), shared_deals(spark, d)
     return S.kpi_summary(S.product_facts(rows, catalogue(spark, d)), deals, S.template_matches(deals))
 
 
@@ -265,7 +269,7 @@ union all select 'catalogue_product_never_sold', 'info', (select count(*) from g
 select * from i where n > 0"""
 )
 def quality_issues(spark, d):
-    return S.quality_issues(stored(lines(spark, d), "lines"), catalogue(spark, d))
+    return S.quality_issues(shared_lines(spark, d), catalogue(spark, d))
 
 
 @query(

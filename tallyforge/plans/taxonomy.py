@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import sales as S
 from tallyforge.operators import taxonomy as X
-from tallyforge.plans.sales import DEALS, LINES
+from tallyforge.plans.sales import DEALS, LINES, shared_deals
 from tallyforge.sources.roles import catalogue, lines, table
-from tallyforge.sources.stored import stored
 
 Q: dict = {}
 O: dict = {}
@@ -89,7 +88,7 @@ ev as (select * from me union select category, dataset, deal_id from kn where ca
 select category, coalesce(ch.dataset, 'orders') as dataset, coalesce(ch.deal_id, c0.deal_id) as deal_id, ch.deal_id is not null as seeded, (select count(*) from ev where ev.category = c0.category) as members from c0 left join ch using (category)"""
 )
 def seeded_canonicals(spark, d):
-    deals = stored(S.deal_facts(lines(spark, d)), "deals")
+    deals = shared_deals(spark, d)
     members = deals.select(F.when(F.col("unique_products") >= 4, "BIG").otherwise("SMALL").alias("category"), "dataset", "deal_id")
     first = members.filter("dataset = 'orders'").groupBy("category").agg(F.min("deal_id").alias("deal_id")).withColumn("dataset", F.lit("orders"))
     seeds = spark.createDataFrame(_SEEDS, "category string, dataset string, deal_id long, canonical boolean")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import sales as S
 from tallyforge.operators import templates as T
-from tallyforge.plans.sales import DEALS, LINES
+from tallyforge.plans.sales import DEALS, LINES, shared_deals, shared_lines
 from tallyforge.sources.roles import catalogue, lines
 from tallyforge.sources.stored import stored
 
@@ -63,7 +63,7 @@ cd as (select category, deal_id, dataset, eligible from el where rn = 1)
 
 @query(DEALS + CANON + "select * from cd")
 def canonical_deals(spark, d):
-    return T.canonical_deals(stored(S.deal_facts(lines(spark, d)), "deals").withColumn("category", F.col("primary_direction")), "category")
+    return T.canonical_deals(shared_deals(spark, d).withColumn("category", F.col("primary_direction")), "category")
 
 
 @query(LINES + ", n as (select direction, count(distinct (dataset, deal_id)) as n from lines group by 1), p as (select direction, product_key, count(distinct (dataset, deal_id)) as deals from lines group by 1, 2) select direction as category, product_key, deals, floor(deals / n * 100 + 0.5) / 100 as frequency from p join n using (direction)")
@@ -83,8 +83,8 @@ ps as (select cr.category, cr.deal_id, cr.product_key, cr.product_name, cr.quant
 
 
 def _positions(spark, d):
-    rows = stored(lines(spark, d), "lines")
-    deals = stored(S.deal_facts(rows), "deals").withColumn("category", F.col("primary_direction"))
+    rows = shared_lines(spark, d)
+    deals = shared_deals(spark, d).withColumn("category", F.col("primary_direction"))
     canonical = stored(T.canonical_deals(deals, "category"), "canonical")
     rows = stored(rows.join(deals.select("dataset", "deal_id", "category"), ["dataset", "deal_id"]), "category_lines")
     return T.canonical_positions(rows, canonical, "category", AS_OF)
