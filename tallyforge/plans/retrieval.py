@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyforge.operators import dense_index
 from tallyforge.operators import retrieval as R
 from tallyforge.operators.windows import keep_if_any, merge_tiers
 from tallyforge.sources.roles import table
+from tallyforge.sources.stored import scratch
 
 Q: dict = {}
 O: dict = {}
@@ -58,6 +60,25 @@ def dense_search(spark, d):
     return R.dense_top_k(docs, queries.drop("label"), 10)
 
 
+def _cells(spark, d, exact):
+    docs, queries = _vectors(spark, d)
+    path = scratch(spark, "cells")
+    dense_index.build(docs, path)
+    return dense_index.search(spark, path, queries, 10, probes=8, exact=exact)
+
+
+@query(DENSE + "select query_id, doc_id, score, rank from de where rank <= 10")
+def cell_search_exact(spark, d):
+    """The same rows as dense_search from an inverted-file index, whose cells are ruled out by angles."""
+    return _cells(spark, d, True)
+
+
+@query()
+def cell_search(spark, d):
+    """The nearest eight cells of each query; tests/test_dense_index.py measures the recall."""
+    return _cells(spark, d, False)
+
+
 @query(DENSE + ", f as (select *, row_number() over (partition by query_id order by score desc, doc_id) as r from sc where label = ql) select query_id, doc_id, score, r as rank from f where r <= 5")
 def dense_search_filtered(spark, d):
     docs, queries = _vectors(spark, d)

@@ -21,6 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder; what is written there goes when the driver's JVM ends."""
+    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, folder = _file_system(spark, at)
+    fs.deleteOnExit(folder)
+    return at
+
+
 #: Tables of this process: by application, time zone, hash of the plan and state of the input files, the plans
 #: and where their rows lie.
 _WRITTEN: dict[tuple, list[tuple[DataFrame, str]]] = {}
@@ -53,11 +61,8 @@ def stored(df: DataFrame, name: str = "facts", path: str | None = None) -> DataF
         fs, done = _file_system(spark, f"{at}/_SUCCESS")
         if plan.sameSemantics(df) and fs.exists(done):
             return spark.read.schema(df.schema).parquet(at)
-    at = path or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at = path or scratch(spark, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(at)
-    if path is None:
-        fs, folder = _file_system(spark, at)
-        fs.deleteOnExit(folder)
-        if key:
-            _WRITTEN.setdefault(key, []).append((df, at))
+    if key:
+        _WRITTEN.setdefault(key, []).append((df, at))
     return spark.read.schema(df.schema).parquet(at)
