@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import dense_index
+from tallyforge.operators import dense_index, sparse_index
 from tallyforge.operators import retrieval as R
 from tallyforge.operators.windows import keep_if_any, merge_tiers
+from tallyforge.sources.files import upsert_index, uuid5
 from tallyforge.sources.roles import table
 from tallyforge.sources.stored import scratch
 
@@ -60,6 +61,24 @@ def dense_search(spark, d):
     return R.dense_top_k(docs, queries.drop("label"), 10)
 
 
+@query(SPARSE + "select query_id, doc_id, score, rank from sp where rank <= 20")
+def posting_search(spark, d):
+    """The same rows as sparse_search from stored posting lists, whose blocks are skipped by their bounds."""
+    path = scratch(spark, "postings")
+    sparse_index.build(sparse_index.with_sparse(table(spark, d, "documents").select("doc_id", "text")), path)
+    return sparse_index.search(spark, path, sparse_index.with_sparse(_asked(spark, d)), 20)[0]
+
+
+@query("select doc_id, lower(md5(text)) as digest from documents where doc_id is not null")
+def keyed_upserts(spark, d):
+    """Documents put into a keyed table in two turns; the second replaces what the first had wrong."""
+    docs = table(spark, d, "documents").filter("doc_id is not null").select("doc_id", uuid5(F.concat(F.lit("doc-"), "doc_id")).alias("key"), F.md5("text").alias("digest"))
+    path = scratch(spark, "keyed")
+    upsert_index(docs.withColumn("digest", F.when(F.col("doc_id") % 3 == 0, "old").otherwise(F.col("digest"))).withColumn("version", F.lit(1)), path, "key", "version", 16)
+    upsert_index(docs.filter("doc_id % 3 = 0").withColumn("version", F.lit(2)), path, "key", "version", 16)
+    return spark.read.parquet(path).select("doc_id", "digest")
+
+
 def _cells(spark, d, exact):
     docs, queries = _vectors(spark, d)
     path = scratch(spark, "cells")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +57,42 @@ def write_index(docs: DataFrame, path: str, previous: str | None = None, most: i
     rows.drop("_new").write.mode("overwrite").partitionBy("doc_type").parquet(path)
 
 
+#: The namespace of names in UUIDs that stand for URLs (a fixed value of RFC 9562).
+URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+ID_BUCKETS = 256
+
+
+def uuid5(name: Column, namespace: str = URL_NAMESPACE) -> Column:
+    """The name-based UUID (version 5, by SHA-1) of a string, as text; null for null."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), name.cast("binary")))
+    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
+    part = lambda at, n: F.substring(h, at, n)
+    return F.when(h.isNotNull(), F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(F.substring(variant, -1, 1), part(18, 3)), part(21, 12)))
+
+
+def upsert_index(rows: DataFrame, path: str, key: str, order: str, buckets: int = ID_BUCKETS) -> int:
+    """Insert or replace rows of a keyed table, which is partitioned by a hash of the key.
+
+    Only the buckets that hold a key of rows are read and written (dynamic partition overwrite); all
+    other files stay as they are. Of rows that repeat a key the one with the greatest ``order`` stays,
+    an older one never replaces a newer one in the table. Rows without a key are left out. Run again after a
+    failure it ends the same. Returns the number of buckets written. ``buckets`` must not change.
+    """
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    exists = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    new = rows.filter(F.col(key).isNotNull()).withColumn("bucket", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int"))
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # ``buckets`` at most
+    if exists and touched:
+        old = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
+        new = old.unionByName(new, allowMissingColumns=True)
+    best = new.groupBy("bucket", key).agg(F.max_by(F.struct(*[c for c in new.columns if c not in ("bucket", key)]), F.col(order)).alias("r"))
+    best = best.select(key, "r.*", "bucket").repartition("bucket")
+    if touched or not exists:
+        best.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return len(touched)
+
+
 def read_checked(spark: SparkSession, path: str, rows: int | None = None, columns: list[str] | None = None) -> DataFrame:
     """A Parquet table that must have the given columns and at least so many rows."""
     df = spark.read.parquet(path)
