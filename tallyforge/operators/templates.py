@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 from tallyforge.functions.dates import freshness
 from tallyforge.functions.numeric import round_half_up
 from tallyforge.functions.text import tokens
+from tallyforge.operators.intervals import interval_join, stacked
 from tallyforge.operators.windows import top_n
 
 
@@ -103,11 +104,16 @@ BRACKETS = 1000
 
 
 def bracket_price(rows: DataFrame, value: Column, brackets: DataFrame) -> DataFrame:
-    """Range join: the first bracket (below, rate) whose upper bound exceeds the value. Brackets are
-    a price list, so the lookup is one expression over them; more than BRACKETS are an error."""
+    """Range join: the first bracket (below, rate) whose upper bound exceeds the value, null where none does.
+    Up to BRACKETS steps are one expression over them; a longer list is joined by intervals."""
     steps = [(r["below"], r["rate"]) for r in brackets.orderBy("below").limit(BRACKETS + 1).collect()]
     if len(steps) > BRACKETS:
-        raise ValueError(f"more than {BRACKETS} brackets")
+        last = brackets.agg(F.max("below")).first()[0]
+        valued, names = rows.withColumn("_value", value), rows.columns
+        listed = stacked(brackets.groupBy("below").agg(F.min("rate").cast("double").alias("rate")), "below")
+        found = interval_join(valued, listed, "_value", "_low", "below").select(*names, "rate")
+        none = valued.filter(F.col("_value").isNull() | (F.col("_value") >= last)).select(*names, F.lit(None).cast("double").alias("rate"))
+        return found.unionByName(none)
     out = F.when(F.lit(False), F.lit(0.0))
     for below, rate in steps:
         out = out.when(value < below, F.lit(float(rate)))

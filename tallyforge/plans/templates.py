@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import sales as S
 from tallyforge.operators import templates as T
+from tallyforge.operators.intervals import interval_join
 from tallyforge.plans.sales import DEALS, LINES, shared_deals, shared_lines
 from tallyforge.sources.roles import catalogue, lines
 from tallyforge.sources.stored import stored
@@ -129,3 +130,18 @@ def bracket_rates(spark, d):
 
     brackets = spark.createDataFrame([(10, 120.0), (20, 180.0), (35, 260.0), (1000, 400.0)], "below int, rate double")
     return T.bracket_price(table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), "p_size"), F.col("p_size"), brackets)
+
+
+@query(
+    """with r as (select l_partkey, l_suppkey, min(l_quantity) as low, case when count(*) > 1 then max(l_quantity) + 1 end as high from lineitem group by 1, 2)
+select l_orderkey, l_linenumber, count(*) as ranges, min(r.l_suppkey) as first_supplier, round(sum(r.low), 2) as lows from lineitem l join r on l.l_partkey = r.l_partkey and l_quantity >= low and (high is null or l_quantity < high) group by 1, 2"""
+)
+def quantity_ranges(spark, d):
+    """Lines and the quantity ranges of their product that they fall in: a range of each supplier, open above
+    where it has delivered the product once."""
+    from tallyforge.sources.roles import table
+
+    lines = table(spark, d, "lineitem")
+    ranges = lines.groupBy("l_partkey", F.col("l_suppkey").alias("supplier")).agg(F.min("l_quantity").alias("low"), F.when(F.count("*") > 1, F.max("l_quantity") + 1).alias("high"))
+    found = interval_join(lines.select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity"), ranges, "l_quantity", "low", "high", ("l_partkey",))
+    return found.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("ranges"), F.min("supplier").alias("first_supplier"), F.round(F.sum("low"), 2).alias("lows"))
