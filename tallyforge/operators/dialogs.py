@@ -72,23 +72,30 @@ def active_rules(rules: DataFrame, groups: DataFrame, n: int = 5) -> DataFrame:
     return top_n(every, ["direction"], [F.desc("priority"), F.col("id")], n)
 
 
+def turn_facts(turns: DataFrame, products: dict[str, str], negation: str) -> DataFrame:
+    """turns with what each says: products named (_n), those within 30 characters after a negation (_r), the
+    last one named and not refused (_c), a size (_s). products: name to pattern."""
+    low = F.lower(F.coalesce("content", F.lit("")))
+    named = F.filter(F.array(*[F.when(low.rlike(p), F.lit(k)) for k, p in products.items()]), lambda x: x.isNotNull())
+    refused = F.filter(F.array(*[F.when(low.rlike(f"(?:{negation}).{{0,30}}(?:{p})"), F.lit(k)) for k, p in products.items()]), lambda x: x.isNotNull())
+    size = F.regexp_extract(low, r"([0-9]+)\s*(?:cm|mm|m)(?![a-z])", 1)
+    out = turns.withColumn("_n", named).withColumn("_r", refused).withColumn("_s", F.when(size != "", size))
+    return out.withColumn("_c", F.when(F.size(F.array_except("_n", "_r")) > 0, F.element_at(F.array_except("_n", "_r"), -1)))
+
+
 def dialog_state(turns: DataFrame, products: dict[str, str], negation: str) -> DataFrame:
     """State of each chat after each user turn: products mentioned so far, the product confirmed last,
     rejected ones (named within 30 characters after a negation), and whether a size is known.
 
-    products: name to pattern. State is a running window over a chat's turns, in JVM expressions.
+    State is a running window over a chat's turns, in JVM expressions; ``streaming.dialogs`` keeps the
+    same state of a stream.
     """
     w = W.partitionBy("chat_id").orderBy("id").rowsBetween(W.unboundedPreceding, 0)
-    low = F.lower(F.coalesce("content", F.lit("")))
-    named = F.filter(F.array(*[F.when(low.rlike(p), F.lit(k)) for k, p in products.items()]), lambda x: x.isNotNull())
-    refused = F.filter(F.array(*[F.when(low.rlike(f"(?:{negation}).{{0,30}}(?:{p})"), F.lit(k)) for k, p in products.items()]), lambda x: x.isNotNull())
-    size = F.regexp_extract(low, r"([0-9]+)\s*(?:cm|mm|m)(?![a-z])", 1)
-    t = turns.withColumn("_n", named).withColumn("_r", refused).withColumn("_s", F.when(size != "", size))
+    t = turn_facts(turns, products, negation)
     # a running maximum for each product: what is kept of earlier turns doesn't grow with them
     so_far = lambda c: F.filter(F.array(*[F.when(F.max(F.array_contains(c, k)).over(w), F.lit(k)) for k in sorted(products)]), lambda x: x.isNotNull())
     out = t.withColumn("mentioned", so_far("_n")).withColumn("rejected", so_far("_r"))
-    last = F.last(F.when(F.size(F.array_except("_n", "_r")) > 0, F.element_at(F.array_except("_n", "_r"), -1)), ignorenulls=True).over(w)
-    return out.withColumn("confirmed", last).withColumn("size", F.last("_s", ignorenulls=True).over(w)).filter("role = 'user'").drop("_n", "_r", "_s")
+    return out.withColumn("confirmed", F.last("_c", ignorenulls=True).over(w)).withColumn("size", F.last("_s", ignorenulls=True).over(w)).filter("role = 'user'").drop("_n", "_r", "_s", "_c")
 
 
 def parsed_query(text: Column, directions: dict[str, tuple]) -> dict[str, Column]:
