@@ -6,10 +6,13 @@ differs between engines.
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Cyrillic letters and their Latin spellings (fixed values of the usual transliteration).
 CYRILLIC = {
@@ -48,6 +51,34 @@ def plain_name(text: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}]+", " "))
 
 
+def in_locale(text: Column, locale: str = "UNICODE", ignore: str = "") -> Column:
+    """The text under an ICU collation: comparisons, groups, joins and orders of it follow the locale.
+    ignore: "CI" for case, "AI" for marks, "CI_AI" for both. Null stays null."""
+    return F.collate(text, f"{locale}_{ignore}" if ignore else locale)
+
+
+def natural_key(text: Column) -> Column:
+    """What orders ids with numbers in them as people do (2 before 10): runs of digits count by value and
+    come before other characters, which count by the root locale without case. Null stays null."""
+    digits = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
+    number = lambda x: F.concat(F.lit("0"), F.lpad(F.length(digits(x)).cast("string"), 6, "0"), digits(x))
+    runs = F.regexp_extract_all(text, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    return F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), number(x)).otherwise(F.concat(F.lit("1"), F.lower(x))))
+
+
+@F.pandas_udf(T.StringType())
+def folded_name(names: pd.Series) -> pd.Series:
+    """Names as they are compared whatever their marks and case: compatibility decomposition, case folding, no
+    marks (so yo is e), anything but letters and digits to one space. Null is empty."""
+
+    def fold(name: str | None) -> str:
+        plain = "".join(c for c in unicodedata.normalize("NFKD", name or "") if not unicodedata.combining(c))
+        kept = "".join(c if c.isalnum() else " " for c in unicodedata.normalize("NFKD", plain.casefold()) if not unicodedata.combining(c))
+        return " ".join(kept.split())
+
+    return names.map({n: fold(n) for n in names.unique()}).where(names.notna(), "")
+
+
 def slug(text: Column, most: int = 60) -> Column:
     """Latin slug: transliterated, other characters to single underscores, cut to ``most``."""
     s = F.lower(F.coalesce(text, F.lit("")))

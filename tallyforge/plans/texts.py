@@ -148,3 +148,23 @@ def event_pivot(spark, d):
 def paged_list(spark, d):
     rows = table(spark, d, "pages").select("page_id", "url", F.length("html").alias("n")).orderBy(F.desc("n"), "page_id").limit(30)
     return rows.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "page_id"))).filter("rank > 10").select("page_id", "url", "rank")  # 30 rows at most
+
+
+_MARKED = "translate(p_name, 'aeo', 'äéo') || case when p_partkey % 2 = 0 then ' A' else ' á' end"
+
+
+@query(
+    f"""with n as (select p_brand as brand, p_partkey as id, {_MARKED} as name, 'P' || p_size || '-' || (p_partkey % 13 + 1) as code from part),
+l as (select *, row_number() over (partition by brand order by strip_accents(lower(name)), id) as rank, regexp_extract(code, 'P([0-9]+)', 1)::int as k1, regexp_extract(code, '-([0-9]+)', 1)::int as k2 from n),
+c as (select *, row_number() over (partition by brand order by k1, k2, id) as place from l)
+select brand, id, name, code, trim(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', ' ', 'g')) as folded, rank, place from c where rank <= 3 or place <= 3"""
+)
+def ordered_names(spark, d):
+    """Names of a brand by locale without case and marks, codes by the numbers in them: the first three of each."""
+    marked = F.concat(F.translate("p_name", "aeo", "äéo"), F.when(F.col("p_partkey") % 2 == 0, " A").otherwise(" á"))
+    code = F.concat(F.lit("P"), F.col("p_size").cast("string"), F.lit("-"), (F.col("p_partkey") % 13 + 1).cast("string"))
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"), marked.alias("name"), code.alias("code"))
+    by = W.partitionBy("brand")
+    rows = rows.withColumn("rank", F.row_number().over(by.orderBy(X.in_locale(F.col("name"), "UNICODE", "CI_AI"), "id")))
+    rows = rows.withColumn("place", F.row_number().over(by.orderBy(X.natural_key(F.col("code")), "id"))).filter("rank <= 3 or place <= 3")
+    return rows.select("brand", "id", "name", "code", X.folded_name("name").alias("folded"), "rank", "place")

@@ -61,3 +61,17 @@ def test_dates(spark):
     df = spark.sql("select timestamp'2024-01-01 00:00' a, timestamp'2024-01-02 12:00' b, cast(null as date) n, date'2023-01-01' d")
     r = df.select(duration_days(F.col("a"), F.col("b")).alias("x"), duration_days(F.col("b"), F.col("a")).alias("y"), freshness(F.col("n"), "2024-01-01").alias("n"), freshness(F.col("d"), "2024-01-01").alias("d")).first()
     assert (r.x, r.y, r.n, r.d) == (2, None, 0.5, 0.5)
+
+
+def test_order_by_locale_and_numbers(spark):
+    rows = spark.createDataFrame([(x,) for x in ["id 10", "id 2", "ID 09", "id", "9", "10", "x1y02", "x1y1", None, "99999999999999999999999"]], "s string")
+    assert [r.s for r in rows.orderBy(X.natural_key(F.col("s"))).collect()] == [None, "9", "10", "99999999999999999999999", "id", "id 2", "ID 09", "id 10", "x1y1", "x1y02"]
+    names = spark.createDataFrame([(x,) for x in ["zebra", "Äpfel", "apfel", "Zoo", "éclair", "ель", "ёлка", "Ёж"]], "s string")
+    assert [r.s for r in names.orderBy(X.in_locale(F.col("s"), "UNICODE", "CI_AI")).collect()][:2] in (["Äpfel", "apfel"], ["apfel", "Äpfel"])
+    assert [r.s for r in names.orderBy(X.in_locale(F.col("s"), "ru")).collect()][:3] == ["Ёж", "ёлка", "ель"]
+    assert names.groupBy(X.in_locale(F.col("s"), "UNICODE", "CI_AI").alias("k")).count().filter("count = 2").count() == 1
+
+
+def test_folded_names(spark):
+    rows = spark.createDataFrame([(x,) for x in ["Ёлка  «Большая»", "Ａｂｃ ﬁ №5", "STRASSE straße", "Café-Crème", "", None, "---"]], "s string")
+    assert [r[0] for r in rows.select(X.folded_name("s")).collect()] == ["елка большая", "abc fi no5", "strasse strasse", "cafe creme", "", "", ""]
