@@ -61,6 +61,38 @@ def page_fields(pages: DataFrame, images: int = 10) -> DataFrame:
     return pages.select("page_id", F.when(h1 != "", h1).otherwise(title).alias("title"), src.alias("images"), links.alias("links"), F.size(F.regexp_extract_all(html, F.lit("(?i)<p[ >]"), 0)).cast("long").alias("paragraphs"))
 
 
+def _meta(html: Column, name: str) -> Column:
+    """The content of the first meta tag of a property or name, whichever order its attributes have."""
+    q = "[\"']"
+    named, content = f"(?:property|name)={q}{name}{q}", f"content={q}([^\"']+)"
+    first, other = F.regexp_extract(html, rf"(?i)<meta\s+{named}\s+{content}", 1), F.regexp_extract(html, rf"(?i)<meta\s+{content}{q}[^>]*?{named}", 1)
+    return F.trim(F.when(first != "", first).otherwise(other))
+
+
+#: A picture's path: the number of the resource, the size it is shown in, the file.
+PICTURE = r"((?:https?://[^/\"'\s]+)?/assets/images/resources/[0-9]+/[A-Za-z0-9_]+/[a-f0-9]+\.(?:webp|jpg|jpeg|png))"
+SMALL, MEDIUM = "/smallwebp/", "/mediumwebp/"
+
+
+def page_media(pages: DataFrame, base: str, images: int = 10) -> DataFrame:
+    """(page_id, title, images) of HTML pages: the first plain h1, else the title of og:title; pictures in order.
+
+    A picture shown in several sizes is taken once, by the number of its resource, in the medium size
+    where the small one comes first. Relative paths become absolute under ``base``. A page without
+    pictures has that of og:image, if any. Null pages have an empty title and no pictures.
+    """
+    html = F.coalesce(F.col("html"), F.lit(""))
+    h1 = F.trim(F.regexp_extract(html, "(?i)<h1[^>]*>([^<]+)</h1>", 1))
+    found = F.regexp_extract_all(html, F.lit(f"(?i){PICTURE}"), 1)
+    number = lambda x: F.regexp_extract(x, "/resources/([0-9]+)/", 1)
+    ids = F.transform(found, number)
+    once = F.filter(found, lambda x, i: F.array_position(ids, number(x)) == i + 1)
+    whole = F.transform(once, lambda x: F.replace(F.when(x.startswith("/"), F.concat(F.lit(base), x)).otherwise(x), F.lit(SMALL), F.lit(MEDIUM)))
+    image = _meta(html, "og:image")
+    media = F.when(F.size(whole) > 0, F.slice(whole, 1, images)).when(image != "", F.array(image)).otherwise(F.array().cast("array<string>"))
+    return pages.select("page_id", F.when(h1 != "", h1).otherwise(_meta(html, "og:title")).alias("title"), media.alias("images"))
+
+
 def deep_urls(pages: DataFrame, least: int, without: list[str]) -> DataFrame:
     """Pages whose path has at least ``least`` parts, none of them excluded."""
     path = F.regexp_extract("url", r"^[a-z]+://[^/?#]+([^?#]*)", 1)

@@ -87,6 +87,24 @@ def page_fields(spark, d):
     return P.page_fields(table(spark, d, "pages")).select("page_id", "title", F.size("links").cast("long").alias("links"), "paragraphs")
 
 
+_HTML = """case when page_id % 2 = 0 then regexp_replace(html, '(?is)<h1[^>]*>.*?</h1>', '', 'g') || '<meta property="og:title" content="Page ' || page_id || '">' else html end
+    || case when page_id % 3 = 0 then '<img src="/assets/images/resources/' || page_id % 7 || '/smallwebp/ab12.webp"><img src="https://x.org/assets/images/resources/' || page_id % 7 || '/mediumwebp/cd.jpg"><img src="https://x.org/assets/images/resources/99/big/ef.png">' when page_id % 3 = 1 then '<meta content="https://x.org/' || page_id || '.png" property="og:image">' else '' end"""
+
+
+@query(
+    f"""with h as (select page_id, {_HTML} as html from pages), t as (select *, trim(regexp_extract(html, '(?i)<h1[^>]*>([^<]+)</h1>', 1)) as h1 from h)
+select page_id, case when h1 <> '' then h1 when page_id % 2 = 0 then 'Page ' || page_id else '' end as title, case when page_id % 3 = 0 then 'https://x.org/assets/images/resources/' || page_id % 7 || '/mediumwebp/ab12.webp|https://x.org/assets/images/resources/99/big/ef.png' when page_id % 3 = 1 then 'https://x.org/' || page_id || '.png' else '' end as images from t"""
+)
+def page_media(spark, d):
+    i = F.col("page_id").cast("string")
+    seven = (F.col("page_id") % 7).cast("string")
+    bare = F.regexp_replace("html", "(?is)<h1[^>]*>.*?</h1>", "")
+    html = F.when(F.col("page_id") % 2 == 0, F.concat(bare, F.lit('<meta property="og:title" content="Page '), i, F.lit('">'))).otherwise(F.col("html"))
+    sizes = F.concat(F.lit('<img src="/assets/images/resources/'), seven, F.lit('/smallwebp/ab12.webp"><img src="https://x.org/assets/images/resources/'), seven, F.lit('/mediumwebp/cd.jpg"><img src="https://x.org/assets/images/resources/99/big/ef.png">'))
+    tail = F.when(F.col("page_id") % 3 == 0, sizes).when(F.col("page_id") % 3 == 1, F.concat(F.lit('<meta content="https://x.org/'), i, F.lit('.png" property="og:image">'))).otherwise("")
+    return P.page_media(table(spark, d, "pages").select("page_id", F.concat(html, tail).alias("html")), "https://x.org").withColumn("images", F.array_join("images", "|"))
+
+
 @query("with p as (select page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) as path from pages), q as (select *, list_filter(string_split(path, '/'), lambda x: x <> '') as parts from p) select page_id, path, len(parts) as depth from q where len(parts) >= 2 and not list_contains(parts, 'fr')")
 def deep_urls(spark, d):
     return P.deep_urls(table(spark, d, "pages"), 2, ["fr"]).select("page_id", "path", "depth")

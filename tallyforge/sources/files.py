@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from tallyforge.operators.texts import deep_urls
 from pyspark.sql import types as T
 
 
@@ -57,6 +59,29 @@ def write_index(docs: DataFrame, path: str, previous: str | None = None, most: i
     rows.drop("_new").write.mode("overwrite").partitionBy("doc_type").parquet(path)
 
 
+#: Parts of paths that are no product pages (fixed values).
+NO_PRODUCTS = ["about", "cabinet", "design", "search", "contacts", "clients", "accounts", "edit", "blog", "news", "faq", "bilboard"]
+
+
+def read_sitemap(spark: SparkSession, path: str, least: int = 3, without: list[str] | None = None) -> DataFrame:
+    """(url, path, depth, file) of the pages that sitemaps in a folder name, each once.
+
+    A page is kept if its path has ``least`` parts and none of ``without`` (NO_PRODUCTS where not given).
+    Files are read by Spark in splits; entries without a location are left out. Of pages that several
+    files name, the file that comes first is given.
+    """
+    entries = spark.read.format("xml").schema("loc string").option("rowTag", "url").option("ignoreNamespace", "true").load(path)
+    rows = entries.select(F.trim("loc").alias("url"), F.input_file_name().alias("file")).filter("url <> ''")
+    rows = rows.groupBy("url").agg(F.min("file").alias("file"))
+    return deep_urls(rows, least, NO_PRODUCTS if without is None else without).select("url", "path", "depth", "file")
+
+
+def read_sitemap_index(spark: SparkSession, path: str) -> DataFrame:
+    """(url) of the sitemaps that index files in a folder name, each once."""
+    entries = spark.read.format("xml").schema("loc string").option("rowTag", "sitemap").option("ignoreNamespace", "true").load(path)
+    return entries.select(F.trim("loc").alias("url")).filter("url <> ''").distinct()
+
+
 #: The namespace of names in UUIDs that stand for URLs (a fixed value of RFC 9562).
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 ID_BUCKETS = 256

@@ -81,3 +81,17 @@ def test_markdown_folder_and_documents(spark, tmp_path):
 def test_markdown_report(spark):
     df = spark.createDataFrame([("a|b", 1), (None, 2)], "k string, n int").orderBy("n")
     assert files.markdown_table(df) == "| k | n |\n|---|---|\n| a\\|b | 1 |\n|  | 2 |\n"
+
+
+def test_sitemaps(spark, tmp_path):
+    head = '<?xml version="1.0" encoding="UTF-8"?>'
+    url = lambda *u: "".join(f"<url><loc> {x} </loc><lastmod>2024-01-01</lastmod></url>" for x in u)
+    space = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    (tmp_path / "maps").mkdir()
+    (tmp_path / "maps" / "a.xml").write_text(f"{head}<urlset {space}>{url('https://x.org/a/b/c/', 'https://x.org/a/b/', 'https://x.org/a/blog/c/d', 'https://x.org/a/b/c?x=/1/2')}</urlset>")
+    (tmp_path / "maps" / "b.xml").write_text(f"{head}<s:urlset xmlns:s='http://www.sitemaps.org/schemas/sitemap/0.9'><s:url><s:loc>https://x.org/a/b/c/</s:loc></s:url><s:url/><s:url><s:loc>https://x.org/q/r/s/t</s:loc></s:url></s:urlset>")
+    rows = {r.url: (r.path, r.depth, r.file.rsplit("/", 1)[1]) for r in files.read_sitemap(spark, str(tmp_path / "maps")).collect()}
+    assert rows == {"https://x.org/a/b/c/": ("/a/b/c/", 3, "a.xml"), "https://x.org/a/b/c?x=/1/2": ("/a/b/c", 3, "a.xml"), "https://x.org/q/r/s/t": ("/q/r/s/t", 4, "b.xml")}
+    assert files.read_sitemap(spark, str(tmp_path / "maps"), 2, []).count() == 5
+    (tmp_path / "index.xml").write_text(f"{head}<sitemapindex {space}><sitemap><loc>https://x.org/a.xml</loc></sitemap><sitemap><loc>https://x.org/a.xml</loc></sitemap></sitemapindex>")
+    assert [r.url for r in files.read_sitemap_index(spark, str(tmp_path / "index.xml")).collect()] == ["https://x.org/a.xml"]
