@@ -99,6 +99,21 @@ def subcategory(ids: Column, name: Column, text: Column, by_id: dict[str, str],
     return F.coalesce(known, rule(name), rule(F.substring(text, 1, 500)))
 
 
+def title_category(title: Column, table=rules.CATEGORIES) -> Column:
+    """(parent, name) of the first category whose patterns hold for a title: all of the first kind, one of the
+    second, none of the third. Null where none does. One expression; Spark stops at the first that holds."""
+    low = _low(title)
+    every = lambda ps, some: reduce(lambda a, b: (a | b) if some else (a & b), [low.rlike(rules.unicode_pattern(p)) for p in ps])
+    found = []
+    for parent, name, all_of, any_of, not_any in table:
+        cond = F.lit(True)
+        for ps, some in ((all_of, False), (any_of, True)):
+            cond = cond & every(ps, some) if ps else cond
+        cond = cond & ~every(not_any, True) if not_any else cond
+        found.append(F.when(cond, F.struct(F.lit(parent).alias("parent"), F.lit(name).alias("name"))))
+    return F.coalesce(*found)
+
+
 def query_subcategory(text: Column, table=rules.SUBCATEGORIES) -> Column:
     """The one subcategory that a request names; null if it names none or several."""
     hits = F.array_distinct(F.filter(F.array(*[F.when(_low(text).rlike(p), F.lit(k)) for p, k in table]), lambda x: x.isNotNull()))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from tallyforge.functions import rules
 from tallyforge.operators import sales as S
 from tallyforge.operators import taxonomy as X
 from tallyforge.plans.sales import DEALS, LINES, shared_deals
@@ -215,3 +218,35 @@ def user_lifecycle(spark, d):
 def user_satisfaction(spark, d):
     e = table(spark, d, "events").select("user_id", F.when(F.col("value") > 20, 1).when(F.col("value") != 0, -1).alias("rating"))
     return X.satisfaction(e, "user_id")
+
+
+#: Words of which the query below makes titles.
+_WORDS = "вывеска световая буквы объемные табличка прозрачная стенд напольный пакет майка логотип бриф ручка флаги меню панель макет дизайн карта пластик кружка стикер наклейка баннер".split()
+
+
+def _category_sql() -> str:
+    """The rule table as one CASE; boundaries by the characters beside a word."""
+    word = "[^\\p{L}\\p{N}_]"
+
+    def plain(p: str) -> str:
+        p = re.sub(r"\\b(?=[\w(])", lambda _: f"(?:^|{word})", p)
+        return p.replace("\\b", f"(?:$|{word})").replace("'", "''")
+
+    hit = lambda p: f"regexp_matches(t, '{plain(p)}')"
+    cases = []
+    for parent, name, all_of, any_of, not_any in rules.CATEGORIES:
+        terms = [*map(hit, all_of), *([f"({' or '.join(map(hit, any_of))})"] if any_of else []), *(f"not {hit(p)}" for p in not_any)]
+        cases.append(f"when {' and '.join(terms)} then '{parent}|{name}'")
+    words = "[" + ", ".join(f"'{w}'" for w in _WORDS) + "]"
+    n = len(_WORDS)
+    return f"with t as (select p_partkey as id, {words}[p_partkey % {n} + 1] || ' ' || {words}[p_size * 7 % {n} + 1] || ' ' || lower(p_name) as t from part) select id, t as title, case {' '.join(cases)} end as category from t"
+
+
+@query(_category_sql())
+def title_categories(spark, d):
+    """Categories of titles by the whole rule table."""
+    words, n = F.array(*map(F.lit, _WORDS)), len(_WORDS)
+    title = F.concat_ws(" ", F.get(words, (F.col("p_partkey") % n).cast("int")), F.get(words, (F.col("p_size") * 7 % n).cast("int")), F.lower("p_name"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), title.alias("title"))
+    found = X.title_category(F.col("title"))
+    return rows.withColumn("c", found).select("id", "title", F.when(F.col("c").isNotNull(), F.concat_ws("|", "c.parent", "c.name")).alias("category"))

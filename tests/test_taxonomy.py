@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.functions import rules as R
 from tallyforge.operators import estimates as E
 from tallyforge.operators import matching as M
 from tallyforge.operators import sales as S
@@ -105,8 +106,7 @@ def _distance(a, b):
     return row[-1]
 
 
-def test_slugs_match_as_if_all_pairs_were_compared(spark, monkeypatch):
-    monkeypatch.setattr(M, "BLOCK", 20)
+def test_slugs_match_as_if_all_pairs_were_compared(spark):
     rng = random.Random(3)
     left, right = list(enumerate(_slugs(120, rng))), list(enumerate(_slugs(60, rng)))
     want = {}
@@ -141,3 +141,37 @@ def test_pipeline_writes_each_table_once(spark, tmp_path):
     assert index.count() == p.documents().count()
     with pytest.raises(ValueError):
         p.run("none")
+
+
+#: A title of each category in order, and others that look like one.
+TITLES = """неон на стену|буквы объёмные|титульная вывеска|световой короб|панель - кронштейн|штендер|3 флага и флаги|оклейка авто|щит рекламный|вывеска с подсветкой
+табличка с аппликацией|гравировка таблички|табличка из оргстекла|табличка на бумаге|табличка|печать: холст|стенд настенный|стенд мобильный|менюхолдер|стойка|press-wall|световая панель|стенд
+визитка|листовки|флайер|брошюра|буклет|открытка|календарь|ежедневник|блокнот|бейдж|бланки|папка а4|планшет|пакет крафтовый|пакет пвд|пакет-майка|пакет|меню кафе|стикер|карточки пластиковые|скотч
+баннер|постер|web-design|моделирование|упаковка|дизайн и макет|полиграфия|логотип, бриф|brand book|логотип|стиль фирмы|иллюстрация|презентация|фотосессия|лендинг|smm
+кружка|термос|бутылка|ручка|футболка|кепка|шоппер|худи|powerbank|магнит|шоколад""".replace("\n", "|").split("|")
+
+
+def test_every_category_has_a_title(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(TITLES)], "i int, t string").select("i", X.title_category(F.col("t")).alias("c")).orderBy("i").collect()
+    assert [(r.c and (r.c.parent, r.c.name)) for r in rows] == [(p, n) for p, n, *_ in R.CATEGORIES]
+
+
+def test_titles_that_are_in_no_category(spark):
+    want = {"вывеска": None, "ручка с логотипом": "Ручки", "авторучка": None, "титульная вывеска, логотип": None, "субменю": None, "": None, None: None, "НЕОН": "Неоновые вывески", "флагман": None}
+    rows = spark.createDataFrame([(t,) for t in want], "t string").select("t", X.title_category(F.col("t"))["name"].alias("c")).collect()
+    assert {r.t: r.c for r in rows} == want
+
+
+#: A text of each row of the tables of subcategories and lead times, in order.
+SUBS = "брошюры|листовок|визитки|этикетка|календарь|каталоги|афиша|наше меню|объёмные буквы|световой короб|неоновый|брандмауэр|баннер|стопер|табличка|поло|термокружка|бейсболок|ручек|usb|шопер|айдентика|фирменный стиль".split("|")
+LEADS = "брендбук|логотип|светова вывеска|стенды|широкоформатная|визиток|флаеры|меню|плёнка|сувениры|упаковок".split("|")
+
+
+def test_every_row_of_the_pattern_tables(spark):
+    def first(table, texts):
+        rule = F.coalesce(*[F.when(F.lower("t").rlike(f"(?iu){p}"), F.lit(i)) for i, (p, _) in enumerate(table)])
+        return [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", rule.alias("x")).orderBy("i").collect()]
+
+    assert first(R.SUBCATEGORIES, SUBS) == list(range(len(R.SUBCATEGORIES)))
+    assert first(R.LEAD_TIMES, LEADS) == list(range(len(R.LEAD_TIMES)))
+    assert first(R.SUBCATEGORIES, ["полотно", "авторучки", "usbx", "субменю", "футболоком"]) == [None] * 5
