@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -115,33 +116,32 @@ def projected_answers(candidates: DataFrame, most: int = 50) -> DataFrame:
     return some.select("query_id", F.size("refs").alias("references"), F.size(F.array_distinct(F.transform("refs", lambda r: r["doc_type"]))).alias("types"), F.exists("refs", lambda r: r["p50"].isNotNull()).alias("priced"))
 
 
+def marker_cut(text: str | None, marker: str, size: int, least: int) -> list[str]:
+    """A text cut before lines that match a marker, short parts joined to the one before, long ones cut at ``size``."""
+    pattern, parts = re.compile(marker), []
+    for line in (text or "").split("\n"):
+        if not parts or pattern.search(line):
+            parts.append([])
+        parts[-1].append(line)
+    out: list[str] = []
+    for part in ("\n".join(p).strip() for p in parts):
+        if not part:
+            continue
+        if out and len(part) < least and len(out[-1]) + len(part) < size:
+            out[-1] += "\n" + part
+        else:
+            out += [part[i : i + size] for i in range(0, len(part), size)]
+    return out
+
+
 def marker_chunks(docs: DataFrame, marker: str, size: int = 1800, least: int = 200) -> DataFrame:
     """(doc_id, chunk, body): texts cut before lines that match a marker; a part under ``least``
     characters joins the one before while both fit ``size``; longer ones are cut at ``size``."""
-    import re
-
-    pattern = re.compile(marker)
-
-    def cut(text: str) -> list[str]:
-        parts: list[list[str]] = []
-        for line in (text or "").split("\n"):
-            if not parts or pattern.search(line):
-                parts.append([])
-            parts[-1].append(line)
-        out: list[str] = []
-        for part in ("\n".join(p).strip() for p in parts):
-            if not part:
-                continue
-            if out and len(part) < least and len(out[-1]) + len(part) < size:
-                out[-1] += "\n" + part
-            else:
-                out += [part[i : i + size] for i in range(0, len(part), size)]
-        return out
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = cut(t)
+                found = marker_cut(t, marker, size, least)
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int64()), pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())], names=["doc_id", "chunk", "body"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, "doc_id bigint, chunk int, body string")

@@ -24,20 +24,22 @@ def heading_chunks(docs: DataFrame, key: str, text: str, least: int = 80) -> Dat
     return rows.select(key, "chunk", title.alias("title"), body.alias("body")).filter(F.length("body") >= least)
 
 
-def _paragraph_chunks(size: int, overlap: int):
-    def cut(text: str) -> list[str]:
-        units = [u.strip() for u in (text or "").split("\n") if u.strip()]
-        out, held = [], []
-        for u in units:
-            if held and sum(map(len, held)) + len(held) + len(u) > size:
-                out.append("\n".join(held))
-                held = held[-overlap:] if overlap and len(held) > overlap else []
-            held.append(u)
-        return out + (["\n".join(held)] if held else [])
+def paragraph_cut(text: str | None, size: int, overlap: int) -> list[str]:
+    """Lines of a text gathered greedily to ``size`` characters, the last ``overlap`` of a chunk opening the next."""
+    units = [u.strip() for u in (text or "").split("\n") if u.strip()]
+    out, held = [], []
+    for u in units:
+        if held and sum(map(len, held)) + len(held) + len(u) > size:
+            out.append("\n".join(held))
+            held = held[-overlap:] if overlap and len(held) > overlap else []
+        held.append(u)
+    return out + (["\n".join(held)] if held else [])
+
 
+def _paragraph_chunks(size: int, overlap: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, i, body) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, body in enumerate(cut(t))]
+            rows = [(k, i, body) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, body in enumerate(paragraph_cut(t, size, overlap))]
             for at in range(0, len(rows), 4096):
                 ids, places, bodies = zip(*rows[at : at + 4096], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(bodies, pa.string())], names=["doc_id", "chunk", "body"])

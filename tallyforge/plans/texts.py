@@ -74,11 +74,31 @@ def heading_chunks(spark, d):
     return out.select("doc_id", "chunk", (F.length("body")).cast("long").alias("n"))
 
 
-@query()
+#: Lines of a document are taken one by one: i is the next line, s the first one of the chunk that is open.
+PARAGRAPHS = """with recursive u as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') as l from documents),
+f(doc_id, i, s, done_from, done_to) as (
+    select doc_id, 1, 1, 0, 0 from u where len(l) > 0
+    union all
+    select doc_id, i + 1, case when over and i - s > 2 then i - 2 when over then i else s end, case when over then s else 0 end, case when over then i - 1 else 0 end
+    from (select f.*, i > s and list_sum(list_transform(l[s:i - 1], lambda x: length(x))) + (i - s) + length(l[i]) > 1000 as over from f join u using (doc_id) where i <= len(l))),
+c as (select doc_id, done_from as a, done_to as b from f where done_to > 0 union all select f.doc_id, s, len(l) from f join u using (doc_id) where i = len(l) + 1)
+select doc_id, (row_number() over (partition by doc_id order by a, b) - 1)::int as chunk, array_to_string(l[a:b], chr(10)) as body from c join u using (doc_id)"""
+
+
+@query(PARAGRAPHS)
 def paragraph_chunks(spark, d):
     return P.paragraph_chunks(table(spark, d, "documents"))
 
 
+@query(PARAGRAPHS)
+def paragraph_chunks_in_sql(spark, d):
+    """The same rows from SQL, by the table function."""
+    from tallyforge.functions.table_functions import register
+
+    register(spark)
+    return spark.sql("select doc_id, c.chunk, c.body from {docs}, lateral paragraph_chunks(text) c", docs=table(spark, d, "documents"))
+
+
 @query(
     """with t as (select page_id, html, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) as h1, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) as tt from pages)
 select page_id, case when h1 <> '' then h1 else tt end as title, len(list_distinct(regexp_extract_all(html, '(?i)<a[^>]+href="([^"]+)"', 1))) as links, len(regexp_extract_all(html, '(?i)<p[ >]')) as paragraphs from t"""

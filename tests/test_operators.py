@@ -152,3 +152,13 @@ def test_weights_count_before_the_best_are_taken(spark):
     want = {q: [d for _, d in sorted((-round(cos(v, x) * weight[k], 6), d) for d, x, k in docs)[:4]] for q, v in queries}
     out = R.volume_biased(spark.createDataFrame(docs, "doc_id long, embedding array<double>, label string"), spark.createDataFrame(queries, "query_id long, embedding array<double>"), "label", 4).orderBy("query_id", "rank").collect()
     assert {q: [r.doc_id for r in out if r.query_id == q] for q in want} == want
+
+
+def test_chunkers_as_table_functions(spark):
+    from tallyforge.functions.table_functions import register
+
+    register(spark)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionAll(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
+    same = lambda sql, df: sorted(map(tuple, spark.sql(sql, docs=docs).collect())) == sorted(map(tuple, df.collect()))
+    assert same("select doc_id, c.* from {docs}, lateral paragraph_chunks(text, 300, 1) c", P.paragraph_chunks(docs, 300, 1))
+    assert same("select doc_id, c.* from {docs}, lateral marker_chunks(text, '^[A-Z][a-z]+ ') c", B.marker_chunks(docs, "^[A-Z][a-z]+ "))

@@ -7,7 +7,7 @@ from tests.compare import duck_rows, spark_rows
 from tallyforge.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-NO_SQL = {"cell_search", "chunk_fields", "diversified_search", "embedded_search", "greedy_prototypes", "marker_chunks", "paragraph_chunks"}
+NO_SQL = {"cell_search", "chunk_fields", "diversified_search", "embedded_search", "greedy_prototypes", "marker_chunks"}
 
 
 def test_every_query_has_sql_or_a_test():
