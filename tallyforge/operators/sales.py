@@ -210,7 +210,8 @@ def pricing(facts: DataFrame) -> DataFrame:
 
 
 def bundle_facts(deals: DataFrame) -> DataFrame:
-    """One row per dataset and set of products; values without barter, samples by value."""
+    """One row per dataset and set of products; values without barter, samples by value. Deals with the
+    columns letter_height_cm and description give the bundle both (see ``bundle_details``)."""
     some = deals.filter(F.col("bundle_key") != "")
     primary = mode(some, ["dataset", "bundle_key"], "primary_direction", F.col("deal_id"), "direction")
     value = F.when(F.col("payment") != BARTER, F.col("line_total"))
@@ -226,7 +227,21 @@ def bundle_facts(deals: DataFrame) -> DataFrame:
     # the five highest deals without collecting a bundle: a group limit runs before the shuffle
     top = top_n(some, ["dataset", "bundle_key"], [F.desc("line_total"), F.col("deal_id")], 5)
     top = top.groupBy("dataset", "bundle_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "deal_id"))), lambda x: x["deal_id"].cast("string")), "|").alias("sample_deals"))
-    return out.join(primary, ["dataset", "bundle_key"], "left").join(top, ["dataset", "bundle_key"], "left")
+    out = out.join(primary, ["dataset", "bundle_key"], "left").join(top, ["dataset", "bundle_key"], "left")
+    if {"letter_height_cm", "description"} <= set(deals.columns):
+        out = out.join(bundle_details(some), ["dataset", "bundle_key"], "left")
+    return out
+
+
+def bundle_details(deals: DataFrame, most: int = 500) -> DataFrame:
+    """(dataset, bundle_key, letter_height_cm, description) of deals with these columns: the most frequent height
+    above 0, of equally frequent ones that of the first deal, and the longest description, of equally long
+    ones that of the first deal, cut to ``most`` characters (empty where none has one)."""
+    by = ["dataset", "bundle_key"]
+    heights = mode(deals.filter("letter_height_cm > 0"), by, "letter_height_cm", F.col("deal_id"), "letter_height_cm")
+    size = F.length(F.coalesce("description", F.lit("")))
+    texts = deals.groupBy(*by).agg(F.min_by(F.substring(F.coalesce("description", F.lit("")), 1, most), F.struct(-size, F.col("deal_id"))).alias("description"))
+    return texts.join(heights, by, "left").select(*by, "letter_height_cm", "description")
 
 
 def client_facts(deals: DataFrame) -> DataFrame:

@@ -294,3 +294,16 @@ def value_buckets(spark, d):
 
     rows = raw_lines(spark, d).select("dataset", "opportunity", "deal_id").distinct()
     return rows.groupBy("dataset", money_bucket(F.col("opportunity"), [50_000.0, 150_000.0], ["low", "middle", "high"]).alias("bucket")).agg(F.count(F.lit(1)).alias("deals"), F.round(F.sum("opportunity"), 2).alias("total"))
+
+
+@query(
+    DEALS
+    + """, h as (select dataset, bundle_key, deal_id, deal_id % 4 * 15 as height, repeat(title || ' ', (deal_id % 3)::int) as text from deals where bundle_key <> ''),
+m as (select dataset, bundle_key, arg_min(height, k) as letter_height_cm from (select dataset, bundle_key, height, row(-count(*), min(deal_id)) as k from h where height > 0 group by 1, 2, 3) group by 1, 2),
+t as (select dataset, bundle_key, arg_min(text, row(-length(text), deal_id)) as description, count(*) as deal_count from h group by 1, 2)
+select dataset, bundle_key, deal_count, letter_height_cm, left(description, 500) as description from t left join m using (dataset, bundle_key)"""
+)
+def described_bundles(spark, d):
+    """Bundles with the height most of their deals have and the longest description of one."""
+    deals = shared_deals(spark, d).withColumn("letter_height_cm", F.col("deal_id") % 4 * 15).withColumn("description", F.expr("repeat(title || ' ', cast(deal_id % 3 as int))"))
+    return S.bundle_facts(deals).select("dataset", "bundle_key", "deal_count", "letter_height_cm", "description")
