@@ -79,6 +79,18 @@ def negatives(positives: DataFrame, pool: DataFrame, n: int, seed: int) -> DataF
     return top_n(pairs, ["query_id", "label"], [h(F.col("query_id"), F.col("doc_id")), F.col("doc_id")], n, "_rank").select("query_id", "doc_id", "label")
 
 
+def distinct_pairs(pairs: DataFrame, query: str, passage: str, order: list[str], n: int = 200) -> DataFrame:
+    """Of pairs whose queries and passages agree in their first ``n`` characters, the first by ``order``.
+
+    Nulls count as empty texts. A map-side aggregation on digests of the prefixes, so texts that very many
+    pairs share are one row a task before they are shuffled. Of equals in ``order`` the least row stays.
+    """
+    start = lambda c: F.sha2(F.substring(F.coalesce(F.col(c).cast("string"), F.lit("")), 1, n), 256)
+    rest = [c for c in pairs.columns if c not in order]
+    best = pairs.groupBy(start(query).alias("_q"), start(passage).alias("_p")).agg(F.min(F.struct(*order, *rest)).alias("r"))
+    return best.select(*[F.col("r")[c].alias(c) for c in pairs.columns])
+
+
 def greedy_prototypes(rows: DataFrame, by: str, least_distance: float, most: int) -> DataFrame:
     """Per label the vectors, by id, that are not too similar to one taken before, ``most`` at most.
 

@@ -149,6 +149,16 @@ def training_pairs(spark, d):
     return E.labelled_pairs(rows, F.when(F.col("score") > 100, 1.0).when(F.col("score") > 50, 0.6).otherwise(0.2), 0.5, 5)
 
 
+@query(
+    """with p as (select doc_id, coalesce(source, '') as q, coalesce(text, '') as t from documents), k as (select *, row_number() over (partition by left(q, 200), left(t, 200) order by doc_id) as rn from p)
+select doc_id, q as query, length(t) as n from k where rn = 1"""
+)
+def distinct_text_pairs(spark, d):
+    """A source and a text as a pair; copies, and texts that go on differently after 200 characters, once."""
+    pairs = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("query"), F.coalesce("text", F.lit("")).alias("passage"))
+    return E.distinct_pairs(pairs, "query", "passage", ["doc_id"]).select("doc_id", "query", F.length("passage").cast("long").alias("n"))
+
+
 @query("select a as artefact, r as rows, l as least, r >= l as ok from (select 'part' as a, (select count(*) from part) as r, 100::bigint as l union all select 'orders', (select count(*) from orders), 1000000000 union all select 'none', 0, 1)")
 def artefact_gates(spark, d):
     counts = None

@@ -162,3 +162,12 @@ def test_chunkers_as_table_functions(spark):
     same = lambda sql, df: sorted(map(tuple, spark.sql(sql, docs=docs).collect())) == sorted(map(tuple, df.collect()))
     assert same("select doc_id, c.* from {docs}, lateral paragraph_chunks(text, 300, 1) c", P.paragraph_chunks(docs, 300, 1))
     assert same("select doc_id, c.* from {docs}, lateral marker_chunks(text, '^[A-Z][a-z]+ ') c", B.marker_chunks(docs, "^[A-Z][a-z]+ "))
+
+
+def test_pairs_are_told_apart_by_their_first_characters(spark):
+    from tallyforge.operators.evaluation import distinct_pairs
+
+    rows = [(1, "q" * 200 + "a", "p"), (2, "q" * 200 + "b", "p"), (3, "q", "p" * 199 + "x"), (4, "q", "p" * 199 + "y"), (5, None, None), (6, "", ""), (5, None, None)]
+    pairs = spark.createDataFrame(rows, "id int, query string, passage string")
+    assert sorted(r.id for r in distinct_pairs(pairs, "query", "passage", ["id"]).collect()) == [1, 3, 4, 5]
+    assert distinct_pairs(pairs, "query", "passage", ["id"]).columns == pairs.columns and distinct_pairs(pairs.limit(0), "query", "passage", ["id"]).count() == 0
