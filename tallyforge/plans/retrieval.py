@@ -83,7 +83,9 @@ def _cells(spark, d, exact):
     docs, queries = _vectors(spark, d)
     path = scratch(spark, "cells")
     dense_index.build(docs, path)
-    return dense_index.search(spark, path, queries, 10, probes=8, exact=exact)
+    # these vectors have no clusters: four fifths of the cells hold 0.95 of the best
+    probes = -(-4 * spark.read.parquet(f"{path}/centres").count() // 5)
+    return dense_index.search(spark, path, queries, 10, probes=8 if exact else probes, exact=exact)
 
 
 @query(DENSE + "select query_id, doc_id, score, rank from de where rank <= 10")
@@ -94,7 +96,7 @@ def cell_search_exact(spark, d):
 
 @query()
 def cell_search(spark, d):
-    """The nearest eight cells of each query; tests/test_dense_index.py measures the recall."""
+    """The nearest cells of each query; tests/test_dense_index.py measures the recall."""
     return _cells(spark, d, False)
 
 

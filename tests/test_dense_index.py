@@ -74,3 +74,10 @@ def test_awkward_rows(spark, tmp_path):
     assert [(r.query_id, r.doc_id, r.score) for r in got] == [(7, 1, 1.0), (7, 1, 1.0), (7, 10, round(2**-0.5, 6))]
     D.build(df.limit(0), str(tmp_path / "b"))
     assert D.search(spark, str(tmp_path / "b"), queries, 3).count() == 0
+
+
+def test_recall_of_the_query(spark):
+    from tallyforge.plans import QUERIES
+
+    for sf in (SF, "/root/testdata/sf0.01"):
+        assert _recall(QUERIES["cell_search"](spark, sf), QUERIES["dense_search"](spark, sf)) >= 0.95
