@@ -216,13 +216,21 @@ class ItemIndex:
         return best
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int | None, str, int]]]:
+    """(item_id, text, how often this row repeats), ITEMS at most: repeated rows are counted before they
+    are dealt, so they can't fill one part."""
     rows = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    rows = rows.groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("n"))
     parts = max(1, -(-rows.count() // (ITEMS // 2)))
     for part in range(parts):
         found = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
         for at in range(0, max(1, len(found)), ITEMS):
-            yield [(r.item_id, r.text) for r in found[at : at + ITEMS]]
+            yield [(r.item_id, r.text, r.n) for r in found[at : at + ITEMS]]
+
+
+def _index(block: list[tuple[int | None, str, int]]) -> ItemIndex:
+    """An index whose item ids are places in the block."""
+    return ItemIndex([(i, text) for i, (_, text, _) in enumerate(block)])
 
 
 def _found(index, least: float, texts: list) -> Iterator[tuple[int, tuple]]:
@@ -246,13 +254,15 @@ def matches(docs: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for block in _blocks(items):
-        shared = spark.sparkContext.broadcast(ItemIndex(block))
+        shared = spark.sparkContext.broadcast((_index(block), [(item_id, n) for item_id, _, n in block]))
 
         def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index, names = shared.value
             for batch in batches:
-                found = list(_found(shared.value, least, batch.column(1).to_pylist()))
                 ids = batch.column(0).to_pylist()
-                cols = list(zip(*[(ids[t], *x) for t, x in found], strict=True)) or [[]] * 5
+                rows = ((ids[t], names[x[0]], x[1:]) for t, x in _found(index, least, batch.column(1).to_pylist()))
+                found = [(doc_id, item_id, *rest) for doc_id, (item_id, n), rest in rows for _ in range(n)]
+                cols = list(zip(*found, strict=True)) or [[]] * 5
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, types, strict=True)], names=["doc_id", "item_id", "start_word", "n_words", "similarity"])
 
@@ -268,7 +278,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8) ->
     arrow_batches(docs.sparkSession)
     at, files = docs.columns.index("text"), Shared(docs.sparkSession, "decontamination")
     for no, block in enumerate(_blocks(items)):
-        shared = docs.sparkSession.sparkContext.broadcast(ItemIndex(block))
+        shared = docs.sparkSession.sparkContext.broadcast(_index(block))
         if no:
             docs = files.save(docs, f"block{no}")
 

@@ -132,3 +132,13 @@ def test_items_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(D, "ITEMS", 16)
     assert sorted((r.doc_id, r.item_id) for r in D.matches(docs, its).collect()) == sorted((i, items[i][0]) for i in range(51))
     assert sorted(r.doc_id for r in D.drop_contaminated(docs, its).collect()) == [99, 100]
+
+
+def test_repeated_items_are_counted_not_gathered(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, "a b c " + words), (2, "nothing of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, words)] * 5 + [(None, words), (None, words), (8, None)], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id or 0) for r in D.matches(docs, items).collect())
+    assert got == [(1, 0)] * 2 + [(1, 7)] * 5
+    assert max(len(b) for b in D._blocks(items)) == 2
+    assert [r.doc_id for r in D.drop_contaminated(docs, items).collect()] == [2]
