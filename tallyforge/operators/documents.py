@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tallyforge.functions.text import joined
 from tallyforge.operators.windows import top_n
@@ -69,7 +70,7 @@ def injected(results: DataFrame, forced: DataFrame, delta: float = 0.01) -> Data
     best = results.groupBy("query_id").agg(F.max("score").alias("_m"))
     up = forced.join(best, "query_id", "left").select("query_id", "doc_id", (F.coalesce("_m", F.lit(0.0)) + delta).alias("score"))
     every = results.select("query_id", "doc_id", "score").unionByName(up).groupBy("query_id", "doc_id").agg(F.round(F.max("score"), 6).alias("score"))
-    return top_n(every, ["query_id"], [F.desc("score"), F.col("doc_id")], 1_000_000)
+    return every.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.col("doc_id"))))
 
 
 def hashed_embeddings(docs: DataFrame, dim: int = 64) -> DataFrame:
