@@ -101,3 +101,9 @@ def with_match_counts(lessons: DataFrame, matches: DataFrame) -> DataFrame:
     n = matches.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
     out = lessons.join(n, "doc_id", "left")
     return out.withColumn("match_count", F.coalesce("match_count", F.lit(0)) + F.coalesce("_n", F.lit(0))).drop("_n")
+
+
+def lessons_by_direction(lessons: DataFrame) -> DataFrame:
+    """(direction, lessons): how many lessons each direction has; those without one are left out."""
+    named = lessons.filter(F.coalesce(F.col("direction"), F.lit("")) != "")
+    return named.groupBy("direction").agg(F.count(F.lit(1)).alias("lessons"))

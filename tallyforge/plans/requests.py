@@ -244,3 +244,10 @@ def roadmap_chunks(spark, d):
     docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.concat(head, body).alias("t"))
     out = chunks_of(docs, "doc_id", "t").filter("section <> 'Полный документ'")
     return out.select("doc_id", "chunk", "title", "section", "category", F.length("body").cast("long").alias("n"))
+
+
+@query("select 'd' || label as direction, count(*) as lessons from embeddings where label > 0 group by 1")
+def lessons_by_direction(spark, d):
+    """Vectors as lessons; label 0 stands for a lesson without direction."""
+    direction = F.when(F.col("label") > 0, F.concat(F.lit("d"), F.col("label").cast("string"))).otherwise("")
+    return A.lessons_by_direction(table(spark, d, "embeddings").select(direction.alias("direction")))
