@@ -1,8 +1,9 @@
 """Similarity joins of names that never compare all pairs.
 
-* ``edit_pairs``: edit similarity by segment signatures. A string of the right side is cut into one
-  segment more than the edits allowed, so one of them lies unchanged in any string near enough, at a
-  place that the edits before and after it bound. Segments and substrings meet in an equi-join.
+* ``edit_pairs``: edit similarity. Short strings meet at what is left of both when the characters are
+  deleted that edits may touch, so beginnings that all of them share make no pairs. Of longer ones the
+  right side is cut into one segment more than the edits allowed, so one of them lies unchanged in any
+  string near enough, at a place that the edits before and after it bound. Both are equi-joins.
 * ``set_pairs``: overlap, Jaccard or containment from a bound on. Tokens are put in one order, rarest
   first; two sets near enough share a token among the first few of each.
 * ``top_sharing``: the best n partners that share a token, without a bound. Rare tokens are joined; of
@@ -24,6 +25,8 @@ from tallyforge.operators.windows import top_n
 
 #: A token that more names of the right side have is frequent.
 FREQUENT = 200
+#: Strings that have more remains after deletions are compared by segments.
+REMAINS = 1000
 
 
 def _edits(least: float, longer: Column) -> Column:
@@ -39,7 +42,9 @@ def edit_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: float,
     """Pairs of rows (all columns of both, whose names differ) whose strings a and b have an edit ratio of at least ``least``
     (above 0.5): 1 - edits / length of the longer. ``distance`` is the number of edits.
 
-    Null and empty strings have no pairs. A right string has a segment row for every number of edits
+    Null and empty strings have no pairs. Pairs whose longer string has at most ``REMAINS`` remains after
+    the deletions allowed meet at one of these; near strings share one, strings of equal beginnings only
+    do not. Longer ones meet at a segment: a right string has a segment row for every number of edits
     that lengths within the ratio allow; a left one has a row for every substring that may be such a
     segment. Both grow with the square of the edits allowed, so this is for names, not for texts.
     Equal strings meet once: rows are brought back to the distinct pairs.
@@ -48,8 +53,49 @@ def edit_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: float,
         raise ValueError("least must lie above 0.5, up to 1: below, a segment can be empty")
     x = left.filter(F.length(a) > 0).select(F.col(a).alias("_x")).distinct()
     y = right.filter(F.length(b) > 0).select(F.col(b).alias("_y")).distinct()
-    lengths = lambda n: F.sequence(F.ceil(n * F.lit(least) - F.lit(1e-6)).cast("int"), F.floor(n / F.lit(least) + F.lit(1e-6)).cast("int"))
+    x, y = spread(x, "_x"), spread(y, "_y")
+    allowed = lambda n: math.floor(n * (1 - least) + 1e-6)
+    short = next(n for n in range(1, 1 << 20) if math.comb(n + 1, allowed(n + 1)) > REMAINS or n == 1 << 10)
+    near = _remains_pairs(x, y, lambda n: F.sequence(n, F.least(F.floor(n / F.lit(least) + F.lit(1e-6)).cast("int"), F.lit(short))), lambda n: _edits(least, n), allowed(short), short, distance)
+    near = near.unionByName(_segment_pairs(x, y, least, short, distance))
+    near = near.filter(F.col(distance) <= _edits(least, F.greatest(F.length("_x"), F.length("_y")))).distinct()
+    return left.join(near, F.col(a) == F.col("_x")).join(right, F.col(b) == F.col("_y")).select(*left.columns, *right.columns, distance)
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of few bytes that are about to be multiplied, dealt to all shuffle partitions."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def _remains(s: Column, k: Column, most: int) -> Column:
+    """The distinct strings left of s (of k characters at least) when k of them, at most ``most``, are deleted."""
+    some, out = F.array(s), F.when(k == 0, F.array(s))
+    for i in range(1, most + 1):
+        some = F.array_distinct(F.flatten(F.transform(some, lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda j: F.concat(F.substr(t, F.lit(1), j - 1), F.substr(t, j + 1))))))
+        out = out.when(k == i, some)
+    return out
+
 
+def _remains_pairs(x: DataFrame, y: DataFrame, longer: Callable[[Column], Column], edits: Callable[[Column], Column], most: int, short: int, distance: str) -> DataFrame:
+    """(_x, _y, distance), maybe repeated, of strings of at most ``short`` characters and ``most`` edits at most.
+
+    ``longer`` gives the lengths that the longer one of a pair with a string of this length may have, ``edits``
+    the edits that such a length allows. Two strings so near keep a common string of that length less the edits.
+    """
+    def rows(s, c):
+        s = s.filter(F.length(c) <= short).withColumn("_l", F.explode(longer(F.length(c))))
+        left_over = F.greatest(F.col("_l") - edits(F.col("_l")), F.lit(0))
+        s = s.withColumn("_d", F.explode(_remains(F.col(c), F.greatest(F.length(c) - left_over, F.lit(0)), most)))
+        return s.select(c, F.col("_l").alias(f"_l{c}"), F.xxhash64("_l", "_d").alias("_k"))
+
+    met = rows(x, "_x").join(rows(y, "_y").hint("merge"), "_k")
+    met = met.filter((F.col("_l_x") == F.col("_l_y")) & (F.col("_l_x") == F.greatest(F.length("_x"), F.length("_y"))))
+    return met.select("_x", "_y", F.levenshtein("_x", "_y", most).cast("int").alias(distance)).filter(F.col(distance) >= 0)
+
+
+def _segment_pairs(x: DataFrame, y: DataFrame, least: float, short: int, distance: str) -> DataFrame:
+    """(_x, _y, distance), maybe repeated, of strings the longer of which has more than ``short`` characters."""
+    lengths = lambda n: F.filter(F.sequence(F.ceil(n * F.lit(least) - F.lit(1e-6)).cast("int"), F.floor(n / F.lit(least) + F.lit(1e-6)).cast("int")), lambda q: F.greatest(q, n) > short)
     m, n = F.length("_y"), F.length("_x")
     start = lambda i, m, k: i * F.floor(m / k).cast("int") + F.greatest(i - (k - m % k), F.lit(0)) + 1
     size = lambda i, m, k: F.floor(m / k).cast("int") + (i >= k - m % k).cast("int")
@@ -69,9 +115,7 @@ def edit_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: float,
     x = x.withColumn("_at", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))))
     x = x.select("_x", _key(F.col("_m"), F.col("_e"), F.col("_i"), F.substr("_x", F.col("_at"), F.col("_s"))).alias("_k")).distinct()
     d = F.levenshtein(F.col("_x"), F.col("_y"), 1 << 20)
-    near = x.join(y, "_k").select("_x", "_y", d.cast("int").alias(distance))
-    near = near.filter(F.col(distance) <= _edits(least, F.greatest(F.length("_x"), F.length("_y")))).distinct()
-    return left.join(near, F.col(a) == F.col("_x")).join(right, F.col(b) == F.col("_y")).select(*left.columns, *right.columns, distance)
+    return x.join(y, "_k").filter(F.greatest(n, m) > short).select("_x", "_y", d.cast("int").alias(distance))
 
 
 # --- sets -----------------------------------------------------------------------------------------

@@ -117,3 +117,16 @@ def test_top_sharing_is_the_best_of_all_pairs(spark, frequent):
         if found:
             want[i] = [(j, v) for v, j in sorted(found, key=lambda x: (-x[0], x[1]))[:3]]
     assert got == want
+
+
+@pytest.mark.parametrize("least", [0.8, 0.9])
+def test_a_beginning_that_all_names_share_makes_no_pairs(spark, least):
+    """2,000 x 500 names that begin alike: the rows that leave the joins, by the plan's metrics."""
+    a = spark.range(2000).select(F.col("id"), F.concat(F.lit("00000"), (F.col("id") * 7919 % 100003).cast("string")).alias("x"))
+    b = spark.range(500).select(F.col("id").alias("other"), F.concat(F.lit("00000"), (F.col("id") * 104729 % 100003).cast("string")).alias("y"))
+    out = S.edit_pairs(a, b, "x", "y", least)
+    got = out.count()
+    want = a.crossJoin(b).filter(F.levenshtein("x", "y") <= F.greatest(F.length("x"), F.length("y")) * (1 - least) + 1e-6).count()
+    assert got == want
+    out.collect()
+    assert max(_join_rows(out)) <= 100_000  # all pairs are a million
