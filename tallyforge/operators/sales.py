@@ -44,10 +44,19 @@ def normalise(lines: DataFrame, goods: DataFrame) -> DataFrame:
 
     Spark picks the join by the catalogue's size; nothing is forced to be broadcast.
     """
+    return normalised(with_goods(lines, goods))
+
+
+def with_goods(lines: DataFrame, goods: DataFrame) -> DataFrame:
+    """Lines with the catalogue's columns; ``_in`` is null for unknown products."""
     g = goods.select("product_id", F.col("name").alias("product_name"), "base_price", "direction", "section", F.lit(True).alias("_in"))
-    out = lines.join(g, "product_id", "left")
+    return lines.join(g, "product_id", "left")
+
+
+def normalised(lines: DataFrame) -> DataFrame:
+    """The second half of ``normalise``, for lines that have the catalogue's columns."""
     manual = F.col("product_id").isNull() | (F.col("product_id") == 0)
-    return out.select(
+    return lines.select(
         "dataset",
         "deal_id",
         "title",

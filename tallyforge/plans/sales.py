@@ -78,8 +78,9 @@ def shared_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shared_deals(spark: SparkSession, d: str) -> DataFrame:
-    """Deal facts for several branches and queries."""
-    return stored(S.deal_facts(shared_lines(spark, d)), "deals")
+    """Deal facts for several branches and queries: from lines that lie by deal, not from the written ones,
+    which would be shuffled again."""
+    return stored(S.deal_facts(lines(spark, d)), "deals")
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
