@@ -5,6 +5,8 @@ Candidates are rows (query_id, rank, ...) of retrieved documents or catalogue fa
 
 from __future__ import annotations
 
+import math
+import os.path
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tallyforge.functions.numeric import round_money
-from tallyforge.operators.similarity import edit_pairs
+from tallyforge.operators.similarity import REMAINS, edit_pairs, spread, within_edits
 from tallyforge.operators.windows import top_n
 from tallyforge.sources.stored import stored
 
@@ -138,31 +140,44 @@ def slug_matches(left: DataFrame, right: DataFrame, least: float = 0.55, inside:
     """(id, other, kind, score): exact slug (0), else one of at least ``shortest`` characters contained
     in the other and ``inside`` of its length (1), else edit similarity from ``least`` on (2).
 
-    Slugs are compared once each. A contained slug has all its trigrams in the other: pairs meet at its
-    rarest one. Edit similarity is asked only for slugs that found nothing so far, by segments
-    that near slugs share.
+    Slugs are compared once each. A contained slug equals a part of the other: parts of its length are
+    joined. Edit similarity is asked only for slugs that found nothing so far, with one edit more each
+    time: a slug is done when no pair with more edits can reach its best score, so slugs that nearly all
+    resemble each other meet few. What is left beyond short strings is compared by segments.
     """
     a, b = left.select("slug").distinct(), right.groupBy("slug2").agg(F.min("other").alias("other"))
     n, m = F.length("slug"), F.length("slug2")
     score = 1 - F.levenshtein("slug", "slug2") / F.greatest(n, m)
     exact = a.join(b, F.col("slug") == F.col("slug2")).select("slug", "other", F.lit(0).alias("kind"), F.lit(1.0).alias("score"))
-    within = lambda x, y: F.col(y).contains(F.col(x)) & (F.length(x) >= shortest) & (F.length(x) >= inside * F.length(y)) & (F.col(x) != F.col(y))
-    held = _containing(a, b, "slug", "slug2", within("slug", "slug2")).unionByName(_containing(b, a, "slug2", "slug", within("slug2", "slug")))
+    held = _containing(a, b, "slug", "slug2", inside, shortest).unionByName(_containing(b, a, "slug2", "slug", inside, shortest))
     held = held.select("slug", "other", F.lit(1).alias("kind"), F.round(F.least(score + 0.2, F.lit(1.0)), 4).alias("score"))
     first = lambda df: df.groupBy("slug").agg(F.min_by(F.struct("other", "kind", "score"), F.struct("kind", -F.col("score"), "other")).alias("r"))
     found = stored(first(exact.unionByName(held)), "slugs")
-    rest = a.join(found.select("slug"), "slug", "left_anti")
-    near = edit_pairs(rest, b, "slug", "slug2", least).filter(score >= least)
+    rest = stored(a.join(found.select("slug"), "slug", "left_anti"), "slugs")
+    ends = a.unionByName(b.select(F.col("slug2").alias("slug"))).agg(F.min("slug"), F.max("slug"), F.max(F.length("slug"))).first()
+    common, longest = len(os.path.commonprefix([ends[0] or "", ends[1] or ""])), ends[2] or 0
+    edits = 0
+    while math.comb(longest - common, edits + 1) <= REMAINS and edits + 1 <= longest * (1 - least) + 1e-6 and not rest.isEmpty():
+        edits += 1
+        near = within_edits(rest, b, "slug", "slug2", edits, common).filter(score >= least)
+        near = first(near.select("slug", "other", F.lit(2).alias("kind"), F.round(score, 4).alias("score")))
+        near = stored(near.filter(F.col("r.score") > F.round(1 - (edits + 1) / F.greatest(n, F.lit(longest)), 4)), "slugs")
+        found, rest = found.unionByName(near), stored(rest.join(near.select("slug"), "slug", "left_anti"), "slugs")
+    if edits + 1 <= longest * (1 - least) + 1e-6 and not rest.isEmpty():
+        near = edit_pairs(rest, b, "slug", "slug2", least).filter(score >= least)
+    else:  # with all edits that the ratio allows, what was seen is all there is
+        near = within_edits(rest, b, "slug", "slug2", edits, common).filter(score >= least)
     found = found.unionByName(first(near.select("slug", "other", F.lit(2).alias("kind"), F.round(score, 4).alias("score"))))
     return left.select("id", "slug").join(found, "slug").select("id", "r.*")
 
 
-def _containing(short: DataFrame, long: DataFrame, x: str, y: str, cond: Column) -> DataFrame:
-    """Pairs in which x of short lies in y of long, met at the trigram of x that is rarest in long."""
-    grams = lambda df, c: df.withColumn("_g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(3))))))
-    there = grams(long, y)
-    often = there.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    own = [F.col(c) for c in short.columns]
-    # a gram that long has nowhere rules its slug out: it counts 0 and then meets nothing
-    rarest = grams(short, x).join(often, "_g", "left").groupBy(*own).agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)), "_g")).alias("_g"))
-    return rarest.join(there, "_g").filter(cond).drop("_g")
+def _containing(short: DataFrame, long: DataFrame, x: str, y: str, inside: float, shortest: int) -> DataFrame:
+    """Pairs in which x of short, of at least ``shortest`` characters and ``inside`` of the other's length, is
+    a part of y of long and not all of it: met at that part, so slugs that only begin alike never meet.
+    A slug has as many parts as the square of its length: this is for names."""
+    n = F.length(y)
+    least = F.greatest(F.lit(max(shortest, 1)), F.ceil(n * F.lit(inside) - F.lit(1e-9)).cast("int"))
+    parts = spread(long, y).filter(n > least).withColumn("_n", F.explode(F.sequence(least, n - 1)))
+    parts = parts.withColumn("_k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n - F.col("_n") + 1), lambda i: F.xxhash64(F.substr(F.col(y), i, F.col("_n")))))))
+    cond = F.col(y).contains(F.col(x)) & (F.length(x) >= shortest) & (F.length(x) >= inside * n) & (F.col(x) != F.col(y))
+    return short.withColumn("_k", F.xxhash64(x)).join(parts.hint("merge"), "_k").filter(cond).drop("_k", "_n")

@@ -93,6 +93,15 @@ def _remains_pairs(x: DataFrame, y: DataFrame, longer: Callable[[Column], Column
     return met.select("_x", "_y", F.levenshtein("_x", "_y", most).cast("int").alias(distance)).filter(F.col(distance) >= 0)
 
 
+def within_edits(left: DataFrame, right: DataFrame, a: str, b: str, edits: int, common: int = 0) -> DataFrame:
+    """Pairs of rows (all columns of both) of distinct strings a and b with at most ``edits`` edits between
+    them. The first ``common`` characters must be the same in all strings; they are left out."""
+    x = spread(left.select(F.substr(a, F.lit(common + 1)).alias("_x")).distinct(), "_x")
+    y = spread(right.select(F.substr(b, F.lit(common + 1)).alias("_y")).distinct(), "_y")
+    near = _remains_pairs(x, y, lambda n: F.sequence(n, n + edits), lambda n: F.lit(edits), edits, 1 << 30, "_edits").select("_x", "_y").distinct()
+    return left.join(near, F.substr(a, F.lit(common + 1)) == F.col("_x")).join(right, F.substr(b, F.lit(common + 1)) == F.col("_y")).select(*left.columns, *right.columns)
+
+
 def _segment_pairs(x: DataFrame, y: DataFrame, least: float, short: int, distance: str) -> DataFrame:
     """(_x, _y, distance), maybe repeated, of strings the longer of which has more than ``short`` characters."""
     lengths = lambda n: F.filter(F.sequence(F.ceil(n * F.lit(least) - F.lit(1e-6)).cast("int"), F.floor(n / F.lit(least) + F.lit(1e-6)).cast("int")), lambda q: F.greatest(q, n) > short)

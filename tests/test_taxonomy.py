@@ -175,3 +175,19 @@ def test_every_row_of_the_pattern_tables(spark):
     assert first(R.SUBCATEGORIES, SUBS) == list(range(len(R.SUBCATEGORIES)))
     assert first(R.LEAD_TIMES, LEADS) == list(range(len(R.LEAD_TIMES)))
     assert first(R.SUBCATEGORIES, ["полотно", "авторучки", "usbx", "субменю", "футболоком"]) == [None] * 5
+
+
+def test_slugs_that_begin_alike_meet_few(spark):
+    """Of 3,000 x 400 slugs of one beginning, nearly all of which are near enough, few pairs are compared."""
+    from tests.test_similarity import _join_rows
+
+    a = spark.range(3000).select("id", F.concat(F.lit("customer_"), (F.col("id") * 7919 % 100003).cast("string")).alias("slug"))
+    b = spark.range(400).select(F.col("id").alias("other"), F.concat(F.lit("customer_"), (F.col("id") * 104729 % 100003).cast("string")).alias("slug2"))
+    for x, y, s, t in ((a, b, "slug", "slug2"), (b, a, "slug2", "slug")):
+        held = E._containing(x, y, s, t, 0.4, 4)
+        held.collect()
+        assert max(_join_rows(held)) <= 4000
+    near = E.within_edits(a, b, "slug", "slug2", 1, 9)
+    assert near.count() == a.crossJoin(b).filter(F.levenshtein("slug", "slug2") <= 1).count()
+    near.collect()
+    assert max(_join_rows(near)) <= 40_000  # all pairs are 1.2 million
