@@ -210,7 +210,8 @@ y as (select primary_direction, string_agg(direction || ' (' || floor(n / deal_c
 select primary_direction, deal_count, floor(med + 0.5)::bigint as median_value, floor(av + 0.5)::bigint as avg_value, core_products, optional_products, coalesce(cross_directions, '') as cross_directions, '' as top_materials from st left join pr2 using (primary_direction) left join y using (primary_direction)"""
 )
 def service_composition(spark, d):
-    rows = shared_lines(spark, d)
+    # three branches read the lines of orders: written with their columns, as they lie by deal
+    rows = stored(lines(spark, d).filter("dataset = 'orders'").select("dataset", "deal_id", "product_name", "direction", "line_total"), "order_lines")
     return S.service_composition(rows, shared_deals(spark, d))
 
 
