@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators import sales as S
 from tallyforge.operators import templates as T
 from tallyforge.operators.intervals import interval_join
-from tallyforge.plans.sales import DEALS, LINES, shared_deals, shared_lines
+from tallyforge.plans.sales import DEALS, LINES, shared_deals
 from tallyforge.sources.roles import catalogue, lines
 from tallyforge.sources.stored import stored
 
@@ -84,10 +84,12 @@ ps as (select cr.category, cr.deal_id, cr.product_key, cr.product_name, cr.quant
 
 
 def _positions(spark, d):
-    rows = shared_lines(spark, d)
     deals = shared_deals(spark, d).withColumn("category", F.col("primary_direction"))
     canonical = stored(T.canonical_deals(deals, "category"), "canonical")
-    rows = stored(rows.join(deals.select("dataset", "deal_id", "category"), ["dataset", "deal_id"]), "category_lines")
+    # lines lie by deal_id: joined by it alone they stay where they are
+    rows = lines(spark, d).select("dataset", "deal_id", "line", "product_key", "product_name", "price", "quantity", "ship")
+    rows = rows.join(deals.select("deal_id", F.col("dataset").alias("_in"), "category"), "deal_id").filter(F.col("dataset") == F.col("_in")).drop("_in")
+    rows = stored(rows, "category_lines")
     return T.canonical_positions(rows, canonical, "category", AS_OF)
 
 
