@@ -23,3 +23,14 @@ def test_deals_are_grouped_where_their_lines_were_joined(spark):
         assert deals.agg(F.sum("line_count")).first()[0] == rows.count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lines_stay_where_they_lie_for_a_join_by_deal(spark):
+    """One more shuffle for the deals, none for the lines; a join by dataset and deal shuffles both."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = lines(spark, SF).select("dataset", "deal_id", "line")
+        deals = rows.select("deal_id", F.col("dataset").alias("_in")).limit(50)
+        assert _exchanges(rows.join(deals, "deal_id")) - _exchanges(deals) == 4 + 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
