@@ -65,10 +65,17 @@ def analog_prices(targets: DataFrame, analogs: DataFrame, prices: DataFrame) ->
 def parametric(components: DataFrame, pools: DataFrame) -> DataFrame:
     """Sum over a request's components (query_id, component, quantity) of the best price of its pool
     (component, low, high, price, confidence): the range that holds the quantity, else the nearest.
-    Confidence is weighted by value; the band is 10, 25 or 35 % by confidence."""
+    Confidence is weighted by value; the band is 10, 25 or 35 % by confidence.
+
+    Ranges are looked up once for each distinct component and quantity, so requests that ask for equal
+    amounts are not multiplied by their pool; requests meet only the range found."""
+    components = stored(components.select("query_id", "component", "quantity").distinct(), "components")
+    asked = components.select("component", "quantity").distinct()
     gap = F.greatest(F.col("low") - F.col("quantity"), F.col("quantity") - F.col("high"), F.lit(0.0))
-    rows = components.join(pools, "component").withColumn("gap", gap)
-    best = rows.groupBy("query_id", "component", "quantity").agg(F.min_by(F.struct("price", "confidence"), F.struct("gap", "price", "confidence")).alias("r"))
+    rows = asked.join(pools, "component").withColumn("gap", gap)
+    best = rows.groupBy("component", "quantity").agg(F.min_by(F.struct("price", "confidence"), F.struct("gap", "price", "confidence")).alias("r"))
+    best = stored(best, "ranges").alias("b")
+    best = components.alias("a").join(best, (F.col("a.component") == F.col("b.component")) & F.col("a.quantity").eqNullSafe(F.col("b.quantity"))).select("query_id", "a.quantity", "r")
     value = F.col("r.price") * F.col("quantity")
     out = best.groupBy("query_id").agg(F.sum(value).alias("t"), F.sum(value * F.col("r.confidence")).alias("w"), F.count(F.lit(1)).alias("components"))
     conf = F.when(F.col("t") > 0, F.col("w") / F.col("t")).otherwise(0.0)

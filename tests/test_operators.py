@@ -171,3 +171,21 @@ def test_pairs_are_told_apart_by_their_first_characters(spark):
     pairs = spark.createDataFrame(rows, "id int, query string, passage string")
     assert sorted(r.id for r in distinct_pairs(pairs, "query", "passage", ["id"]).collect()) == [1, 3, 4, 5]
     assert distinct_pairs(pairs, "query", "passage", ["id"]).columns == pairs.columns and distinct_pairs(pairs.limit(0), "query", "passage", ["id"]).count() == 0
+
+
+def test_equal_requests_are_priced_once(spark, monkeypatch):
+    """1,000 requests of two amounts are two ranges looked up; missing amounts are kept."""
+    from tallyforge.operators import estimates as E
+
+    pools = spark.createDataFrame([("a", 10.0 * i, 10.0 * i + 9, 2.0 + i, 0.9) for i in range(50)], "component string, low double, high double, price double, confidence double")
+    asked = spark.createDataFrame([(i, "a", 5.0 if i % 2 else 1000.0) for i in range(1000)] + [(1000, "a", None)], "query_id long, component string, quantity double")
+    rows = {}
+
+    def noted(df, name):
+        rows[name] = df.count()
+        return df
+
+    monkeypatch.setattr(E, "stored", noted)
+    out = {r.query_id: (r.total, r.components) for r in E.parametric(asked, pools).collect()}
+    assert rows["ranges"] == 3
+    assert out == {i: (10.0 if i % 2 else 51000.0, 1) for i in range(1000)} | {1000: (None, 1)}
