@@ -51,11 +51,16 @@ def without_collisions(results: DataFrame, request: str, text: str, by: list[str
     """Results (by, request text, document text, ...) without those that name a product which the request
     is often mistaken for, and not the one it asks for; where that would leave a request without any
     result, all its results stay. Null texts name nothing."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    asked = stems_in(F.col(request), tuple(table))
-    wrong = F.flatten(F.filter(F.array(*[F.when(F.array_contains(asked, k), F.array(*[F.lit(x) for x in v])) for k, v in table.items()]), lambda x: x.isNotNull()))
-    passes = F.exists(asked, lambda s: F.contains(low, s)) | ~F.exists(wrong, lambda s: F.contains(low, s))
-    return keep_if_any(results, by, passes, F.lit(0), None)
+    # each text is lowered once, and only stems that a request names are looked for in its documents
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    rows = results.withColumns({"_asked": low(request), "_said": low(text)})
+    some = lambda conds: reduce(lambda a, b: a | b, conds, F.lit(False))
+    said = lambda stems: some([F.contains("_said", F.lit(s)) for s in stems])
+    named = {k: F.contains("_asked", F.lit(k)) for k in table}
+    passes = some([named[k] & said([k]) for k in table]) | ~some([named[k] & said(v) for k, v in table.items()])
+    # texts don't travel to the window: what they say of a row is one column
+    rows = rows.withColumn("_fits", passes).drop("_asked", "_said")
+    return keep_if_any(rows, by, F.col("_fits"), F.lit(0), None).drop("_fits")
 
 
 def strategy(intent: Column, default_k: int, table: dict[str, tuple[tuple[str, ...], int]] = STRATEGIES) -> Column:

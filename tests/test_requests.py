@@ -63,6 +63,13 @@ def test_collisions_drop_what_the_request_does_not_mean(spark):
     assert R.without_collisions(df.limit(0), "request", "doc", ["query_id"]).count() == 0
 
 
+def test_collisions_leave_texts_behind_before_requests_meet(spark):
+    """What is shuffled says whether a row fits; texts are read where they lie."""
+    df = spark.createDataFrame([(1, 7, "буклеты", "листовки")], "query_id int, doc_id int, request string, doc string")
+    plan = R.without_collisions(df, "request", "doc", ["query_id"]).select("query_id", "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("lower(") and plan.count("lower(") == 2
+
+
 def test_strategies_choose_kinds_and_numbers(spark):
     assert _each(spark, lambda t: R.strategy(t, 20)["k"], *I.STRATEGIES, "other", None) == [k for _, k in I.STRATEGIES.values()] + [20, 20]
     assert _each(spark, lambda t: R.strategy(t, 10)["k"], "smeta_request", "out_of_scope") == [10, 5]
