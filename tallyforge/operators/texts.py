@@ -24,25 +24,34 @@ def heading_chunks(docs: DataFrame, key: str, text: str, least: int = 80) -> Dat
     return rows.select(key, "chunk", title.alias("title"), body.alias("body")).filter(F.length("body") >= least)
 
 
+#: What Unicode calls white space: what is cut from the ends of a section.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def roadmap_chunks(docs: DataFrame, file: str, text: str, least: int = 50, prefix: str = "Дорожная карта услуги:", whole: str = "Полный документ") -> DataFrame:
     """(file, chunk, title, section, category, service, body): sections of a roadmap (lines that start with
     two hashes) of ``least`` characters and more, numbered in order, each with what the document says of
     itself: its title (first heading without ``prefix``, else the file's name) and the category and service
     of its first 15 lines, null where it states none. A text without such sections is one chunk named
     ``whole``, if long enough. Null texts have none. One expression per row, nothing is gathered."""
-    t = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n")
-    edge = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    t = F.col("_t")
+    edge = lambda c: F.btrim(c, F.lit(WHITE))
     line = lambda pattern: F.nullif(F.rtrim(F.regexp_extract(t, pattern, 1)), F.lit(""))
     stated = lambda name: F.nullif(F.regexp_replace(F.regexp_extract(F.substring_index(t, "\n", 15), rf"(?m)^\*[^\S\n]*\*\*{name}:\*\*[^\S\n]*(.+?)[^\S\n]*\\*[^\S\n]*$", 1), r"\\+$", ""), F.lit(""))
     title = F.trim(F.regexp_replace(line(r"(?m)^#[^\S\n]+\**(.+?)\**[^\S\n]*$"), f"^{prefix}", ""))
     cut = F.split(F.concat(F.lit("\n"), t), r"\n(?=##[^\S\n]+\S)")
-    parts = F.slice(cut, F.lit(2), F.size(cut))
+    parts = F.slice("_cut", F.lit(2), F.size("_cut"))
     section = lambda p: F.replace(F.trim(F.regexp_extract(p, r"^##[^\S\n]+\**([^\n]+?)\**[^\S\n]*(?:\n|$)", 1)), F.lit("\\."), F.lit("."))
     body = lambda p: edge(F.regexp_replace(F.regexp_replace(p, r"^[^\n]*(?:\n|$)", ""), r"(?m)^#[^\S\n]+[^\n]*(?:\n|$)", ""))
     chunks = F.filter(F.transform(parts, lambda p: F.struct(section(p).alias("section"), body(p).alias("body"))), lambda c: F.length(c["body"]) >= least)
     alone = F.filter(F.array(F.struct(F.lit(whole).alias("section"), edge(t).alias("body"))), lambda c: F.length(c["body"]) >= least)
     name = F.coalesce(title, F.regexp_replace(F.col(file).cast("string"), r"\.md", ""))
-    rows = docs.select(file, name.alias("title"), stated("Категория").alias("category"), stated("Услуга").alias("service"), F.posexplode(F.when(F.size(chunks) > 0, chunks).otherwise(alone)).alias("chunk", "_c"))
+    # a column of its own for each step: steps that are used twice are worked out once
+    rows = docs.withColumn("_t", F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n"))
+    rows = rows.select(file, name.alias("title"), stated("Категория").alias("category"), stated("Услуга").alias("service"), "_t", cut.alias("_cut"))
+    rows = rows.withColumn("_chunks", chunks).withColumn("_all", F.when(F.size("_chunks") > 0, F.col("_chunks")).otherwise(alone))
+    # an outer explode: for another one Spark would cut the texts beforehand as well, to see which have sections
+    rows = rows.select(file, "title", "category", "service", F.posexplode_outer("_all").alias("chunk", "_c")).filter("_c is not null")
     return rows.select(file, "chunk", "title", F.col("_c.section").alias("section"), "category", "service", F.col("_c.body").alias("body"))
 
 

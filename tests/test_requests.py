@@ -149,6 +149,19 @@ def test_roadmaps(spark):
     ]
 
 
+def test_roadmap_texts_are_cut_once(spark):
+    """Each expression over the text stands once in the plan; white space of all kinds is cut from the ends."""
+    from tallyforge.operators.texts import WHITE, roadmap_chunks
+
+    docs = spark.createDataFrame([("a.md", "## 1\n" + WHITE + "а" * 50 + WHITE), ("b.md", WHITE + "b" * 50 + WHITE)], "file string, text string")
+    out = roadmap_chunks(docs, "file", "text")
+    assert sorted(r.body for r in out.collect()) == ["b" * 50, "а" * 50]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\\n(?=##") == 1 and plan.count("transform(") == 1
+    every = spark.createDataFrame([(chr(i),) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000], "c string")
+    assert {r.c for r in every.filter(F.col("c").rlike(r"(?U)^\s$")).collect()} == set(WHITE)
+
+
 def test_wider_deals(spark):
     from tallyforge.operators.fact_details import deal_details
 
