@@ -189,3 +189,19 @@ def test_equal_requests_are_priced_once(spark, monkeypatch):
     out = {r.query_id: (r.total, r.components) for r in E.parametric(asked, pools).collect()}
     assert rows["ranges"] == 3
     assert out == {i: (10.0 if i % 2 else 51000.0, 1) for i in range(1000)} | {1000: (None, 1)}
+
+
+def test_sparse_search_equals_plain_scores(spark):
+    """Batches of many shapes, ties and scores that hardly differ: the same best as by sorting all."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    k, queries, docs = 5, 13, 400
+    s = np.round(rng.integers(0, 6, (docs, queries)) * rng.choice([0.0, 1.0, 1.0000004], (docs, queries)), 7)
+    ids = rng.permutation(docs).astype(np.int64)
+    best = np.full((queries, k), -np.inf), np.zeros((queries, k), np.int64)
+    for at in range(0, docs, 37):
+        best = R._merged(*best, s[at : at + 37], ids[at : at + 37])
+    for q in range(queries):
+        want = sorted(((-np.round(s[i, q], 6), ids[i]) for i in range(docs) if s[i, q] > 0))[:k]
+        assert list(zip(-best[0][q], best[1][q], strict=True)) == want
