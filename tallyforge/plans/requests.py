@@ -12,7 +12,7 @@ from tallyforge.operators import requests as A
 from tallyforge.operators.retrieval import dense_top_k
 from tallyforge.operators.texts import roadmap_chunks as chunks_of
 from tallyforge.plans import retrieval, sales
-from tallyforge.sources.roles import catalogue, table
+from tallyforge.sources.roles import catalogue, lines, table
 
 Q: dict = {}
 O: dict = {}
@@ -51,9 +51,10 @@ sm as (select dataset, deal_id, string_agg(name, ' | ' order by rn) as sample_pr
     + "select dataset, deal_id, title, client_key, begin_at as begin, close_at as close, line_count, line_total, primary_direction, case when client_key = '__MISSING_CLIENT__' then 'missing' else 'known' end as client_status, year(close_at) as close_year, letter_height_cm, sample_products from deals join sm using (dataset, deal_id) left join hs using (dataset, deal_id)"
 )
 def deal_details(spark, d):
-    """Names carry a size by their catalogue id, so that deals have heights."""
+    """Names carry a size by their catalogue id, so that deals have heights. Lines are read as they lie by
+    deal, not as they were written, so that the names of a deal are combined without a shuffle."""
     sized = F.concat("product_name", F.lit(" "), F.pmod("product_id", F.lit(40)) + 10, F.lit(" cm"))
-    out = D.deal_details(sales.shared_lines(spark, d).withColumn("product_name", sized), sales.shared_deals(spark, d))
+    out = D.deal_details(lines(spark, d).withColumn("product_name", sized), sales.shared_deals(spark, d))
     return out.select("dataset", "deal_id", "title", "client_key", "begin", "close", "line_count", "line_total", "primary_direction", "client_status", "close_year", "letter_height_cm", "sample_products")
 
 

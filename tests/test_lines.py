@@ -34,3 +34,16 @@ def test_lines_stay_where_they_lie_for_a_join_by_deal(spark):
         assert _exchanges(rows.join(deals, "deal_id")) - _exchanges(deals) == 4 + 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_names_of_a_deal_are_combined_where_its_lines_lie(spark):
+    """The wider deals shuffle lines for their two joins only; what a deal's names say is one row when it travels."""
+    from tallyforge.plans import QUERIES
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["deal_details"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        moved = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+        assert moved and not any("product_name#" in x for x in moved), moved
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
