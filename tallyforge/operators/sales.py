@@ -323,21 +323,46 @@ def qualifying(deals: DataFrame, dataset: str, barter: bool) -> DataFrame:
 
 
 def deal_profiles(lines: DataFrame, deals: DataFrame, dataset: str = "orders") -> DataFrame:
-    """Top ten components, the share of each direction and the materials of every qualifying deal."""
-    chosen = qualifying(deals, dataset, barter=False).select("deal_id", F.col("line_total").alias("deal_total"), "primary_direction", "unique_products")
-    rows = lines.filter(F.col("dataset") == dataset).join(chosen, "deal_id")
-    top = top_n(rows, ["deal_id"], [F.desc("line_total"), F.col("line")], 10)
-    item = F.concat("product_name", F.lit(" x"), F.col("quantity").cast("long"), F.lit(" = "), F.floor(F.col("line_total") + 0.5).cast("long"))
-    parts = top.groupBy("deal_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", item.alias("s")))), lambda x: x["s"]), "; ").alias("components"))
+    """Top ten components, the share of each direction and the materials of every qualifying deal.
+
+    Totals are added from the highest line down, so a share that lies on a half is rounded the same way
+    however the lines are dealt to tasks. All windows and groups are of one deal: lines travel once.
+    """
+    about = ["deal_total", "primary_direction", "unique_products"]
+    chosen = qualifying(deals, dataset, barter=False).select("deal_id", F.col("line_total").alias("deal_total"), *about[1:])
     d = F.when(F.col("direction").startswith("__"), "other").otherwise(F.col("direction"))
-    per = rows.groupBy("deal_id", d.alias("d")).agg(F.sum("line_total").alias("t"))
-    all_ = rows.groupBy("deal_id").agg(F.sum("line_total").alias("g"), _materials(F.collect_set(materials(F.col("product_name")))).alias("materials"))
-    share = F.concat("d", F.lit(": "), F.floor(F.col("t") / F.col("g") * 100 + 0.5).cast("long"), F.lit("%"))
-    shares = per.join(all_, "deal_id").groupBy("deal_id").agg(
+    item = F.concat("product_name", F.lit(" x"), F.rint("quantity").cast("long"), F.lit(" = "), F.floor(F.col("line_total") + 0.5).cast("long"))
+    rows = lines.filter(F.col("dataset") == dataset).select("deal_id", "line", "line_total", d.alias("d"), "product_name", item.alias("s"))
+    rows = rows.join(chosen, "deal_id")
+    order, down = [F.desc("line_total"), F.col("line")], (W.unboundedPreceding, W.currentRow)
+    deal, part = W.partitionBy("deal_id").orderBy(*order), W.partitionBy("deal_id", "d").orderBy(*order)
+    rows = rows.withColumn("rank", F.row_number().over(deal)).withColumn("g", F.sum("line_total").over(deal.rowsBetween(*down)))
+    rows = rows.withColumn("t", F.sum("line_total").over(part.rowsBetween(*down)))
+    per = rows.groupBy("deal_id", "d").agg(
+        *[F.first(c).alias(c) for c in about],
+        F.max("rank").alias("last"),
+        F.max_by("g", "rank").alias("g"),
+        F.max_by("t", "rank").alias("t"),
+        F.collect_list(F.when(F.col("rank") <= 10, F.struct("rank", "s"))).alias("parts"),
+        F.collect_set(materials(F.col("product_name"))).alias("m"),
+    )
+    out = per.groupBy("deal_id").agg(
+        *[F.first(c).alias(c) for c in about],
+        F.max_by("g", "last").alias("g"),
+        F.array_sort(F.flatten(F.collect_list("parts"))).alias("parts"),
         F.count(F.lit(1)).alias("direction_count"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.round("t", 2)).alias("k"), F.col("d"), share.alias("s")))), lambda x: x["s"]), "; ").alias("direction_breakdown"),
+        F.array_sort(F.collect_list(F.struct((-F.round("t", 2)).alias("k"), "d", "t"))).alias("shares"),
+        _materials(F.flatten(F.collect_list("m"))).alias("materials"),
+    )
+    share = lambda x: F.concat(x["d"], F.lit(": "), F.floor(x["t"] / F.col("g") * 100 + 0.5).cast("long"), F.lit("%"))
+    return out.select(
+        "deal_id",
+        *about,
+        F.array_join(F.transform("parts", lambda x: x["s"]), "; ").alias("components"),
+        "direction_count",
+        F.array_join(F.transform("shares", share), "; ").alias("direction_breakdown"),
+        "materials",
     )
-    return chosen.join(parts, "deal_id").join(shares, "deal_id").join(all_.select("deal_id", "materials"), "deal_id")
 
 
 def _materials(lists: Column) -> Column:

@@ -10,7 +10,7 @@ from tallyforge.operators import evaluation as E
 from tallyforge.operators import sales as S
 from tallyforge.operators import texts as P
 from tallyforge.plans.retrieval import SPARSE, _sparse
-from tallyforge.plans.sales import DEALS, LINES, shared_deals, shared_lines
+from tallyforge.plans.sales import DEALS, LINES, shared_deals
 from tallyforge.plans.sales import O as SALES
 from tallyforge.sources.roles import lines, table
 
@@ -212,8 +212,7 @@ def bundle_documents(spark, d):
 
 @query(f"select 'deal_profile:' || deal_id as doc_id, 'deal_profile' as doc_type, 'direction: ' || primary_direction || chr(10) || 'shares: ' || direction_breakdown || chr(10) || 'parts: ' || substr(components, 1, 500) as searchable_text from ({SALES['deal_profiles']})")
 def profile_documents(spark, d):
-    rows = shared_lines(spark, d)
-    return B.profile_documents(S.deal_profiles(rows, shared_deals(spark, d)))
+    return B.profile_documents(S.deal_profiles(lines(spark, d), shared_deals(spark, d)))
 
 
 @query()

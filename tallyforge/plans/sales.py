@@ -193,8 +193,7 @@ s as (select deal_id, count(*) as direction_count, string_agg(direction || ': '
 select *, '' as materials from ch join c using (deal_id) join s using (deal_id)"""
 )
 def deal_profiles(spark, d):
-    rows = shared_lines(spark, d)
-    return S.deal_profiles(rows, shared_deals(spark, d))
+    return S.deal_profiles(lines(spark, d), shared_deals(spark, d))
 
 
 @query(
