@@ -12,6 +12,7 @@ from tallyforge.functions.numeric import round_half_up
 from tallyforge.functions.text import tokens
 from tallyforge.operators.intervals import interval_join, stacked
 from tallyforge.operators.windows import top_n
+from tallyforge.sources.stored import stored
 
 
 def price_stats(samples: DataFrame, by: list[str], as_of: str) -> DataFrame:
@@ -62,9 +63,19 @@ def canonical_deals(deals: DataFrame, category: str) -> DataFrame:
 
 
 def good_frequency(lines: DataFrame, category: str) -> DataFrame:
-    """Share of a category's deals in which each product occurs."""
-    n = lines.groupBy(category).agg(F.count_distinct("dataset", "deal_id").alias("_n"))
-    per = lines.groupBy(category, "product_key").agg(F.count_distinct("dataset", "deal_id").alias("deals"))
+    """Share of a category's deals in which each product occurs.
+
+    A deal names each of its products and categories once, where its lines lie; what is counted by product
+    needs no distinct deals any more. Both counts come from one pass, written once, a row per product.
+    """
+    pair = F.struct(F.col(category).alias("c"), F.col("product_key").alias("p"), F.lit(False).alias("whole"))
+    deals = lines.groupBy("dataset", "deal_id").agg(F.collect_set(pair).alias("pairs"))
+    whole = F.array_distinct(F.transform("pairs", lambda x: F.struct(x["c"].alias("c"), F.lit(None).cast("string").alias("p"), F.lit(True).alias("whole"))))
+    named = F.col("dataset").isNotNull() & F.col("deal_id").isNotNull()
+    counts = deals.select(named.alias("named"), F.explode(F.concat("pairs", whole)).alias("x")).groupBy("x.c", "x.p", "x.whole").agg(F.count_if("named").alias("deals"))
+    counts = stored(counts, "frequency")
+    n = counts.filter("whole").select(F.col("c").alias(category), F.col("deals").alias("_n"))
+    per = counts.filter("not whole").select(F.col("c").alias(category), F.col("p").alias("product_key"), "deals")
     return per.join(n, category).select(category, "product_key", "deals", round_half_up(F.col("deals") / F.col("_n"), 2).alias("frequency"))
 
 

@@ -47,3 +47,25 @@ def test_names_of_a_deal_are_combined_where_its_lines_lie(spark):
         assert moved and not any("product_name#" in x for x in moved), moved
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_products_of_a_deal_are_counted_where_its_lines_lie(spark, monkeypatch):
+    """One pass for deals by category and by product: beside the two joins only counts by product are shuffled."""
+    from tallyforge.operators import templates as T
+
+    plans = []
+    monkeypatch.setattr(T, "stored", lambda df, name: plans.append(df) or df, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        T.good_frequency(lines(spark, SF), "direction")
+        assert [_exchanges(p) for p in plans] == [4 + 1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_frequencies_of_repeated_and_missing_values(spark):
+    from tallyforge.operators import templates as T
+
+    rows = [("o", 1, "a", "x"), ("o", 1, "a", "x"), ("f", 1, "a", "x"), ("o", 2, "a", "y"), ("o", 2, None, "y"), ("o", None, "a", "z"), ("o", 3, "a", None)]
+    out = T.good_frequency(spark.createDataFrame(rows, "dataset string, deal_id long, category string, product_key string"), "category")
+    assert {(r.category, r.product_key, r.deals, r.frequency) for r in out.collect()} == {("a", "x", 2, 0.5), ("a", "y", 1, 0.25), ("a", "z", 0, 0.0), ("a", None, 1, 0.25)}
