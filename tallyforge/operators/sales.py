@@ -218,13 +218,30 @@ def pricing(facts: DataFrame) -> DataFrame:
     return out.withColumn("markup", F.round(F.when((F.col("base_price") > 0) & (F.col("price_p50") > 0), F.col("price_p50") / F.col("base_price")), 2))
 
 
-def bundle_facts(deals: DataFrame) -> DataFrame:
+def bundle_facts(deals: DataFrame, most: int = 500) -> DataFrame:
     """One row per dataset and set of products; values without barter, samples by value. Deals with the
-    columns letter_height_cm and description give the bundle both (see ``bundle_details``)."""
+    columns letter_height_cm and description give the bundle both: the most frequent height above 0, of
+    equally frequent ones that of the first deal, and the longest description, of equally long ones that of
+    the first deal, cut to ``most`` characters (empty where none has one).
+
+    Deals travel once: places by value, the counts of a bundle's directions and its facts are worked out
+    where its deals lie; windows of a large bundle spill.
+    """
+    by = ["dataset", "bundle_key"]
     some = deals.filter(F.col("bundle_key") != "")
-    primary = mode(some, ["dataset", "bundle_key"], "primary_direction", F.col("deal_id"), "direction")
+    same = W.partitionBy(*by, "primary_direction")
+    rows = some.withColumn("_n", F.count(F.lit(1)).over(same)).withColumn("_first", F.min("deal_id").over(same))
+    rows = rows.withColumn("_at", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("line_total"), F.col("deal_id"))))
     value = F.when(F.col("payment") != BARTER, F.col("line_total"))
-    out = some.groupBy("dataset", "bundle_key").agg(
+    best = F.array_sort(F.collect_list(F.when(F.col("_at") <= 5, F.struct("_at", "deal_id"))))
+    details = []
+    if {"letter_height_cm", "description"} <= set(deals.columns):
+        height, text = F.col("letter_height_cm"), F.coalesce("description", F.lit(""))
+        like = W.partitionBy(*by, "letter_height_cm")
+        rows = rows.withColumn("_height", F.when(height > 0, F.struct((-F.count(F.lit(1)).over(like)).alias("n"), F.min("deal_id").over(like).alias("f"), height.alias("h"))))
+        rows = rows.withColumn("_longest", F.struct((-F.length(text)).alias("n"), F.col("deal_id"), F.substring(text, 1, most).alias("t")))
+        details = [F.min("_height")["h"].alias("letter_height_cm"), F.min("_longest")["t"].alias("description")]
+    return rows.groupBy(*by).agg(
         F.max("unique_products").alias("product_count"),
         F.count(F.lit(1)).alias("deal_count"),
         round_money(F.median(value)).alias("median_value"),
@@ -232,25 +249,10 @@ def bundle_facts(deals: DataFrame) -> DataFrame:
         F.round(F.median("duration_days"), 0).alias("duration_p50"),
         F.array_join(F.array_sort(F.array_distinct(F.split(F.array_join(F.collect_set("sections"), "|"), r"\|"))), "|").alias("canonical_key"),
         F.min_by("title", "deal_id").alias("sample_title"),
+        F.min_by("primary_direction", F.struct(-F.col("_n"), F.col("_first"))).alias("direction"),
+        F.array_join(F.transform(best, lambda x: x["deal_id"].cast("string")), "|").alias("sample_deals"),
+        *details,
     )
-    # the five highest deals without collecting a bundle: a group limit runs before the shuffle
-    top = top_n(some, ["dataset", "bundle_key"], [F.desc("line_total"), F.col("deal_id")], 5)
-    top = top.groupBy("dataset", "bundle_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "deal_id"))), lambda x: x["deal_id"].cast("string")), "|").alias("sample_deals"))
-    out = out.join(primary, ["dataset", "bundle_key"], "left").join(top, ["dataset", "bundle_key"], "left")
-    if {"letter_height_cm", "description"} <= set(deals.columns):
-        out = out.join(bundle_details(some), ["dataset", "bundle_key"], "left")
-    return out
-
-
-def bundle_details(deals: DataFrame, most: int = 500) -> DataFrame:
-    """(dataset, bundle_key, letter_height_cm, description) of deals with these columns: the most frequent height
-    above 0, of equally frequent ones that of the first deal, and the longest description, of equally long
-    ones that of the first deal, cut to ``most`` characters (empty where none has one)."""
-    by = ["dataset", "bundle_key"]
-    heights = mode(deals.filter("letter_height_cm > 0"), by, "letter_height_cm", F.col("deal_id"), "letter_height_cm")
-    size = F.length(F.coalesce("description", F.lit("")))
-    texts = deals.groupBy(*by).agg(F.min_by(F.substring(F.coalesce("description", F.lit("")), 1, most), F.struct(-size, F.col("deal_id"))).alias("description"))
-    return texts.join(heights, by, "left").select(*by, "letter_height_cm", "description")
 
 
 def client_facts(deals: DataFrame) -> DataFrame:
