@@ -289,17 +289,19 @@ def template_matches(deals: DataFrame) -> DataFrame:
     have, so frequent products are not multiplied out; containment is then tested on the row.
     """
     offers, orders = deals.filter("dataset = 'offers'"), deals.filter("dataset = 'orders'")
-    templates = offers.groupBy("bundle_key").agg(F.count(F.lit(1)).alias("template_deals"), F.min_by("title", "deal_id").alias("sample_title"), F.first("product_keys").alias("keys"))
+    templates = offers.groupBy("bundle_key").agg(F.count(F.lit(1)).alias("template_deals"), F.min_by("title", "deal_id").alias("sample_title"), F.max(F.size("product_keys")).alias("products"))
+    sets = offers.groupBy("bundle_key").agg(F.first("product_keys").alias("keys"))
     exact = orders.groupBy("bundle_key").agg(F.count(F.lit(1)).alias("exact"))
     items = orders.select("deal_id", "line_total", "product_keys", F.explode("product_keys").alias("product"))
     rarity = items.groupBy("product").agg(F.count(F.lit(1)).alias("n"))
-    needs = templates.select("bundle_key", "keys", F.explode("keys").alias("product")).join(rarity, "product", "left")
-    rarest = needs.groupBy("bundle_key").agg(F.min_by(F.struct("product", "keys"), F.struct(F.coalesce("n", F.lit(0)), "product")).alias("r")).select("bundle_key", "r.product", "r.keys")
+    needs = sets.select("bundle_key", F.explode("keys").alias("product")).join(rarity, "product", "left")
+    # only the key travels with each product; the set comes back where its key lies
+    rarest = needs.groupBy("bundle_key").agg(F.min_by("product", F.struct(F.coalesce("n", F.lit(0)), "product")).alias("product")).join(sets, "bundle_key")
     hits = rarest.join(items, "product").filter(F.size(F.array_except("keys", "product_keys")) == 0)
     contained = hits.groupBy("bundle_key").agg(F.count(F.lit(1)).alias("contained"), round_money(F.median("line_total")).alias("matched_median"))
     out = templates.join(exact, "bundle_key", "left").join(contained, "bundle_key", "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return out.select("bundle_key", F.size("keys").cast("long").alias("products"), "template_deals", "sample_title", n("exact").alias("exact_matches"), n("contained").alias("contained_matches"), "matched_median", F.round(n("contained") / F.col("template_deals"), 4).alias("match_rate"))
+    return out.select("bundle_key", F.col("products").cast("long").alias("products"), "template_deals", "sample_title", n("exact").alias("exact_matches"), n("contained").alias("contained_matches"), "matched_median", F.round(n("contained") / F.col("template_deals"), 4).alias("match_rate"))
 
 
 def timelines(deals: DataFrame, bundles: int = 200) -> DataFrame:

@@ -1,5 +1,7 @@
 """Bundles from one shuffle of their deals."""
 
+import re
+
 from tallyforge.operators import sales as S
 
 
@@ -24,3 +26,13 @@ def test_heights_and_descriptions_of_bundles(spark):
     out = S.bundle_facts(deals)
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert {r.bundle_key: (r.letter_height_cm, r.description) for r in out.collect()} == {"p": (10, "x" * 500), "q": (None, "")}
+
+
+def test_sets_of_templates_do_not_travel_with_each_product(spark):
+    rows = [("offers", 1, "t", 1.0, "p|q", ["p", "q"]), ("orders", 2, "t", 5.0, "p|q|r", ["p", "q", "r"]), ("orders", 3, "t", 7.0, "p|q", ["p", "q"]), ("orders", 4, "t", 9.0, "q", ["q"])]
+    deals = spark.createDataFrame(rows, "dataset string, deal_id long, title string, line_total double, bundle_key string, product_keys array<string>")
+    out = S.template_matches(deals)
+    found = re.findall(r"Generate explode\(keys#\d+\), \[([^\]]*)\]", out._jdf.queryExecution().executedPlan().toString())
+    assert found and all("," not in x and x.startswith("bundle_key") for x in found), found
+    r = out.first()
+    assert (r.products, r.exact_matches, r.contained_matches, r.matched_median) == (2, 1, 2, 6.0)
