@@ -67,19 +67,23 @@ def with_sparse(docs: DataFrame, text: str = "text", name: str = "sparse") -> Da
     return rows.withColumn("_tokens", all_tokens(F.col(text))).mapInArrow(task, f"{schema}, `{name}` struct<indices:array<bigint>,values:array<double>>")
 
 
-def build(docs: DataFrame, path: str, name: str = "sparse", width: int = WIDTH) -> None:
+def build(docs: DataFrame, path: str, name: str = "sparse", width: int = WIDTH, ids: DataFrame | None = None) -> None:
     """Write the posting lists of docs (doc_id, struct column ``name``), partitioned by term.
 
     A block is the postings of a term in ``width`` consecutive ids: it is grouped by (term, range), so a
     term of all documents is in many groups of ``width`` rows at most, where ids are distinct. Rows that
-    repeat an id are one document, whose weights are added. Rows without id or vector are left out.
+    repeat an id are one document, whose weights are added. Rows without id or vector are left out. ``ids``:
+    the same documents where they can be counted without making their vectors again.
     """
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint"), F.explode(F.arrays_zip(f"{name}.indices", f"{name}.values")).alias("p"))
-    rows = rows.groupBy("doc_id", F.col("p")["indices"].alias("term")).agg(F.sum(F.col("p")["values"]).alias("tf"))
-    blocks = rows.groupBy("term", F.floor(F.col("doc_id") / width).cast("bigint").alias("range")).agg(F.max("tf").alias("most"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
-    blocks = blocks.withColumn("bucket", (F.col("term") % BUCKETS).cast("int"))
-    blocks.repartition("bucket", F.pmod(F.xxhash64("range"), F.lit(8))).sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
-    docs.select("doc_id").filter("doc_id is not null").agg(F.count_distinct("doc_id").alias("documents")).write.mode("overwrite").parquet(f"{path}/size")
+    term, rng = F.col("p")["indices"], F.floor(F.col("doc_id") / width).cast("bigint")
+    rows = rows.select("doc_id", term.alias("term"), F.col("p")["values"].alias("tf"), rng.alias("range"), (term % BUCKETS).cast("int").alias("bucket"), F.pmod(F.xxhash64(rng), F.lit(8)).alias("slot"))
+    # one shuffle, to where blocks are written: both groupings are inside of its keys
+    place = ["bucket", "slot", "term", "range"]
+    rows = rows.repartition("bucket", "slot").groupBy(*place, "doc_id").agg(F.sum("tf").alias("tf"))
+    blocks = rows.groupBy(*place).agg(F.max("tf").alias("most"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("postings")).drop("slot")
+    blocks.sortWithinPartitions("bucket", "term", "range").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    (docs if ids is None else ids).select("doc_id").filter("doc_id is not null").agg(F.count_distinct("doc_id").alias("documents")).write.mode("overwrite").parquet(f"{path}/size")
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:

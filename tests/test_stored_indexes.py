@@ -82,3 +82,19 @@ def test_untouched_buckets_are_not_written(spark, tmp_path):
     assert upsert_index(new.limit(0), path, "key", "version", 32) == 0 and _files(path) == after
     upsert_index(new, path, "key", "version", 32)
     assert {r.key: (r.version, r.v) for r in spark.read.parquet(path).collect()} == got
+
+
+def test_postings_travel_once(spark, tmp_path, monkeypatch):
+    """Weights are added and blocks are made where they are written: one shuffle of postings."""
+    from pyspark.sql import DataFrameWriter
+
+    from tallyforge.operators import sparse_index
+
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: plans.append((path, self._df)) or write(self, path, *a, **k))
+    docs = spark.createDataFrame([(k // 2, {"indices": [1, k + 2], "values": [1.0, 2.0]}) for k in range(6)], "doc_id long, sparse struct<indices: array<bigint>, values: array<double>>")
+    sparse_index.build(docs, str(tmp_path))
+    plan = next(df for path, df in plans if path.endswith("/blocks"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+    blocks = {r.term: sorted((p.doc_id, p.tf) for p in r.postings) for r in sparse_index.blocks(spark, str(tmp_path)).collect()}
+    assert blocks == {1: [(0, 2.0), (1, 2.0), (2, 2.0)]} | {k + 2: [(k // 2, 2.0)] for k in range(6)}
