@@ -21,10 +21,13 @@ BARTER = "barter"
 MODIFIERS = ("безнал", "скидк", "налог", "комис", "процент", "%", "discount", "surcharge", "prepayment")
 
 
+def _known(product_id: Column) -> Column:
+    return product_id.isNotNull() & ~product_id.cast("string").isin("", "0")
+
+
 def product_key(product_id: Column, name: Column) -> Column:
     """The catalogue id, or for a manual line (no id, or 0) its lower-case name."""
-    known = product_id.isNotNull() & ~product_id.cast("string").isin("", "0")
-    return F.when(known, product_id.cast("string")).otherwise(F.concat(F.lit("manual:"), F.lower(F.trim(F.coalesce(name, F.lit(""))))))
+    return F.when(_known(product_id), product_id.cast("string")).otherwise(F.concat(F.lit("manual:"), F.lower(F.trim(F.coalesce(name, F.lit(""))))))
 
 
 def client_key(company: Column, contact: Column | None = None) -> Column:
@@ -48,9 +51,10 @@ def normalise(lines: DataFrame, goods: DataFrame) -> DataFrame:
 
 
 def with_goods(lines: DataFrame, goods: DataFrame) -> DataFrame:
-    """Lines with the catalogue's columns; ``_in`` is null for unknown products."""
+    """Lines with the catalogue's columns; ``_in`` is null for unknown products. ``_manual`` is the name where the
+    id does not tell the product, so that names travel only with what reads them."""
     g = goods.select("product_id", F.col("name").alias("product_name"), "base_price", "direction", "section", F.lit(True).alias("_in"))
-    return lines.join(g, "product_id", "left")
+    return lines.join(g, "product_id", "left").withColumn("_manual", F.when(~_known(F.col("product_id")), F.col("product_name")))
 
 
 def normalised(lines: DataFrame) -> DataFrame:
@@ -67,7 +71,7 @@ def normalised(lines: DataFrame) -> DataFrame:
         "opportunity",
         "line",
         "product_id",
-        product_key(F.col("product_id"), F.col("product_name")).alias("product_key"),
+        product_key(F.col("product_id"), F.col("_manual")).alias("product_key"),
         F.coalesce("product_name", F.lit("")).alias("product_name"),
         "price",
         "quantity",
@@ -87,12 +91,15 @@ def repaired(lines: DataFrame, goods: DataFrame, needs: Column) -> DataFrame:
     return out.withColumn("direction", F.when(needs, F.coalesce("_d", F.lit(MISSING_DIRECTION))).otherwise(F.col("direction"))).drop("_d")
 
 
-def deal_facts(lines: DataFrame) -> DataFrame:
-    """One row per deal. Attributes are those of its first line; the primary direction is the most
-    frequent one, the sentinel excluded, first line first."""
+def deal_facts(lines: DataFrame, of: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per deal, with the columns of ``of`` where it is given: what only the others need does not
+    travel. Attributes are those of its first line; the primary direction is the most frequent one, the
+    sentinel excluded, first line first."""
+    needs = {*(of or ()), *(["begin"] if "duration_days" in (of or ()) else []), *(["opportunity"] if "gap_pct" in (of or ()) else [])}
+    about = [c for c in ("title", "client_key", "begin", "payment", "opportunity") if of is None or c in needs]
     # one pass over the lines: per deal and direction first, whose counts give the mode
     per = lines.groupBy("dataset", "deal_id", "direction").agg(
-        F.min_by(F.struct("title", "client_key", "begin", "payment", "opportunity"), "line").alias("f"),
+        *([F.min_by(F.struct(*about), "line").alias("f")] if about else []),
         F.min("line").alias("l"),
         F.max("ship").alias("close"),
         F.count(F.lit(1)).alias("n"),
@@ -103,7 +110,7 @@ def deal_facts(lines: DataFrame) -> DataFrame:
     )
     every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     facts = per.groupBy("dataset", "deal_id").agg(
-        F.min_by("f", "l").alias("f"),
+        *([F.min_by("f", "l").alias("f")] if about else []),
         F.max("close").alias("close"),
         F.sum("n").alias("line_count"),
         F.round(F.sum("q"), 2).alias("total_quantity"),
@@ -112,29 +119,30 @@ def deal_facts(lines: DataFrame) -> DataFrame:
         F.array_join(every("s"), "|").alias("sections"),
         F.min(F.when(F.col("direction") != MISSING_DIRECTION, F.struct((-F.col("n")).alias("n"), "l", "direction")))["direction"].alias("primary_direction"),
     )
-    facts = facts.select("dataset", "deal_id", "f.*", *[c for c in facts.columns if c not in ("dataset", "deal_id", "f")])
+    facts = facts.select("dataset", "deal_id", *(["f.*"] if about else []), *[c for c in facts.columns if c not in ("dataset", "deal_id", "f")])
     gap = F.when((F.col("opportunity") != 0) & (F.col("line_total") != 0), F.abs(F.col("line_total") - F.col("opportunity")) / F.col("opportunity"))
-    return facts.select(
-        "dataset",
-        "deal_id",
-        "title",
-        "client_key",
-        "begin",
-        "close",
-        month(F.col("close")).alias("close_month"),
-        "payment",
-        duration_days(F.col("begin"), F.col("close")).alias("duration_days"),
-        "line_count",
-        F.size("product_keys").cast("long").alias("unique_products"),
-        "total_quantity",
-        "line_total",
-        "opportunity",
-        F.round(gap, 4).alias("gap_pct"),
-        F.coalesce("primary_direction", F.lit(MISSING_DIRECTION)).alias("primary_direction"),
-        F.array_join("product_keys", "|").alias("bundle_key"),
-        "product_keys",
-        "sections",
-    )
+    out = {
+        "dataset": F.col("dataset"),
+        "deal_id": F.col("deal_id"),
+        "title": F.col("title"),
+        "client_key": F.col("client_key"),
+        "begin": F.col("begin"),
+        "close": F.col("close"),
+        "close_month": month(F.col("close")),
+        "payment": F.col("payment"),
+        "duration_days": duration_days(F.col("begin"), F.col("close")),
+        "line_count": F.col("line_count"),
+        "unique_products": F.size("product_keys").cast("long"),
+        "total_quantity": F.col("total_quantity"),
+        "line_total": F.col("line_total"),
+        "opportunity": F.col("opportunity"),
+        "gap_pct": F.round(gap, 4),
+        "primary_direction": F.coalesce("primary_direction", F.lit(MISSING_DIRECTION)),
+        "bundle_key": F.array_join("product_keys", "|"),
+        "product_keys": F.col("product_keys"),
+        "sections": F.col("sections"),
+    }
+    return facts.select(*[out[c].alias(c) for c in of or out])
 
 
 def product_facts(lines: DataFrame, goods: DataFrame) -> DataFrame:

@@ -41,25 +41,36 @@ def price_stats(samples: DataFrame, by: list[str], as_of: str) -> DataFrame:
 
 
 def _element(deals: DataFrame, by: str, value: str, q: float, name: str) -> DataFrame:
-    """Element floor(n q) of the sorted values per group, from counts per distinct value: no group is
-    collected, and the window runs over distinct values."""
-    per = deals.groupBy(by, value).agg(F.count(F.lit(1)).alias("_c"))
-    order = W.partitionBy(by).orderBy(value)
-    per = per.withColumn("_to", F.sum("_c").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(W.partitionBy(by)))
-    at = F.least(F.floor(F.col("_n") * q), F.col("_n") - 1)
-    return per.filter(F.col("_to") > at).groupBy(by).agg(F.min(value).alias(name))
+    """Element floor(n q) of the sorted values, all above 0, per group. Ranges of values, a 256th of an octave
+    wide, are counted first; only the values of the range that holds the element come together."""
+    rows = deals.select(by, value, F.rint(F.log2(value) * 256).alias("_range"))
+    per = rows.groupBy(by, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    to = lambda order: F.sum("_c").over(W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    per = per.withColumn("_to", to("_range")).withColumn("_n", F.sum("_c").over(W.partitionBy(by)))
+    at = F.least(F.floor(F.col("_n") * q), F.col("_n") - 1) - (F.col("_to") - F.col("_c"))
+    # written, so that its size is known when rows meet it
+    hit = stored(per.withColumn("_at", at).filter("_at >= 0 and _at < _c").select(by, "_range", "_at"), "ranges")
+    per = rows.join(hit, [by, "_range"]).groupBy(by, "_at", value).agg(F.count(F.lit(1)).alias("_c"))
+    return per.withColumn("_to", to(value)).filter("_to > _at").groupBy(by).agg(F.min(value).alias(name))
 
 
 def canonical_deals(deals: DataFrame, category: str) -> DataFrame:
     """The deal that stands for a category: of those with at least two positions, and as many as six
-    in ten have, an order before an offer, the nearest to the median opportunity."""
+    in ten have, an order before an offer, the nearest to the median opportunity.
+
+    Deals stay where they are: what a category asks of them, and the least gap that they reach, are a row per
+    category, written so that its size is known when deals meet it.
+    """
     pool = deals.filter("unique_products >= 2")
     p60 = _element(pool, category, "unique_products", 0.6, "p60")
     median = _element(pool.filter("opportunity > 0"), category, "opportunity", 0.5, "median_opportunity")
-    some = pool.join(p60, category).join(median, category, "left").filter("unique_products >= p60")
+    some = pool.join(stored(p60.join(median, category, "left"), "limits"), category).filter("unique_products >= p60")
     gap = F.abs(F.coalesce("opportunity", F.lit(0.0)) - F.coalesce("median_opportunity", F.lit(0.0)))
-    best = F.struct((F.col("dataset") != "orders").cast("int").alias("a"), gap.alias("b"), F.col("deal_id").alias("c"), F.col("dataset").alias("d"))
-    return some.groupBy(category).agg(F.min(best).alias("_b"), F.count(F.lit(1)).alias("eligible")).select(category, F.col("_b.c").alias("deal_id"), F.col("_b.d").alias("dataset"), "eligible")
+    some = some.select(category, (F.col("dataset") != "orders").cast("int").alias("_a"), gap.alias("_gap"), "deal_id", "dataset")
+    least = some.groupBy(category, "_a").agg(F.min("_gap").alias("_gap"), F.count(F.lit(1)).alias("_c"))
+    least = least.groupBy(category).agg(F.min(F.struct("_a", "_gap")).alias("_b"), F.sum("_c").alias("eligible"))
+    best = some.join(stored(least.select(category, "_b.*", "eligible"), "least"), [category, "_a", "_gap"])
+    return best.groupBy(category, "eligible").agg(F.min(F.struct("deal_id", "dataset")).alias("_b")).select(category, "_b.deal_id", "_b.dataset", "eligible")
 
 
 def good_frequency(lines: DataFrame, category: str) -> DataFrame:

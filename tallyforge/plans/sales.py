@@ -83,6 +83,13 @@ def shared_deals(spark: SparkSession, d: str) -> DataFrame:
     return stored(S.deal_facts(lines(spark, d)), "deals")
 
 
+def narrow_deals(spark: SparkSession, d: str, *of: str) -> DataFrame:
+    """Deal facts of few columns for one query, from lines that carry nothing else. Position and product order
+    a deal's lines for its primary direction: lines equal in both name the same directions."""
+    rows = lines(spark, d, by_deal=True).withColumn("line", F.struct("line.l_linenumber", "line.l_partkey"))
+    return S.deal_facts(rows, of)
+
+
 def _facts(spark: SparkSession, d: str) -> DataFrame:
     return S.product_facts(shared_lines(spark, d), catalogue(spark, d))
 

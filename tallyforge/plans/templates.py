@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators import sales as S
 from tallyforge.operators import templates as T
 from tallyforge.operators.intervals import interval_join
-from tallyforge.plans.sales import DEALS, LINES, shared_deals
+from tallyforge.plans.sales import DEALS, LINES, narrow_deals, shared_deals
 from tallyforge.sources.roles import catalogue, lines
 from tallyforge.sources.stored import stored
 
@@ -64,7 +64,8 @@ cd as (select category, deal_id, dataset, eligible from el where rn = 1)
 
 @query(DEALS + CANON + "select * from cd")
 def canonical_deals(spark, d):
-    return T.canonical_deals(shared_deals(spark, d).withColumn("category", F.col("primary_direction")), "category")
+    pool = narrow_deals(spark, d, "dataset", "deal_id", "primary_direction", "unique_products", "opportunity").filter("unique_products >= 2")
+    return T.canonical_deals(stored(pool.withColumnRenamed("primary_direction", "category"), "pool"), "category")
 
 
 @query(LINES + ", n as (select direction, count(distinct (dataset, deal_id)) as n from lines group by 1), p as (select direction, product_key, count(distinct (dataset, deal_id)) as deals from lines group by 1, 2) select direction as category, product_key, deals, floor(deals / n * 100 + 0.5) / 100 as frequency from p join n using (direction)")
