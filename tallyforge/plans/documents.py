@@ -10,9 +10,10 @@ from tallyforge.operators import evaluation as E
 from tallyforge.operators import sales as S
 from tallyforge.operators import texts as P
 from tallyforge.plans.retrieval import SPARSE, _sparse
-from tallyforge.plans.sales import DEALS, LINES, shared_deals
+from tallyforge.plans.sales import DEALS, LINES, narrow_deals, shared_deals
 from tallyforge.plans.sales import O as SALES
 from tallyforge.sources.roles import lines, table
+from tallyforge.sources.stored import stored
 
 Q: dict = {}
 O: dict = {}
@@ -51,10 +52,12 @@ k as (select 'kpi:' || dataset as doc_id, 'kpi' as doc_type, 'deals: ' || count(
 u as (select * from t union all select * from k) select *, case doc_type when 'timeline' then 'How long work takes (' || doc_id || ').' else 'Figures of ' || doc_id || '.' end || chr(10) || searchable_text as contextual_text from u"""
 )
 def fact_documents(spark, d):
-    deals = shared_deals(spark, d)
-    t = deals.groupBy("primary_direction").agg(F.floor(F.median("duration_days") + 0.5).cast("long").alias("m"))
+    deals = narrow_deals(spark, d, "dataset", "primary_direction", "duration_days", "line_total")
+    # both kinds of documents build on these few rows
+    per = stored(deals.groupBy("dataset", "primary_direction", "duration_days").agg(F.count(F.lit(1)).alias("n"), F.sum("line_total").alias("v")), "durations")
+    t = per.groupBy("primary_direction").agg(F.floor(F.percentile("duration_days", F.lit(0.5), F.col("n")) + 0.5).cast("long").alias("m"))
     t = B.as_documents(t, "timeline", F.col("primary_direction"), F.concat(F.lit("typical days: "), F.coalesce(F.col("m").cast("string"), F.lit("unknown"))))
-    k = deals.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("line_total"), 2).alias("v"))
+    k = per.groupBy("dataset").agg(F.sum("n").alias("n"), F.round(F.sum("v"), 2).alias("v"))
     k = B.as_documents(k, "kpi", F.col("dataset"), F.concat(F.lit("deals: "), F.col("n").cast("string"), F.lit(", value: "), F.format_number("v", 2)))
     return B.with_context(t.unionByName(k), {"timeline": "How long work takes (%s).", "kpi": "Figures of %s."})
 

@@ -6,7 +6,7 @@ import pytest
 
 from tallyforge.operators import sales as S
 from tallyforge.operators import templates as T
-from tallyforge.plans import QUERIES, templates
+from tallyforge.plans import QUERIES, documents, templates
 from tallyforge.plans.sales import narrow_deals
 from tallyforge.sources.roles import lines
 
@@ -79,6 +79,16 @@ def test_canonical_deals_read_narrow_deals(large, monkeypatch):
     assert sorted(map(sorted, by_deal)) == [["_manual", "deal_id", "direction", "l_linenumber", "product_id"], ["deal_id", "l_linenumber", "product_id"]]
 
 
+def test_fact_documents_read_narrow_deals_once(large, monkeypatch):
+    plans, stored = {}, getattr(documents, "stored", None)
+    monkeypatch.setattr(documents, "stored", lambda df, name: plans.update({name: df}) or stored(df, name), raising=False)
+    out = QUERIES["fact_documents"](large, SF)
+    assert list(plans) == ["durations"]
+    moved = set().union(*(names for names, _ in _shuffles(plans["durations"])))
+    assert not moved & {"title", "client_id", "payment", "opportunity", "section", "_manual", "product_name", "l_suppkey"}, moved
+    assert not any("deal_id" in names for names, _ in _shuffles(out))
+
+
 def test_names_of_products_stay_with_the_catalogue(large):
     """Deals take the name of a product only where there is no other key."""
     by_deal = [names for names, _ in _shuffles(S.deal_facts(lines(large, SF))) if "l_linenumber" in names and "direction" in names]
